@@ -14,9 +14,9 @@ Scale notes
   bound, it is broadcast instead, so a hub node never concentrates a third of
   the edges in one task; above the bound the shuffle join is left to AQE's
   skew-join splitting.
-* Every round persists its new frontier; every ``checkpoint_every`` rounds
-  it is written with ``checkpoint()`` to the shared checkpoint folder,
-  cutting the plan so executor loss never replays the whole loop.
+* Every round's new frontier is written with ``checkpoint()`` to the shared
+  checkpoint folder, cutting the plan: planning cost stays flat over the
+  rounds and executor loss never replays the whole loop.
 * Rounds stop when no new pair appears, or at ``max_rounds``.
 """
 
@@ -38,7 +38,6 @@ def reach(
     node_cols: list[str],
     seed_cols: list[str],
     max_rounds: int | None = None,
-    checkpoint_every: int = 4,
     broadcast_rows: int = BROADCAST_FRONTIER_ROWS,
 ) -> DataFrame:
     """All (seed, node, hop) pairs reachable from each seed.
@@ -53,9 +52,9 @@ def reach(
     keys = seed_cols + node_cols
     e = edges.select(*src, *dst).distinct()
     e = e.repartition(*[F.col(c) for c in src]).persist()
-    state = RoundState(spark, every=checkpoint_every)
+    state = RoundState(spark)
 
-    frontier = state.keep(seeds.select(*keys).distinct().withColumn("hop", F.lit(0)), 0)
+    frontier = state.keep(seeds.select(*keys).distinct().withColumn("hop", F.lit(0)))
     n = frontier.count()
     parts = [frontier]
     rnd = 0
@@ -69,7 +68,7 @@ def reach(
         for p in parts[1:]:
             visited = visited.unionByName(p.select(*keys))
         new = step.distinct().join(visited, keys, "left_anti").withColumn("hop", F.lit(rnd))
-        frontier = state.keep(new, rnd)
+        frontier = state.keep(new)
         n = frontier.count()
         if n > 0:
             parts.append(frontier)

@@ -371,8 +371,7 @@ def neighbourhood(mappings: DataFrame, seeds: DataFrame, up: bool = True, down:
     return out.distinct()
 
 
-def lineage_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | None = None,
-                  checkpoint_every: int = 4) -> DataFrame:
+def lineage_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Longest path (in table edges) from any root to each table.
 
     Roots are tables with no incoming edge; with none, every table starts at
@@ -388,8 +387,8 @@ def lineage_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | N
     roots = tables.join(targets, "table_name", "left_anti")
     if roots.isEmpty():
         roots = tables
-    state = RoundState(spark, every=checkpoint_every)
-    depth = state.keep(roots.withColumn("depth", F.lit(0)), 0)
+    state = RoundState(spark)
+    depth = state.keep(roots.withColumn("depth", F.lit(0)))
     frontier = depth
     rnd = 0
     while rnd < max(n_tables, 1):
@@ -399,12 +398,12 @@ def lineage_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | N
         improved = (cand.join(depth, "table_name", "left")
                     .where(F.col("depth").isNull() | (F.col("cand") > F.col("depth")))
                     .select("table_name", F.col("cand").alias("depth")))
-        improved = state.keep(improved, rnd)
+        improved = state.keep(improved)
         if improved.isEmpty():
             break
         depth = state.keep(
             depth.join(improved.withColumnRenamed("depth", "_new"), "table_name", "full_outer")
-            .select("table_name", F.coalesce("_new", "depth").alias("depth")), rnd)
+            .select("table_name", F.coalesce("_new", "depth").alias("depth")))
         frontier = improved
     return (tables.join(depth, "table_name", "left")
             .select("table_name", F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))

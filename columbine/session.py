@@ -69,30 +69,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 class RoundState:
     """Keeps the DataFrames of an iterative job materialized and short.
 
-    ``keep(df, round_no)`` persists ``df``; on every ``every``-th round it is
-    written with a reliable ``checkpoint()`` instead, which truncates the plan.
-    Older persisted frames are released once a newer one is materialized.
+    ``keep(df)`` cuts the plan of ``df`` with a reliable ``checkpoint()`` to
+    the shared checkpoint folder.  ``persist()`` alone would keep the whole
+    logical plan of every earlier round, so analysis time would grow with
+    each round (a round's plan refers to the previous frontier *and* the
+    visited set); checkpointing every round keeps the plan a constant size
+    and lets a lost executor recompute from the last round only.  The frame
+    is persisted around the checkpoint so it is computed once, not twice.
     """
 
-    def __init__(self, spark: SparkSession, every: int = 4):
+    def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.every = max(1, every)
-        self._held: list[DataFrame] = []
         ensure_checkpoint_dir(spark)
 
-    def keep(self, df: DataFrame, round_no: int) -> DataFrame:
-        if round_no > 0 and round_no % self.every == 0:
-            out = df.checkpoint(eager=True)
-        else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._held.append(out)
+    def keep(self, df: DataFrame) -> DataFrame:
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist(blocking=False)
         return out
-
-    def release_older(self, keep_last: int = 2) -> None:
-        while len(self._held) > keep_last:
-            self._held.pop(0).unpersist(blocking=False)
-
-    def release_all(self) -> None:
-        for df in self._held:
-            df.unpersist(blocking=False)
-        self._held.clear()
