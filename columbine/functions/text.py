@@ -150,6 +150,10 @@ CONSTANT_REGEX = "(?i)" + "|".join(_ws_pattern(_flat_literals(p)) for p in CONST
 REF_TOKEN = rf"(?:^|[^A-Za-z0-9_])({IDENT}(?:\.{IDENT})?)"
 DOTTED_PAIR = rf"(?:^|[^A-Za-z0-9_])({IDENT})\.({IDENT})"
 COMMENTS = r"('[^']*(?:'|\z))|--[^\n]*|(?s:/\*.*?(?:\*/|\z))"
+# Object name of a bulk chunk: text of the first /* .. */ on one line.
+BULK_NAME = r"/\*" + WS + r"*([^\n]*?)" + WS + r"*\*/"
+# Blank-line separator of bulk SQL text.
+BULK_SEPARATOR = "\n" + WS + "*\n"
 
 # ----------------------------------------------------------------------------
 # Helpers
@@ -381,7 +385,7 @@ def common_char_score(target, candidate) -> Column:
 
 def statement_kind(c) -> Column:
     """MERGE / INSERT by the leading keyword of the cleaned text, else OTHER."""
-    lead = F.upper(F.regexp_extract(normalize_sql(c), r"^\(*\s*([A-Za-z]+)", 1))
+    lead = F.upper(F.regexp_extract(normalize_sql(c), r"^\(*" + WS + r"*([A-Za-z]+)", 1))
     return F.when(lead == "MERGE", "MERGE").when(lead == "INSERT", "INSERT").otherwise("OTHER")
 
 
