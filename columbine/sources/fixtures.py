@@ -160,6 +160,17 @@ union all select s_suppkey, 2, 0, 'Y1', concat('P.C', s_suppkey % 5) from {suppl
 union all select s_suppkey, 2, 1, 'Y2', '''lit''' from {supplier}
 """
 
+# UNPIVOT in scope 2 and an EXISTS body in scope 1 (alias N is taken there).
+FIXTURES["unpivots"] = """
+select s_suppkey as stmt_id, 2 as scope_id, concat('AMT', s_suppkey % 3) as value_col, 'KIND' as for_col from {supplier}
+"""
+
+FIXTURES["exists_tables"] = """
+select s_suppkey as stmt_id, 1 as scope_id, 'E' as alias, concat('STG_C', s_suppkey % 40) as table_name from {supplier}
+union all select s_suppkey, 1, 'N', 'OTHER_T' from {supplier}
+union all select s_suppkey, 1, null, concat('SRC_S', s_suppkey % 7) from {supplier}
+"""
+
 # Root-level expressions to resolve: every projection of scope 0.
 FIXTURES["resolve_seeds"] = """
 select stmt_id, ord as root_ord, scope_id, output_name as target_column, expression
