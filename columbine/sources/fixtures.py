@@ -171,6 +171,73 @@ union all select s_suppkey, 1, 'N', 'OTHER_T' from {supplier}
 union all select s_suppkey, 1, null, concat('SRC_S', s_suppkey % 7) from {supplier}
 """
 
+# --- DML parts (same statements as the scope catalog) ------------------------
+# Odd suppliers are MERGE statements, even ones INSERT ... SELECT.
+FIXTURES["root_scopes"] = """
+select s_suppkey as stmt_id, 0 as scope_id, concat('DIM_N', s_nationkey) as target_table,
+       case when s_suppkey % 2 = 1 then 'MERGE' else 'INSERT' end as stmt_type
+from {supplier}
+"""
+
+FIXTURES["merge_sets"] = """
+select s_suppkey as stmt_id, 0 as when_ord, k as pos, concat('DIM_N', s_nationkey) as target_table, 'T' as target_alias,
+       case k when 0 then 'T.OUT1' when 1 then ' out2 ' else concat('DIM_N', s_nationkey, '.OUT3') end as target,
+       case k when 0 then 'A.X1 + A.X2' when 1 then 'A.X3' else 'A.X2' end as expression
+from {supplier} cross join (values (0), (1), (2)) as v(k) where s_suppkey % 2 = 1
+"""
+
+FIXTURES["merge_insert_cols"] = """
+select s_suppkey as stmt_id, 1 as when_ord, k as pos, case k when 0 then 'OUT1' when 1 then 'OUT4' else 'OUT5' end as col
+from {supplier} cross join (values (0), (1), (2)) as v(k) where s_suppkey % 2 = 1
+"""
+
+FIXTURES["merge_insert_vals"] = """
+select s_suppkey as stmt_id, 1 as when_ord, k as pos, case k when 0 then 'A.X3' else 'SYSDATE' end as val
+from {supplier} cross join (values (0), (1)) as v(k) where s_suppkey % 2 = 1
+"""
+
+FIXTURES["insert_cols"] = """
+select s_suppkey as stmt_id, concat('DIM_N', s_nationkey) as target_table, k as pos, concat('K', k + 1) as target_column
+from {supplier} cross join (values (0), (1), (2)) as v(k) where s_suppkey % 4 = 0
+"""
+
+FIXTURES["join_conjuncts"] = """
+select s_suppkey as stmt_id, 1 as scope_id, 0 as join_pos, 'LEFT' as side, '' as kind, 'N' as right_alias, k as conj_pos,
+       case k when 0 then 'B.Y1 = N.NAME' when 1 then 'N.D > DATE ''2024-01-01''' when 2 then 'N.S IN (''X'')'
+              else concat('ATOMIC.DIM_N', s_nationkey, ' IS NOT NULL') end as condition
+from {supplier} cross join (values (0), (1), (2), (3)) as v(k)
+union all
+select s_suppkey, 1, 1, '', 'CROSS', 'Z', 0, cast(null as varchar(10)) from {supplier}
+union all
+select s_suppkey, 1, 2, '', '', 'N', 0, 'B.Y2 = ''Z''' from {supplier}
+"""
+
+FIXTURES["merge_on"] = """
+select s_suppkey as stmt_id, k as conj_pos, concat('DIM_N', s_nationkey) as target_table, 'T' as target_alias,
+       'A' as using_alias,
+       case k when 0 then 'T.K1 = A.X1' when 1 then 'K2 = A.X2' else 'T.F = A.X3' end as condition
+from {supplier} cross join (values (0), (1), (2)) as v(k) where s_suppkey % 2 = 1
+"""
+
+# --- v1 mapping spec ------------------------------------------------------------
+FIXTURES["mapping_spec"] = """
+select case when k = 3 then 'OTHER' else 'T2T' end as type,
+       concat(' t2t_n', s_nationkey, '_', s_suppkey, ' ') as name,
+       concat('DIM_N', s_nationkey) as target_table, concat('OUT', k) as target_column,
+       case when k = 0 then concat('SRC_S', s_suppkey % 10) when k = 1 then 'EXPRESSION' else '' end as source_table,
+       case when k = 0 then 'C1' when k = 1 then 'C2' else '' end as source_column,
+       case when k = 2 then 'A.X1 + 1' else '' end as expression
+from {supplier} cross join (values (0), (1), (2), (3)) as v(k)
+"""
+
+# Resume manifest: half the objects ran before, some re-ran later.
+FIXTURES["manifest"] = """
+select object_name, case when stmt_id % 3 = 0 then 'success' when stmt_id % 3 = 1 then 'failed' else 'skipped' end as status,
+       1 as run_ord from {stmts} where stmt_id % 2 = 0
+union all
+select object_name, 'success', 2 from {stmts} where stmt_id % 4 = 1
+"""
+
 # Root-level expressions to resolve: every projection of scope 0.
 FIXTURES["resolve_seeds"] = """
 select stmt_id, ord as root_ord, scope_id, output_name as target_column, expression
