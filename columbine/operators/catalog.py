@@ -155,3 +155,131 @@ def unpivot_columns(projections: DataFrame, unpivots: DataFrame) -> DataFrame:
         "expression")
     keep = projections.select("stmt_id", "scope_id", "ord", "output_name", "expression")
     return keep.unionByName(new.withColumn("ord", F.col("ord").cast(keep.schema["ord"].dataType)))
+
+
+def _levels(closure: DataFrame) -> DataFrame:
+    """Nesting level of every scope (distance to its root)."""
+    return closure.groupBy("stmt_id", "scope_id").agg(F.max("distance").alias("level"))
+
+
+def expand_stars(spark: SparkSession, scopes: DataFrame, relations: DataFrame, projections: DataFrame,
+                 dm: DataFrame | None, closure: DataFrame | None = None) -> DataFrame:
+    """Expand ``*`` and ``A.*`` select items, innermost scopes first.
+
+    ``projections`` carries ``star_kind`` (NULL | ALL | QUALIFIED) and
+    ``star_alias``.  A star over a child scope copies that scope's (already
+    expanded) projections with ``origin_alias`` = the alias; over a physical
+    table in the data model, its columns by ordinal as ``ALIAS.COL``; over
+    any other table, one placeholder ``*_ALIAS`` = ``ALIAS.*``.  ``ALL``
+    expands every relation in order; ``QUALIFIED`` the named one.  A later
+    item of the same name replaces the value and keeps the first position.
+    Rounds = nesting depth, each checkpointed.
+
+    Returns (stmt_id, scope_id, ord, output_name, expression, origin_alias).
+    """
+    from columbine.session import RoundState
+
+    keep = RoundState(spark).keep
+    closure = closure if closure is not None else scope_closure(spark, scopes)
+    lv = _levels(closure)
+    rel = relations.select("stmt_id", "scope_id", F.col("ord").alias("rel_ord"), F.upper("alias").alias("alias"),
+                           "rel_kind", F.upper("table_name").alias("table_name"), "child_scope_id")
+    if "origin_alias" not in projections.columns:
+        projections = projections.withColumn("origin_alias", F.lit(None).cast("string"))
+    p = projections.select(
+        "stmt_id", "scope_id", F.col("ord").cast("long").alias("ord"), F.array().cast("array<bigint>").alias("sub"),
+        F.upper("output_name").alias("output_name"), "expression", "origin_alias",
+        F.upper("star_kind").alias("star_kind"), F.upper("star_alias").alias("star_alias"))
+    p = keep(p.join(lv, ["stmt_id", "scope_id"]))
+    dmc = (dm.select(F.upper("table_name").alias("table_name"), F.upper("column_name").alias("column_name"),
+                     F.col("ordinal").cast("long").alias("ordinal")) if dm is not None else None)
+    max_level = lv.agg(F.max("level")).first()[0] or 0
+    for level in range(max_level, -1, -1):
+        stars = p.where((F.col("level") == level) & F.col("star_kind").isNotNull())
+        targets = stars.join(rel, ["stmt_id", "scope_id"]).where(
+            (F.col("star_kind") == "ALL") | (F.col("alias") == F.col("star_alias")))
+        done = p.where(F.col("star_kind").isNull()).select(
+            "stmt_id", F.col("scope_id").alias("child_scope_id"), F.col("output_name").alias("c_name"),
+            F.col("expression").alias("c_expr"), F.col("ord").alias("c_ord"), F.col("sub").alias("c_sub"))
+        from_scope = targets.where(F.col("rel_kind") == "SCOPE").join(done, ["stmt_id", "child_scope_id"]).select(
+            "stmt_id", "scope_id", "ord",
+            F.concat(F.array(F.col("rel_ord").cast("long"), F.col("c_ord")), "c_sub").alias("sub"), F.col("c_name").alias("output_name"), F.col("c_expr").alias("expression"),
+            F.col("alias").alias("origin_alias"))
+        phys = targets.where(F.col("rel_kind") == "PHYSICAL")
+        parts = [from_scope]
+        if dmc is not None:
+            in_dm = phys.join(dmc, "table_name")
+            parts.append(in_dm.select(
+                "stmt_id", "scope_id", "ord", F.array(F.col("rel_ord").cast("long"), F.col("ordinal")).alias("sub"),
+                F.col("column_name").alias("output_name"),
+                F.concat("alias", F.lit("."), "column_name").alias("expression"),
+                F.lit(None).cast("string").alias("origin_alias")))
+            phys = phys.join(dmc.select("table_name").distinct(), "table_name", "left_anti")
+        parts.append(phys.select(
+            "stmt_id", "scope_id", "ord", F.array(F.col("rel_ord").cast("long")).alias("sub"),
+            F.concat(F.lit("*_"), "alias").alias("output_name"), F.concat("alias", F.lit(".*")).alias("expression"),
+            F.lit(None).cast("string").alias("origin_alias")))
+        expanded = parts[0]
+        for x in parts[1:]:
+            expanded = expanded.unionByName(x)
+        expanded = expanded.withColumns({"star_kind": F.lit(None).cast("string"),
+                                         "star_alias": F.lit(None).cast("string"), "level": F.lit(level)})
+        rest = p.where(~((F.col("level") == level) & F.col("star_kind").isNotNull()))
+        p = keep(rest.unionByName(expanded.select(*rest.columns)))
+    final = p.where(F.col("star_kind").isNull())
+    per_name = final.groupBy("stmt_id", "scope_id", "output_name").agg(
+        F.min(F.struct("ord", "sub")).alias("_first"),
+        F.max_by(F.struct("expression", "origin_alias"), F.struct("ord", "sub")).alias("_v"))
+    w = Window.partitionBy("stmt_id", "scope_id").orderBy("_first")
+    return per_name.select("stmt_id", "scope_id", (F.row_number().over(w) - 1).cast("long").alias("ord"),
+                           "output_name", "_v.expression", "_v.origin_alias")
+
+
+def merge_union(scopes: DataFrame, relations: DataFrame, projections: DataFrame) -> DataFrame:
+    """Output columns of every UNION scope.
+
+    Names and expressions come from the first branch; ``source_refs`` gathers
+    the references of the same position in every branch, in branch order,
+    first occurrence kept.  An unqualified reference is qualified by the
+    branch's first relation that can hold it (a physical table, or a child
+    scope projecting the name); texts with blanks or parentheses stay as is.
+    Returns (stmt_id, scope_id, pos, output_name, expression, source_refs).
+    """
+    from columbine.functions.text import column_refs
+
+    br = scopes.where(F.col("kind") == "UNION_BRANCH").select(
+        "stmt_id", F.col("parent_id").alias("union_id"), F.col("scope_id").alias("branch_id"),
+        F.coalesce("branch_ord", F.lit(0)).alias("branch_ord"))
+    w = Window.partitionBy("stmt_id", "scope_id").orderBy("ord")
+    bp = (projections.withColumn("pos", F.row_number().over(w) - 1)
+          .join(br.withColumnRenamed("branch_id", "scope_id"), ["stmt_id", "scope_id"]))
+    refs = bp.select("stmt_id", "union_id", "scope_id", "branch_ord", "pos",
+                     F.posexplode(column_refs("expression")).alias("ref_pos", "ref"))
+    rel = relations.select("stmt_id", "scope_id", F.col("ord").alias("rel_ord"), F.upper("alias").alias("alias"),
+                           "rel_kind", F.upper("table_name").alias("table_name"), "child_scope_id")
+    child_names = projections.select("stmt_id", F.col("scope_id").alias("child_scope_id"),
+                                     F.upper("output_name").alias("ref"), F.lit(True).alias("_has"))
+    plain = refs.where(~F.col("ref").contains(".") & ~F.col("ref").rlike(r"[ ()\n\r\t]"))
+    cand = (plain.join(rel, ["stmt_id", "scope_id"])
+            .join(child_names, ["stmt_id", "child_scope_id", "ref"], "left")
+            .where((F.col("rel_kind") == "PHYSICAL") | F.col("_has").isNotNull())
+            .groupBy("stmt_id", "scope_id", "pos", "ref_pos", "ref")
+            .agg(F.min_by(F.when(F.col("rel_kind") == "PHYSICAL", F.col("table_name")).otherwise(F.col("alias")),
+                          "rel_ord").alias("_q")))
+    q = (refs.join(cand, ["stmt_id", "scope_id", "pos", "ref_pos", "ref"], "left")
+         .withColumn("qualified", F.when(F.col("_q").isNotNull(), F.concat("_q", F.lit("."), "ref"))
+                     .otherwise(F.col("ref"))))
+    firsts = q.groupBy("stmt_id", "union_id", "pos", "qualified").agg(
+        F.min(F.struct("branch_ord", "ref_pos")).alias("_k"))
+    srcs = firsts.groupBy("stmt_id", "union_id", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("_k", "qualified"))).alias("_s"))
+    first_branch = br.withColumn("_r", F.row_number().over(
+        Window.partitionBy("stmt_id", "union_id").orderBy("branch_ord"))).where("_r = 1")
+    names = bp.join(first_branch.select("stmt_id", "union_id", F.col("branch_id").alias("scope_id")),
+                    ["stmt_id", "union_id", "scope_id"]).select(
+        "stmt_id", "union_id", "pos", F.upper("output_name").alias("output_name"), "expression")
+    return (names.join(srcs, ["stmt_id", "union_id", "pos"], "left")
+            .select("stmt_id", F.col("union_id").alias("scope_id"), F.col("pos").cast("long").alias("pos"),
+                    "output_name", "expression",
+                    F.array_join(F.transform(F.coalesce("_s", F.array()), lambda x: x["qualified"]), ",")
+                    .alias("source_refs")))

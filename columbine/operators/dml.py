@@ -185,13 +185,9 @@ def drop_non_columns(refs: DataFrame, dm_tables: DataFrame, relations: DataFrame
     return x.where(~drop).select(*refs.columns)
 
 
-def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_tables: DataFrame | None,
-                      max_depth: int = 50) -> DataFrame:
-    """LEFT key, RIGHT key and FILTER references of every join, each
-    resolved in the join's own scope; one row per physical source.
-
-    ``joins``: output of ``join_conditions`` (stmt_id, scope_id, join_seq, ...).
-    """
+def join_key_items(joins: DataFrame, cat: Catalog, dm_tables: DataFrame | None) -> DataFrame:
+    """J17, first half: the LEFT key, RIGHT key and FILTER references of every
+    join, each with the join's own scope and a per-statement ``root_ord``."""
     keyed = joins.select(
         "stmt_id", "scope_id", "join_seq", "join_type", "join_condition", "join_filters", "context_path",
         "conj_pos", F.inline(F.array(
@@ -202,7 +198,7 @@ def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_ta
     keyed = keyed.withColumn("full_expression", F.col("join_condition"))
     flt = (joins.where(F.col("join_filters") != "")
            .select("stmt_id", "scope_id", "join_seq", "join_type", "join_filters", "context_path")
-           .dropDuplicates(["stmt_id", "scope_id", "join_seq"])
+           .dropDuplicates(["stmt_id", "scope_id", "join_seq", "join_type"])
            .select("*", F.posexplode(column_refs("join_filters")).alias("ref_pos", "ref")))
     if dm_tables is not None:
         flt = drop_non_columns(flt, dm_tables, cat.relations)
@@ -211,12 +207,15 @@ def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_ta
                      F.lit("FILTER").alias("field_role"), "ref", "ref_pos",
                      F.col("join_filters").alias("full_expression"))
     items = keyed.unionByName(flt)
-    w = Window.partitionBy("stmt_id").orderBy("scope_id", "join_seq", "conj_pos", "join_side", "ref_pos", "ref")
-    items = items.withColumn("root_ord", F.row_number().over(w).cast("long"))
-    seeds = items.select("stmt_id", "root_ord", "scope_id", F.col("ref").alias("expression"))
-    res = resolve_refs(spark, seeds, None, None, None, None, max_depth=max_depth, catalog=cat)
+    w = Window.partitionBy("stmt_id").orderBy("scope_id", "join_type", "join_seq", "conj_pos", "join_side",
+                                              "ref_pos", "ref")
+    return items.withColumn("root_ord", F.row_number().over(w).cast("long"))
+
+
+def join_key_rows(items: DataFrame, resolved: DataFrame) -> DataFrame:
+    """J17, second half: one exploded row per resolved source of each item."""
     parts = F.split(F.upper(normalize_ws("ref")), r"\.", 2)
-    out = items.join(res.drop("full_expression"), ["stmt_id", "root_ord"])
+    out = items.join(resolved.drop("full_expression"), ["stmt_id", "root_ord"])
     return out.select(
         "stmt_id", "join_seq", "join_type", "join_side", "field_role",
         F.when(F.size(parts) > 1, parts[0]).otherwise("").alias("original_alias"),
@@ -227,6 +226,20 @@ def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_ta
         "join_condition", "context_path", "full_expression")
 
 
+def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_tables: DataFrame | None,
+                      max_depth: int = 50) -> DataFrame:
+    """LEFT key, RIGHT key and FILTER references of every join, each
+    resolved in the join's own scope; one row per physical source.
+
+    ``joins``: output of ``join_conditions`` / ``merge_on_keys`` with the
+    scope they belong to (stmt_id, scope_id, join_seq, ...).
+    """
+    items = join_key_items(joins, cat, dm_tables)
+    seeds = items.select("stmt_id", "root_ord", "scope_id", F.col("ref").alias("expression"))
+    res = resolve_refs(spark, seeds, None, None, None, None, max_depth=max_depth, catalog=cat)
+    return join_key_rows(items, res)
+
+
 def drop_merge_targets(exploded: DataFrame) -> DataFrame:
     """MERGE ON rows that stay UNRESOLVED (the target side) leave the edge table."""
     return exploded.where(~((F.col("join_type") == "MERGE") & (F.col("source_type") == "UNRESOLVED")))

@@ -112,10 +112,13 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, scopes: DataFrame, relations: DataFrame, projections: DataFrame,
                  dm: DataFrame | None):
-        keep = RoundState(spark).keep  # every look-up table becomes a plan leaf
-        scopes = keep(with_defaults(scopes))
+        # tables joined inside the loop become plan leaves (checkpoint); the
+        # ones only used to build them are persisted
+        keep = RoundState(spark).keep
+        hold = lambda df: df.persist()
+        scopes = hold(with_defaults(scopes))
         self.scopes = scopes
-        rel = keep(relations.withColumn("alias", F.upper("alias")).withColumn("table_name", F.upper("table_name")))
+        rel = hold(relations.withColumn("alias", F.upper("alias")).withColumn("table_name", F.upper("table_name")))
         self.relations = rel
         if "origin_alias" not in projections.columns:
             projections = projections.withColumn("origin_alias", _null())
@@ -125,18 +128,18 @@ class Catalog:
             F.min("ord").alias("first_ord"),
             F.max_by(F.struct("expression", "origin_alias"), "ord").alias("_v"))
         w = Window.partitionBy("stmt_id", "scope_id").orderBy("first_ord")
-        self.proj = keep(agg.select("stmt_id", "scope_id", "output_name", "_v.expression", "_v.origin_alias",
+        self.proj = hold(agg.select("stmt_id", "scope_id", "output_name", "_v.expression", "_v.origin_alias",
                                     (F.row_number().over(w) - 1).alias("pos")))
-        self.closure = keep(scope_closure(spark, scopes))
+        self.closure = hold(scope_closure(spark, scopes))
         self.vis = keep(visible_relations(scopes, rel, self.closure))
         self.names = scopes.select("stmt_id", "scope_id", "scope_name", "parent_id")
         br = scopes.where(F.col("kind") == "UNION_BRANCH").select(
             "stmt_id", F.col("parent_id").alias("union_id"), F.col("scope_id").alias("branch_id"),
             F.col("scope_name").alias("branch_name"), F.coalesce("branch_ord", F.lit(0)).alias("branch_ord"))
-        self.branches = keep(br)
-        self.unions = keep(br.select("stmt_id", F.col("union_id").alias("scope_id")).distinct())
-        self.union_pick = keep(self._union_pick())
-        self.first_phys = keep(rel.where(F.col("rel_kind") == "PHYSICAL").groupBy("stmt_id", "scope_id")
+        self.branches = hold(br)
+        self.unions = hold(br.select("stmt_id", F.col("union_id").alias("scope_id")).distinct())
+        self.union_pick = hold(self._union_pick())
+        self.first_phys = hold(rel.where(F.col("rel_kind") == "PHYSICAL").groupBy("stmt_id", "scope_id")
                            .agg(F.min_by(F.struct("table_name", "alias"), "ord").alias("_f"))
                            .select("stmt_id", "scope_id", F.col("_f.table_name").alias("fp_table")))
         self.phys = keep(rel.where(F.col("rel_kind") == "PHYSICAL").select(
@@ -145,8 +148,8 @@ class Catalog:
         child = rel.where(F.col("rel_kind") == "SCOPE").select(
             "stmt_id", "scope_id", F.col("alias").alias("child_alias"), "child_scope_id",
             F.col("ord").alias("rel_ord"))
-        self.has_child = keep(child.select("stmt_id", "scope_id").distinct())
-        self.child_proj = keep(child.join(self.proj.select("stmt_id", F.col("scope_id").alias("child_scope_id"),
+        self.has_child = hold(child.select("stmt_id", "scope_id").distinct())
+        self.child_proj = hold(child.join(self.proj.select("stmt_id", F.col("scope_id").alias("child_scope_id"),
                                                        "output_name", "expression"),
                                       ["stmt_id", "child_scope_id"])
                            .join(self.names.select("stmt_id", F.col("scope_id").alias("child_scope_id"),

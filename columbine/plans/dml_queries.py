@@ -199,12 +199,16 @@ def q_join_keys_exploded(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
+    """Assignments and join-key references resolved together in one loop
+    (join items get negative ``root_ord`` so the two seed sets stay apart)."""
     cat, dm, assignments, joins = _pipeline_parts(spark, sf_dir)
-    seeds = assignments.select("stmt_id", F.col("ord").alias("root_ord"), "scope_id", "expression")
+    items = M.join_key_items(joins, cat, dm.select("table_name")).withColumn("root_ord", -F.col("root_ord"))
+    seeds = assignments.select("stmt_id", F.col("ord").alias("root_ord"), "scope_id", "expression").unionByName(
+        items.select("stmt_id", "root_ord", "scope_id", F.col("ref").alias("expression")))
     resolved = R.resolve_refs(spark, seeds, None, None, None, None, catalog=cat)
     stmts = fx_(spark, sf_dir, "stmts")
-    maps = RP.mapping_edges(assignments, resolved, stmts)
-    jrows = RP.join_edges(_exploded(spark, sf_dir, cat, dm, joins), stmts)
+    maps = RP.mapping_edges(assignments, resolved.where(F.col("root_ord") >= 0), stmts)
+    jrows = RP.join_edges(M.join_key_rows(items, resolved.where(F.col("root_ord") < 0)), stmts)
     return RP.edge_table(maps, jrows), joins, stmts
 
 

@@ -207,3 +207,123 @@ def q_unresolved_report(spark, sf_dir):
     cat = R.Catalog(spark, scopes, rel, proj, dm)
     res = R.resolve_refs(spark, seeds, scopes, rel, proj, dm, catalog=cat)
     return R.unresolved_report(res, seeds, cat)
+
+
+STAR_NEEDS = ["star_scopes", "star_relations", "star_projections", "dm_pairs"]
+
+
+@register("star_expansion", needs=STAR_NEEDS, oracle="""
+with dmc as (select upper(table_name) as t, upper(column_name) as c, ordinal from dm_pairs),
+rel as (select stmt_id, scope_id, ord as rel_ord, upper(alias) as alias, rel_kind, upper(table_name) as table_name,
+               child_scope_id from star_relations),
+p as (select stmt_id, scope_id, cast(ord as bigint) as ord, cast([] as bigint[]) as sub, upper(output_name) as output_name,
+             expression, cast(null as varchar) as origin_alias, upper(star_kind) as star_kind,
+             upper(star_alias) as star_alias from star_projections),
+t1 as (select s.stmt_id, s.scope_id, s.ord, r.rel_ord, r.alias, r.rel_kind, r.table_name, r.child_scope_id
+       from p s join rel r on r.stmt_id = s.stmt_id and r.scope_id = s.scope_id
+       where s.scope_id = 1 and s.star_kind is not null and (s.star_kind = 'ALL' or r.alias = s.star_alias)),
+e1 as (select stmt_id, scope_id, ord, [cast(rel_ord as bigint), cast(ordinal as bigint)] as sub, c as output_name,
+              alias || '.' || c as expression, cast(null as varchar) as origin_alias
+       from t1 join dmc on dmc.t = t1.table_name where rel_kind = 'PHYSICAL'
+       union all
+       select stmt_id, scope_id, ord, [cast(rel_ord as bigint)], '*_' || alias, alias || '.*', null from t1
+       where rel_kind = 'PHYSICAL' and table_name not in (select t from dmc)),
+p1 as (select stmt_id, scope_id, ord, sub, output_name, expression, origin_alias, star_kind, star_alias from p
+       where not (scope_id = 1 and star_kind is not null)
+       union all select *, null, null from e1),
+t0 as (select s.stmt_id, s.scope_id, s.ord, r.rel_ord, r.alias, r.rel_kind, r.table_name, r.child_scope_id
+       from p1 s join rel r on r.stmt_id = s.stmt_id and r.scope_id = s.scope_id
+       where s.scope_id = 0 and s.star_kind is not null and (s.star_kind = 'ALL' or r.alias = s.star_alias)),
+e0 as (select t0.stmt_id, t0.scope_id, t0.ord, list_concat([cast(t0.rel_ord as bigint), c.ord], c.sub) as sub,
+              c.output_name, c.expression, t0.alias as origin_alias
+       from t0 join p1 c on c.stmt_id = t0.stmt_id and c.scope_id = t0.child_scope_id and c.star_kind is null
+       where t0.rel_kind = 'SCOPE'
+       union all
+       select stmt_id, scope_id, ord, [cast(rel_ord as bigint), cast(ordinal as bigint)], c, alias || '.' || c, null
+       from t0 join dmc on dmc.t = t0.table_name where rel_kind = 'PHYSICAL'
+       union all
+       select stmt_id, scope_id, ord, [cast(rel_ord as bigint)], '*_' || alias, alias || '.*', null from t0
+       where rel_kind = 'PHYSICAL' and table_name not in (select t from dmc)),
+fin as (select stmt_id, scope_id, ord, sub, output_name, expression, origin_alias from p1
+        where star_kind is null and not (scope_id = 0 and star_kind is not null)
+        union all select * from e0),
+g as (select stmt_id, scope_id, output_name, min((ord, sub)) as first_pos,
+             arg_max(expression, (ord, sub)) as expression, arg_max(origin_alias, (ord, sub)) as origin_alias
+      from fin group by 1, 2, 3)
+select stmt_id, scope_id, row_number() over (partition by stmt_id, scope_id order by first_pos) - 1 as ord,
+       output_name, expression, origin_alias from g
+""")
+def q_star_expansion(spark, sf_dir):
+    """* and A.* expanded over a subquery, a DM table and a table outside the DM."""
+    g = lambda n: fx.spark_fixture(spark, sf_dir, n)
+    return C.expand_stars(spark, g("star_scopes"), g("star_relations"), g("star_projections"), g("dm_pairs"))
+
+
+UNION_NEEDS = ["union_scopes", "union_relations", "union_projections"]
+
+
+@register("union_merge", needs=UNION_NEEDS, oracle=f"""
+with br as (select stmt_id, parent_id as union_id, scope_id, coalesce(branch_ord, 0) as branch_ord
+            from union_scopes where kind = 'UNION_BRANCH'),
+bp as (select p.*, b.union_id, b.branch_ord,
+              row_number() over (partition by p.stmt_id, p.scope_id order by p.ord) - 1 as pos
+       from union_projections p join br b using (stmt_id, scope_id)),
+refs as (select stmt_id, union_id, scope_id, branch_ord, pos, unnest(rs) as ref,
+                unnest(range(len(rs))) as ref_pos
+         from (select *, {d_column_refs('expression')} as rs from bp)),
+rel as (select stmt_id, scope_id, ord as rel_ord, upper(alias) as alias, rel_kind, upper(table_name) as table_name,
+               child_scope_id from union_relations),
+cn as (select stmt_id, scope_id as child_scope_id, upper(output_name) as ref from union_projections),
+cand as (select r.stmt_id, r.scope_id, r.pos, r.ref_pos, r.ref,
+                arg_min(case when l.rel_kind = 'PHYSICAL' then l.table_name else l.alias end, l.rel_ord) as q
+         from refs r join rel l on l.stmt_id = r.stmt_id and l.scope_id = r.scope_id
+         left join cn on cn.stmt_id = r.stmt_id and cn.child_scope_id = l.child_scope_id and cn.ref = r.ref
+         where strpos(r.ref, '.') = 0 and (l.rel_kind = 'PHYSICAL' or cn.ref is not null)
+         group by 1, 2, 3, 4, 5),
+q as (select r.*, case when c.q is not null then c.q || '.' || r.ref else r.ref end as qualified
+      from refs r left join cand c using (stmt_id, scope_id, pos, ref_pos, ref)),
+f as (select stmt_id, union_id, pos, qualified, min((branch_ord, ref_pos)) as k from q group by 1, 2, 3, 4),
+s as (select stmt_id, union_id, pos, string_agg(qualified, ',' order by k) as source_refs from f group by 1, 2, 3),
+fb as (select stmt_id, union_id, scope_id from (select *, row_number() over (partition by stmt_id, union_id
+        order by branch_ord) as rn from br) z where rn = 1)
+select b.stmt_id, b.union_id as scope_id, b.pos, upper(b.output_name) as output_name, b.expression,
+       coalesce(s.source_refs, '') as source_refs
+from bp b join fb using (stmt_id, union_id, scope_id) left join s using (stmt_id, union_id, pos)
+""")
+def q_union_merge(spark, sf_dir):
+    """UNION outputs with the qualified references of every branch."""
+    g = lambda n: fx.spark_fixture(spark, sf_dir, n)
+    return C.merge_union(g("union_scopes"), g("union_relations"), g("union_projections"))
+
+
+@register("union_resolve", needs=UNION_NEEDS)
+def q_union_resolve(spark, sf_dir):
+    """J9 through a UNION: root columns U.N1 / U.N2 by name and by position in each branch."""
+    g = lambda n: fx.spark_fixture(spark, sf_dir, n)
+    seeds = g("union_scopes").where("scope_id = 0").select(
+        "stmt_id", "scope_id", F.inline(F.array(
+            F.struct(F.lit(0).cast("long").alias("root_ord"), F.lit("U.N1").alias("expression")),
+            F.struct(F.lit(1).cast("long").alias("root_ord"), F.lit("U.N2 || U.N1").alias("expression")))))
+    return R.resolve_refs(spark, seeds, g("union_scopes"), g("union_relations"), g("union_projections"), None)
+
+
+@register("nearest_cte", needs=["cte_scopes", "cte_relations"], oracle=f"""
+with recursive {CLOSURE_SQL.replace('scopes', 'cte_scopes')},
+ctes as (select stmt_id, parent_id as ancestor_id, scope_id as cte_scope_id,
+                upper(regexp_extract(scope_name, '([^/:]+)$', 1)) as cte from cte_scopes where kind = 'CTE'),
+cand as (select r.stmt_id, r.scope_id, r.ord, c.cte_scope_id,
+                row_number() over (partition by r.stmt_id, r.scope_id, r.ord order by a.distance) as rn
+         from cte_relations r join anc a on a.stmt_id = r.stmt_id and a.scope_id = r.scope_id
+         join ctes c on c.stmt_id = a.stmt_id and c.ancestor_id = a.ancestor_id
+         where r.rel_kind = 'PHYSICAL' and upper(r.table_name) = c.cte)
+select r.stmt_id, r.scope_id, r.ord, r.alias,
+       case when c.cte_scope_id is not null then 'SCOPE' else r.rel_kind end as rel_kind,
+       case when c.cte_scope_id is not null then null else r.table_name end as table_name,
+       coalesce(c.cte_scope_id, r.child_scope_id) as child_scope_id
+from cte_relations r left join (select * from cand where rn = 1) c using (stmt_id, scope_id, ord)
+""")
+def q_nearest_cte(spark, sf_dir):
+    """Table names that are CTEs become scope relations of the nearest CTE."""
+    g = lambda n: fx.spark_fixture(spark, sf_dir, n)
+    scopes = g("cte_scopes")
+    return C.nearest_cte(g("cte_relations"), scopes, C.scope_closure(spark, scopes))

@@ -238,6 +238,74 @@ union all
 select object_name, 'success', 2 from {stmts} where stmt_id % 4 = 1
 """
 
+# --- star and union catalogs ---------------------------------------------------
+# ROOT selects *, S.* and one column over subquery S, a DM table and a table
+# outside the DM; S selects a column, * over a DM table, and the column again.
+FIXTURES["star_scopes"] = """
+select s_suppkey as stmt_id, k as scope_id, case when k = 0 then null else 0 end as parent_id,
+       case k when 0 then 'ROOT' else 'ROOT/S' end as scope_name, case k when 0 then 'ROOT' else 'SUBQUERY' end as kind,
+       cast(null as int) as branch_ord
+from {supplier} cross join (values (0), (1)) as v(k)
+"""
+
+FIXTURES["star_relations"] = """
+select s_suppkey as stmt_id, 0 as scope_id, 0 as ord, 'S' as alias, 'SCOPE' as rel_kind, cast(null as varchar(20)) as table_name, 1 as child_scope_id from {supplier}
+union all select s_suppkey, 0, 1, 'D', 'PHYSICAL', concat('DIM_N', s_nationkey), null from {supplier}
+union all select s_suppkey, 0, 2, 'X', 'PHYSICAL', 'EXT_T', null from {supplier}
+union all select s_suppkey, 1, 0, 'P', 'PHYSICAL', concat('SRC_S', s_suppkey % 10), null from {supplier}
+"""
+
+FIXTURES["star_projections"] = """
+select s_suppkey as stmt_id, 1 as scope_id, 0 as ord, 'C1' as output_name, 'P.C1' as expression,
+       cast(null as varchar(10)) as star_kind, cast(null as varchar(10)) as star_alias from {supplier}
+union all select s_suppkey, 1, 1, '*', '*', 'ALL', null from {supplier}
+union all select s_suppkey, 1, 2, 'C1', 'P.C1 + 1', null, null from {supplier}
+union all select s_suppkey, 0, 0, '*', '*', 'ALL', null from {supplier}
+union all select s_suppkey, 0, 1, '*', 'S.*', 'QUALIFIED', 'S' from {supplier}
+union all select s_suppkey, 0, 2, 'EXTRA', 'D.K1', null, null from {supplier}
+"""
+
+FIXTURES["union_scopes"] = """
+select s_suppkey as stmt_id, k as scope_id,
+       case k when 0 then null when 1 then 0 when 2 then 1 when 3 then 1 else 3 end as parent_id,
+       case k when 0 then 'ROOT' when 1 then 'ROOT/U' when 2 then 'ROOT/U/B1' when 3 then 'ROOT/U/B2' else 'ROOT/U/B2/Q' end as scope_name,
+       case k when 0 then 'ROOT' when 1 then 'UNION' when 4 then 'SUBQUERY' else 'UNION_BRANCH' end as kind,
+       case k when 2 then 0 when 3 then 1 end as branch_ord
+from {supplier} cross join (values (0), (1), (2), (3), (4)) as v(k)
+"""
+
+FIXTURES["union_relations"] = """
+select s_suppkey as stmt_id, 0 as scope_id, 0 as ord, 'U' as alias, 'SCOPE' as rel_kind, cast(null as varchar(20)) as table_name, 1 as child_scope_id from {supplier}
+union all select s_suppkey, 2, 0, 'P', 'PHYSICAL', concat('SRC_S', s_suppkey % 10), null from {supplier}
+union all select s_suppkey, 3, 0, 'Q', 'SCOPE', null, 4 from {supplier}
+union all select s_suppkey, 3, 1, 'R', 'PHYSICAL', concat('STG_C', s_suppkey % 40), null from {supplier}
+union all select s_suppkey, 4, 0, 'Z', 'PHYSICAL', concat('DIM_N', s_nationkey), null from {supplier}
+"""
+
+FIXTURES["union_projections"] = """
+select s_suppkey as stmt_id, 2 as scope_id, 0 as ord, 'N1' as output_name, 'P.A' as expression from {supplier}
+union all select s_suppkey, 2, 1, 'N2', 'NVL(B, 0)' from {supplier}
+union all select s_suppkey, 3, 0, 'M1', 'C' from {supplier}
+union all select s_suppkey, 3, 1, 'M2', 'Q.D + E' from {supplier}
+union all select s_suppkey, 4, 0, 'C', 'Z.C' from {supplier}
+union all select s_suppkey, 4, 1, 'D', 'Z.D' from {supplier}
+"""
+
+# A CTE defined on ROOT (name W) and shadowed by another W inside S.
+FIXTURES["cte_scopes"] = """
+select s_suppkey as stmt_id, k as scope_id, case k when 0 then null when 1 then 0 when 2 then 0 when 3 then 2 end as parent_id,
+       case k when 0 then 'ROOT' when 1 then 'ROOT/CTE:W' when 2 then 'ROOT/S' else 'ROOT/S/CTE:W' end as scope_name,
+       case k when 0 then 'ROOT' when 2 then 'SUBQUERY' else 'CTE' end as kind, cast(null as int) as branch_ord
+from {supplier} cross join (values (0), (1), (2), (3)) as v(k)
+"""
+
+FIXTURES["cte_relations"] = """
+select s_suppkey as stmt_id, 0 as scope_id, 0 as ord, 'A' as alias, 'PHYSICAL' as rel_kind, 'W' as table_name, cast(null as int) as child_scope_id from {supplier}
+union all select s_suppkey, 0, 1, 'S', 'SCOPE', null, 2 from {supplier}
+union all select s_suppkey, 2, 0, 'B', 'PHYSICAL', 'w', null from {supplier}
+union all select s_suppkey, 2, 1, 'C', 'PHYSICAL', concat('SRC_S', s_suppkey % 10), null from {supplier}
+"""
+
 # Root-level expressions to resolve: every projection of scope 0.
 FIXTURES["resolve_seeds"] = """
 select stmt_id, ord as root_ord, scope_id, output_name as target_column, expression
