@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from columbine.operators import dml as M
@@ -302,3 +303,35 @@ def q_direct_mappings(spark, sf_dir):
     s = fx_(spark, sf_dir, "mapping_spec")
     return s.select("name", "target_column", M.is_direct(s).alias("is_direct"),
                     M.spec_expression(s).alias("spec_expression"))
+
+
+@register("direct_fallback", needs=["stmts", "mapping_spec", "scopes", "relations", "projections", "dm_pairs"])
+def q_direct_fallback(spark, sf_dir):
+    """J18 (v1): spec rows of every statement resolved against its scope
+    catalog; a direct mapping left all UNRESOLVED becomes one DIRECT_MAPPING edge."""
+    scopes, rel, proj, dm = catalog_frames(spark, sf_dir)
+    spec = M.spec_for_object(fx_(spark, sf_dir, "mapping_spec"), fx_(spark, sf_dir, "stmts"))
+    w = F.row_number().over(Window.partitionBy("stmt_id").orderBy("target_column"))
+    rows = spec.select("stmt_id", "target_table", "target_column", "source_table", "source_column",
+                       M.is_direct(spec).alias("direct"), M.spec_expression(spec).alias("expression")) \
+        .withColumn("root_ord", w.cast("long"))
+    seeds = rows.select("stmt_id", "root_ord", F.lit(0).cast("long").alias("scope_id"), "expression")
+    res = R.resolve_refs(spark, seeds, scopes, rel, proj, dm)
+    return M.direct_fallback(rows, res).join(rows.select("stmt_id", "root_ord", "target_column"),
+                                              ["stmt_id", "root_ord"])
+
+
+@register("combined_edges", needs=["stmts"])
+def q_combined_edges(spark, sf_dir):
+    """T2 + U3: all statements' edges in the combined output order."""
+    edges, _, _ = _edges(spark, sf_dir)
+    return RP.sort_combined(edges)
+
+
+@register("join_keys_sorted", needs=["stmts"])
+def q_join_keys_sorted(spark, sf_dir):
+    """Exploded join keys of all statements in output order, with file names."""
+    cat, dm, _, joins = _pipeline_parts(spark, sf_dir)
+    ex = _exploded(spark, sf_dir, cat, dm, joins).join(
+        fx_(spark, sf_dir, "stmts").select("stmt_id", "sql_file", "object_name"), "stmt_id")
+    return RP.sort_exploded(ex.select(*RP.JOIN_KEYS_EXPLODED_COLUMNS))

@@ -424,3 +424,14 @@ def q_depth_layers(spark, sf_dir):
     """Tables laid out by depth layer."""
     return G.depth_layers(q_lineage_depth(spark, sf_dir)).select(
         "table_name", "depth", "layer_position", "layer_size")
+
+
+@register("graph_json", needs=MAPS + ["column_catalog"])
+def q_graph_json(spark, sf_dir):
+    """The viewer's data as JSON lines: table edges, nodes and the delta summary."""
+    from columbine.operators import delta as D
+    from columbine.operators.report import graph_json
+
+    v1, v2 = mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2")
+    return graph_json(G.graph_edges(v2), G.graph_nodes(v1, v2, _catalog(spark, sf_dir)),
+                      D.delta_summary(D.mapping_delta(v1, v2)))
