@@ -72,6 +72,7 @@ def reach(
         n = frontier.count()
         if n > 0:
             parts.append(frontier)
+    e.unpersist(blocking=False)  # the result is built from checkpointed rounds only
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
