@@ -183,7 +183,7 @@ class Catalog:
         ph = ph.select("stmt_id", "scope_id",
                        F.transform("_p", lambda p: F.struct(p["rel_alias"].alias("alias"),
                                                             p["rel_table"].alias("table_name"))).alias("phys"),
-                       F.element_at("_p", 1)["rel_table"].alias("first_phys"))
+                       F.try_element_at("_p", F.lit(1))["rel_table"].alias("first_phys"))
         return (self.names.join(br, ["stmt_id", "scope_id"], "left")
                 .join(self.has_child.withColumn("has_child", F.lit(True)), ["stmt_id", "scope_id"], "left")
                 .join(ph, ["stmt_id", "scope_id"], "left").join(self.aliases, ["stmt_id", "scope_id"], "left")
@@ -192,24 +192,40 @@ class Catalog:
                         F.coalesce("has_child", F.lit(False)).alias("has_child"), "phys", "aliases", "first_phys"))
 
     def _name_info(self) -> DataFrame:
-        """Per (scope, name): own projection, union branch picks, child scopes projecting it."""
+        """Per (scope, name): own projection, union branch picks, child scopes
+        projecting it.  Every expression carries its references, its constant
+        flag and (own projections) the identity flag, computed here once so
+        the loop never re-parses catalog text."""
         pr = self.proj.select("stmt_id", "scope_id", F.col("output_name").alias("name"), "expression",
                               F.col("origin_alias").alias("origin"))
+        pr = pr.join(self.aliases, ["stmt_id", "scope_id"], "left").withColumn("_refs", column_refs("expression"))
+        first = F.split(F.try_element_at("_refs", F.lit(1)), r"\.", 2)
+        single_col = F.when(F.size(first) > 1, F.trim(first[1])).otherwise(F.trim(first[0]))
+        single_alias = F.when(F.size(first) > 1, F.trim(first[0]))
+        ident = (normalize_identifier("expression") == F.col("name")) | (
+            (F.size("_refs") == 1) & (single_col == F.col("name")) &
+            ~(single_alias.isNotNull() & F.coalesce(F.array_contains("aliases", single_alias), F.lit(False))))
+        pr = pr.select("stmt_id", "scope_id", "name", "expression", "origin", F.col("_refs").alias("refs"),
+                       is_constant("expression").alias("is_const"), ident.alias("ident"))
         pk = self.union_pick.groupBy("stmt_id", "scope_id", "name").agg(
             F.array_sort(F.collect_list(F.struct("branch_ord", "branch_id", "branch_name",
                                                  F.col("branch_expression").alias("expr")))).alias("_k"))
         pk = pk.select("stmt_id", "scope_id", "name", F.transform("_k", lambda b: F.struct(
             b["branch_id"].cast("long").alias("branch_id"), b["branch_name"].alias("branch_name"),
-            b["expr"].alias("expr"))).alias("pick"))
+            b["expr"].alias("expr"), column_refs(b["expr"]).alias("refs"),
+            is_constant(b["expr"]).alias("is_const"))).alias("pick"))
         ch = self.child_proj.groupBy("stmt_id", "scope_id", F.col("output_name").alias("name")).agg(
             F.array_sort(F.collect_list(F.struct("rel_ord", "child_scope_id", "child_name", "expression",
                                                  "child_alias"))).alias("_c"))
         ch = ch.select("stmt_id", "scope_id", "name", F.transform("_c", lambda c: F.struct(
             c["child_scope_id"].cast("long").alias("child_scope_id"), c["child_name"].alias("child_name"),
-            c["expression"].alias("expr"), c["child_alias"].alias("child_alias"))).alias("children"))
+            c["expression"].alias("expr"), c["child_alias"].alias("child_alias"),
+            column_refs(c["expression"]).alias("refs"), is_constant(c["expression"]).alias("is_const")))
+            .alias("children"))
         keys = ["stmt_id", "scope_id", "name"]
         return (pr.join(pk, keys, "full_outer").join(ch, keys, "full_outer")
-                .select(*keys, F.col("expression").alias("expr"), "origin", "pick", "children"))
+                .select(*keys, F.col("expression").alias("expr"), "origin", "refs", "is_const", "ident",
+                        "pick", "children"))
 
     def _union_pick(self) -> DataFrame:
         """For each union scope and column name: the branch projections it means.
@@ -243,7 +259,8 @@ def _empty():
 
 
 def _o(k, scope_id=None, ref=None, expr=None, trace=None, seen=None, drop=None, source_type=None, table=None,
-       column=None, const=None, reason=None, suffix=None, alias=None, oref=None, dm_needed=False):
+       column=None, const=None, reason=None, suffix=None, alias=None, oref=None, dm_needed=False, refs=None,
+       is_const=None):
     """One outcome struct (k: R result, T reference task, E expression task, D DM fall-back)."""
     def v(x, t="string"):
         if x is None:
@@ -257,14 +274,20 @@ def _o(k, scope_id=None, ref=None, expr=None, trace=None, seen=None, drop=None,
         v(source_type).alias("source_type"), v(table).alias("table_name"), v(column).alias("column_name"),
         v(const).alias("constant_value"), v(reason).alias("reason"), v(suffix).alias("suffix"),
         v(alias).alias("source_alias"), v(oref).alias("original_ref"), F.lit(dm_needed).alias("dm_needed"),
+        (refs if refs is not None else F.lit(None).cast("array<string>")).alias("refs"),
+        (is_const if is_const is not None else F.lit(None).cast("boolean")).alias("is_const"),
     )
 
 
 def _expr_outcomes(df: DataFrame) -> DataFrame:
     """resolve_expression over rows (stmt_id, root_ord, full_expression, drop_unres, scope_id, expr, trace, seen):
     constants end as results, references become reference tasks."""
-    e = df.withColumn("_expr", F.coalesce(F.col("expr"), F.lit(""))).withColumn("_refs", column_refs("_expr"))
-    const = is_constant("_expr")
+    if "refs" not in df.columns:
+        df = df.withColumns({"refs": F.lit(None).cast("array<string>"), "is_const": F.lit(None).cast("boolean")})
+    e = df.withColumn("_expr", F.coalesce(F.col("expr"), F.lit(""))).withColumn(
+        "_refs", F.coalesce(F.col("refs"), column_refs("_expr"))).withColumn(
+        "_const", F.coalesce(F.col("is_const"), is_constant("_expr")))
+    const = F.col("_const")
     stripped = py_strip("_expr")
     outs = (F.when(const, F.array(_o("R", source_type="CONSTANT", const=stripped, seen=_empty(),
                                      suffix=F.concat(F.lit(":CONSTANT("), stripped, F.lit(")")))))
@@ -308,15 +331,18 @@ def _round(tasks: DataFrame, cat: Catalog, max_depth: int) -> DataFrame:
     q_scope = (
         F.when(F.col("_target") == F.col("scope_id"),
                F.when(F.col("SN_expr").isNotNull(),
-                      F.array(_o("E", scope_id=F.col("scope_id"), expr=F.col("SN_expr"))))
+                      F.array(_o("E", scope_id=F.col("scope_id"), expr=F.col("SN_expr"), refs=F.col("SN_refs"),
+                                 is_const=F.col("SN_is_const"))))
                .otherwise(F.array(_o("R", source_type="UNRESOLVED", column=F.concat(alias, F.lit("."), col),
                                      reason="MISSING_PROJECTION"))))
         .when(F.col("T_is_union") & (F.size(F.coalesce(t_pick, F.array())) > 0),
               F.transform(t_pick, lambda b: _o("E", scope_id=b["branch_id"], expr=b["expr"],
-                                               trace=F.concat(trace, F.array(b["branch_name"])), seen=_empty())))
+                                               trace=F.concat(trace, F.array(b["branch_name"])), seen=_empty(),
+                                               refs=b["refs"], is_const=b["is_const"])))
         .when(F.col("TN_expr").isNotNull(),
               F.array(_o("E", scope_id=F.col("_target"), expr=F.col("TN_expr"),
-                         trace=F.concat(trace, F.array("T_scope_name")), seen=_empty())))
+                         trace=F.concat(trace, F.array("T_scope_name")), seen=_empty(), refs=F.col("TN_refs"),
+                         is_const=F.col("TN_is_const"))))
         .when(F.col("T_first_phys").isNotNull(),
               F.array(_o("R", source_type="PHYSICAL", table=F.col("T_first_phys"), column=col,
                          suffix=colon(F.col("T_first_phys"), col), alias=alias, oref=u, dm_needed=True)))
@@ -334,25 +360,22 @@ def _round(tasks: DataFrame, cat: Catalog, max_depth: int) -> DataFrame:
     picked_ids = F.transform(s_pick, lambda b: b["branch_id"])
     union_out = F.concat(
         F.transform(s_pick, lambda b: _o("E", scope_id=b["branch_id"], expr=b["expr"],
-                                         trace=F.concat(trace, F.array(b["branch_name"])))),
+                                         trace=F.concat(trace, F.array(b["branch_name"])), refs=b["refs"],
+                                         is_const=b["is_const"])),
         F.transform(F.filter(F.coalesce(F.col("S_branches"), F.array()),
                              lambda b: ~F.array_contains(picked_ids, b["branch_id"])),
                     lambda b: _o("T", scope_id=b["branch_id"], ref=col,
                                  trace=F.concat(trace, F.array(b["branch_name"])), drop=F.lit(True))))
-    prefs = column_refs("SN_expr")
-    first = F.split(F.element_at(prefs, 1), r"\.", 2)
-    single_col = F.when(F.size(first) > 1, F.trim(first[1])).otherwise(F.trim(first[0]))
-    single_alias = F.when(F.size(first) > 1, F.trim(first[0]))
-    identity = (normalize_identifier("SN_expr") == col) | (
-        (F.size(prefs) == 1) & (single_col == col) &
-        ~(single_alias.isNotNull() & F.coalesce(F.array_contains("S_aliases", single_alias), F.lit(False))))
+    identity = F.coalesce(F.col("SN_ident"), F.lit(False))
     kids = F.coalesce(F.col("SN_children"), F.array())
-    origin_kid = F.element_at(F.filter(kids, lambda c: c["child_alias"] == F.upper(F.coalesce("SN_origin", F.lit("")))), 1)
-    kid = F.coalesce(origin_kid, F.element_at(kids, 1))
+    origin_kid = F.try_element_at(
+        F.filter(kids, lambda c: c["child_alias"] == F.upper(F.coalesce("SN_origin", F.lit("")))), F.lit(1))
+    kid = F.coalesce(origin_kid, F.try_element_at(kids, F.lit(1)))
     phys = F.coalesce(F.col("S_phys"), F.array())
     ident_out = (
         F.when(F.size(kids) > 0, F.array(_o("E", scope_id=kid["child_scope_id"], expr=kid["expr"],
-                                             trace=F.concat(trace, F.array(kid["child_name"])), seen=_empty())))
+                                             trace=F.concat(trace, F.array(kid["child_name"])), seen=_empty(),
+                                             refs=kid["refs"], is_const=kid["is_const"])))
         .when(~F.coalesce("S_has_child", F.lit(False)) & (F.size(phys) > 0),
               F.transform(phys, lambda p: _o("R", source_type="PHYSICAL", table=p["table_name"], column=col,
                                              suffix=colon(p["table_name"], col), alias=p["alias"], oref=col,
@@ -361,11 +384,13 @@ def _round(tasks: DataFrame, cat: Catalog, max_depth: int) -> DataFrame:
     unqualified = (
         F.when(F.coalesce("S_is_union", F.lit(False)), union_out)
         .when(F.col("SN_expr").isNotNull(),
-              F.when(~identity, F.array(_o("E", scope_id=F.col("scope_id"), expr=F.col("SN_expr"))))
+              F.when(~identity, F.array(_o("E", scope_id=F.col("scope_id"), expr=F.col("SN_expr"),
+                                           refs=F.col("SN_refs"), is_const=F.col("SN_is_const"))))
               .otherwise(ident_out))
         .when(F.size(kids) > 0,
               F.transform(kids, lambda c: _o("E", scope_id=c["child_scope_id"], expr=c["expr"],
-                                             trace=F.concat(trace, F.array(c["child_name"])))))
+                                             trace=F.concat(trace, F.array(c["child_name"])), refs=c["refs"],
+                                             is_const=c["is_const"])))
         .otherwise(F.array(_o("D", scope_id=F.col("scope_id"), ref=col))))
     outs = (
         F.when(F.array_contains("seen", F.col("_key")),
@@ -384,7 +409,7 @@ def _round(tasks: DataFrame, cat: Catalog, max_depth: int) -> DataFrame:
     e = x.where(F.col("o.k") == "E").select(
         "stmt_id", "root_ord", "full_expression", F.col("o.drop").alias("drop_unres"),
         F.col("o.scope_id").alias("scope_id"), F.col("o.expr").alias("expr"), F.col("o.trace").alias("trace"),
-        F.col("o.seen").alias("seen"))
+        F.col("o.seen").alias("seen"), F.col("o.refs").alias("refs"), F.col("o.is_const").alias("is_const"))
     d = x.where(F.col("o.k") == "D").select("*", F.col("o.scope_id").alias("_s"), F.col("o.ref").alias("_c"))
     if cat.dm is not None:
         keys = d.select("stmt_id", "_s", "_c").distinct()
@@ -444,14 +469,8 @@ def resolve_refs(spark: SparkSession, seeds: DataFrame, scopes: DataFrame, relat
     while n > 0:
         rounds += 1
         if rounds > limit:  # safety: every remaining task is reported, never dropped
-            results.append(tasks.select("stmt_id", "root_ord", "full_expression", F.struct(
-                F.lit("R").alias("k"), *[F.lit(None).cast(t).alias(c) for c, t in (
-                    ("scope_id", "bigint"), ("ref", "string"), ("expr", "string"))],
-                F.col("trace"), F.col("seen"), F.col("drop_unres").alias("drop"),
-                F.lit("UNRESOLVED").alias("source_type"), *[F.lit(None).cast("string").alias(c) for c in (
-                    "table_name", "column_name", "constant_value")], F.lit("DEPTH_GUARD").alias("reason"),
-                *[F.lit(None).cast("string").alias(c) for c in ("suffix", "source_alias", "original_ref")],
-                F.lit(False).alias("dm_needed")).alias("o")))
+            results.append(tasks.select("stmt_id", "root_ord", "full_expression", _o(
+                "R", source_type="UNRESOLVED", reason="DEPTH_GUARD", seen=F.col("seen")).alias("o")))
             break
         out = state.keep(_round(tasks, cat, max_depth))
         results.append(out.where(F.col("o.k") == "R"))

@@ -203,7 +203,9 @@ def _edges(spark, sf_dir):
     """Assignments and join-key references resolved together in one loop
     (join items get negative ``root_ord`` so the two seed sets stay apart)."""
     cat, dm, assignments, joins = _pipeline_parts(spark, sf_dir)
-    items = M.join_key_items(joins, cat, dm.select("table_name")).withColumn("root_ord", -F.col("root_ord"))
+    # both feed the loop's seeds and the final joins (and the sort's sampling pass)
+    assignments = assignments.persist()
+    items = M.join_key_items(joins, cat, dm.select("table_name")).withColumn("root_ord", -F.col("root_ord")).persist()
     seeds = assignments.select("stmt_id", F.col("ord").alias("root_ord"), "scope_id", "expression").unionByName(
         items.select("stmt_id", "root_ord", "scope_id", F.col("ref").alias("expression")))
     resolved = R.resolve_refs(spark, seeds, None, None, None, None, catalog=cat)
