@@ -234,8 +234,16 @@ def q_lineage_stats(spark, sf_dir):
 
 @register("summary_long", needs=["stmts"])
 def q_summary_long(spark, sf_dir):
-    """A2: the stats in long form."""
-    return RP.summary_long(q_lineage_stats(spark, sf_dir))
+    """A2 + T5: the stats in long form; notes carry the count and first five validation warnings."""
+    from columbine.functions.text import validate_sql
+
+    w = fx_(spark, sf_dir, "stmts").select("sql_file", validate_sql("sql_text")["warnings"].alias("_w"))
+    notes = w.select("sql_file", F.concat(F.size("_w").cast("string"), F.lit(" warnings"),
+                                          F.when(F.size("_w") > 0, F.concat(F.lit(": "), F.array_join(
+                                              F.slice("_w", 1, 5), " | "))).otherwise(F.lit(""))).alias("_n"))
+    s = RP.summary_long(q_lineage_stats(spark, sf_dir))
+    return s.join(notes, "sql_file", "left").select("sql_file", "metric", "value",
+                                                    F.coalesce("_n", F.lit("")).alias("notes"))
 
 
 @register("unresolved_rate", needs=["stmts"])
@@ -337,3 +345,15 @@ def q_join_keys_sorted(spark, sf_dir):
     ex = _exploded(spark, sf_dir, cat, dm, joins).join(
         fx_(spark, sf_dir, "stmts").select("stmt_id", "sql_file", "object_name"), "stmt_id")
     return RP.sort_exploded(ex.select(*RP.JOIN_KEYS_EXPLODED_COLUMNS))
+
+
+@register("mapping_spec_normalized", needs=["mapping_spec"])
+def q_mapping_spec_normalized(spark, sf_dir):
+    """The spec sheet as read: headers matched, identifiers and expressions normalized."""
+    from columbine.sources.io import read_mapping_spec
+
+    raw = fx_(spark, sf_dir, "mapping_spec").select(
+        F.col("type").alias(" TYPE "), F.col("name").alias("Name"), F.col("target_table").alias("Target Table"),
+        F.col("target_column").alias("target column"), F.col("source_table").alias("Source Table"),
+        F.col("source_column").alias("SOURCE COLUMN"), F.col("expression").alias("Expression"))
+    return read_mapping_spec(spark, raw)

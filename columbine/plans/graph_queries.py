@@ -435,3 +435,59 @@ def q_graph_json(spark, sf_dir):
     v1, v2 = mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2")
     return graph_json(G.graph_edges(v2), G.graph_nodes(v1, v2, _catalog(spark, sf_dir)),
                       D.delta_summary(D.mapping_delta(v1, v2)))
+
+
+@register("dm_pairs", needs=["map_v1"], oracle=f"""
+with {V1},
+raw as (select lower(source_table) as t, '"' || source_field || '"' as c, row_ord from v1
+        union all select '  ' || dest_table, dest_field, row_ord from v1
+        union all select '', 'X', 0 union all select 'T', '   ', 0),
+n as (select upper(trim(regexp_replace(t, '\\s+', ' ', 'g'))) as t0, upper(trim(regexp_replace(c, '\\s+', ' ', 'g'))) as c0,
+             row_ord from raw),
+q as (select case when t0 like '"%"' then substring(t0, 2, length(t0) - 2) else t0 end as table_name,
+             case when c0 like '"%"' and length(c0) >= 2 then substring(c0, 2, length(c0) - 2) else c0 end as column_name,
+             row_ord from n),
+f as (select table_name, column_name, min(row_ord) as p from q where table_name <> '' and column_name <> '' group by 1, 2)
+select table_name, column_name, row_number() over (partition by table_name order by p, column_name) as ordinal from f
+""")
+def q_dm_pairs(spark, sf_dir):
+    """S3: data model read from a sheet: identifiers normalized, blanks dropped, distinct, ordinal by first row."""
+    from columbine.sources.io import read_data_model
+
+    m = mappings(spark, sf_dir)
+    raw = (m.select(F.lower("source_table").alias("Table Physical Name"),
+                    F.concat(F.lit('"'), "source_field", F.lit('"')).alias("Column Physical Name"), "row_ord")
+           .unionByName(m.select(F.concat(F.lit("  "), "dest_table").alias("Table Physical Name"),
+                                 F.col("dest_field").alias("Column Physical Name"), "row_ord"))
+           .unionByName(spark.createDataFrame([("", "X", 0), ("T", "   ", 0)],
+                                              "`Table Physical Name` string, `Column Physical Name` string, row_ord long")))
+    return read_data_model(spark, raw.withColumnRenamed("row_ord", "ordinal"))
+
+
+@register("column_catalog", needs=["column_catalog"], oracle="""
+select table_name, column_name, data_type, coalesce(is_pk, false) as is_pk, coalesce(is_fk, false) as is_fk,
+       description from column_catalog
+""")
+def q_column_catalog(spark, sf_dir):
+    """Column catalog read through its sheet headers, flags as booleans."""
+    cat = fx.spark_fixture(spark, sf_dir, "column_catalog").select(
+        F.col("table_name").alias("Table Name"), F.col("column_name").alias("Column Name"),
+        F.col("data_type").alias("Data Type"), F.col("is_pk").cast("string").alias("Is PK"),
+        F.col("is_fk").cast("string").alias("Is FK"), F.col("description").alias("Description"))
+    return read_column_catalog(spark, cat)
+
+
+@register("dm_match", needs=MAPS + ["dm_pairs"], oracle=f"""
+with {V2}, d as (select distinct upper(table_name) as t, upper(column_name) as c from dm_pairs)
+select source_table, source_field, case when d.t is null then 'N' else 'Y' end as dm_match, count(*) as n
+from v2 left join d on d.t = v2.source_table and d.c = v2.source_field group by all
+""")
+def q_dm_match(spark, sf_dir):
+    """Y/N data-model match of every source column (broadcast-size DM side chosen by AQE)."""
+    m = mappings(spark, sf_dir, "map_v2")
+    d = fx.spark_fixture(spark, sf_dir, "dm_pairs").select(
+        F.upper("table_name").alias("source_table"), F.upper("column_name").alias("source_field")).distinct() \
+        .withColumn("_y", F.lit("Y"))
+    return (m.join(d, ["source_table", "source_field"], "left")
+            .groupBy("source_table", "source_field", F.coalesce("_y", F.lit("N")).alias("dm_match"))
+            .agg(F.count(F.lit(1)).cast("long").alias("n")))

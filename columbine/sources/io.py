@@ -209,3 +209,30 @@ def read_data_model(spark: SparkSession, src, fmt: str | None = None,
 
 def text_or_blank(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+# Required columns of a v1 mapping spec sheet.
+SPEC_REQUIRED = ["Type", "Name", "Target Table", "Target Column"]
+SPEC_OPTIONAL = ["Source Table", "Source Column", "Expression"]
+
+
+def read_mapping_spec(spark: SparkSession, src, fmt: str | None = None) -> DataFrame:
+    """v1 spec sheet: required headers checked (case-insensitive, trimmed),
+    ``Type``/``Name`` upper-cased and trimmed, target and source identifiers
+    normalized, expressions normalized outside literals; missing optional
+    columns are ''."""
+    from columbine.functions.text import clean_text, normalize_expression, normalize_identifier
+
+    df = strip_headers(_load(spark, src, fmt))
+    found = {n: resolve_column_name(df, n) for n in SPEC_REQUIRED + SPEC_OPTIONAL}
+    missing = [n for n in SPEC_REQUIRED if found[n] is None]
+    if missing:
+        raise ValueError(f"mapping spec is missing required columns: {', '.join(missing)}")
+    col = lambda n: F.col(found[n]) if found[n] else F.lit("")
+    return df.select(
+        F.upper(clean_text(col("Type"))).alias("type"), F.upper(clean_text(col("Name"))).alias("name"),
+        normalize_identifier(col("Target Table")).alias("target_table"),
+        normalize_identifier(col("Target Column")).alias("target_column"),
+        normalize_identifier(col("Source Table")).alias("source_table"),
+        normalize_identifier(col("Source Column")).alias("source_column"),
+        normalize_expression(col("Expression")).alias("expression"))
