@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from columbine.session import RoundState
 
 # Frontier rows broadcast to the edge scan at most (checked every round).
-BROADCAST_FRONTIER_ROWS = 2_000_000
+BROADCAST_FRONTIER_ROWS = 500_000
 
 
 def reach(
