@@ -388,24 +388,23 @@ def lineage_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | N
     if roots.isEmpty():
         roots = tables
     state = RoundState(spark)
-    depth = state.keep(roots.withColumn("depth", F.lit(0)))
-    frontier = depth
+    depth = state.keep(roots.withColumn("depth", F.lit(0)).withColumn("changed", F.lit(True)))
     rnd = 0
     while rnd < max(n_tables, 1):
         rnd += 1
+        frontier = depth.where("changed")
         cand = (frontier.join(e, frontier["table_name"] == e["source_table"])
                 .groupBy(F.col("dest_table").alias("table_name")).agg((F.max("depth") + 1).alias("cand")))
-        improved = (cand.join(depth, "table_name", "left")
-                    .where(F.col("depth").isNull() | (F.col("cand") > F.col("depth")))
-                    .select("table_name", F.col("cand").alias("depth")))
-        improved = state.keep(improved)
-        if improved.isEmpty():
+        # one frame per round: new depth and whether it moved (one checkpoint)
+        merged = depth.drop("changed").join(cand, "table_name", "full_outer").select(
+            "table_name",
+            F.greatest(F.coalesce("depth", F.lit(-1)), F.coalesce("cand", F.lit(-1))).alias("depth"),
+            (F.col("cand").isNotNull() & (F.col("depth").isNull() | (F.col("cand") > F.col("depth"))))
+            .alias("changed"))
+        depth = state.keep(merged)
+        if depth.where("changed").isEmpty():
             break
-        depth = state.keep(
-            depth.join(improved.withColumnRenamed("depth", "_new"), "table_name", "full_outer")
-            .select("table_name", F.coalesce("_new", "depth").alias("depth")))
-        frontier = improved
-    return (tables.join(depth, "table_name", "left")
+    return (tables.join(depth.drop("changed"), "table_name", "left")
             .select("table_name", F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))
 
 
