@@ -82,8 +82,21 @@ class RoundState:
         self.spark = spark
         ensure_checkpoint_dir(spark)
 
+    _AQE_CACHED = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
     def keep(self, df: DataFrame) -> DataFrame:
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = cached.checkpoint(eager=True)
-        cached.unpersist(blocking=False)
+        # Let AQE coalesce the round's output partitions while it is cached
+        # and written; otherwise every round keeps spark.sql.shuffle.partitions
+        # partitions and a union of rounds grows by that many tasks per round.
+        before = self.spark.conf.get(self._AQE_CACHED, None)
+        self.spark.conf.set(self._AQE_CACHED, "true")
+        try:
+            cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+            out = cached.checkpoint(eager=True)
+            cached.unpersist(blocking=False)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self._AQE_CACHED)
+            else:
+                self.spark.conf.set(self._AQE_CACHED, before)
         return out
