@@ -68,3 +68,9 @@ def ship_package(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="columbine-package-")  # read by the driver only, which serves it
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "columbine"), "zip", root, "columbine"))
     sc._columbine_shipped = True
+
+
+def read_driver_file(path: str) -> str:
+    """Text of a vocabulary file that lies where the driver runs."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()

@@ -4,27 +4,47 @@ production parameters, to its whole table and returns its full result."""
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from columbine.llm import decontaminate, host_rules, simhash
-from columbine.llm.common import ship_package, table
+from columbine.llm import bpe, decontaminate, host_rules, simhash, token_store
+from columbine.llm.common import scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+# Folder of the public tokenizer files.
+TOKENIZERS = os.environ.get("COLUMBINE_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    return os.path.join(TOKENIZERS, name)
+
 
 def query(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        if spark.conf.get(ARROW_BYTES, "-1") in ("-1", str((1 << 63) - 1)):
+            spark.conf.set(ARROW_BYTES, str(16 << 20))  # texts differ too much in length to count rows
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
     return run
 
 
+@query
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written to a token store and read back."""
+    path = scratch_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_store.read_documents(spark, path, with_ids=False)
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of ``documents``."""
@@ -37,6 +57,13 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` encoded and decoded with byte-level BPE."""
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return bpe.digest(rows)
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in ``documents``."""
