@@ -102,11 +102,11 @@ def host_verdicts(flags: DataFrame, host_col: str, max_host_rate: float = MAX_HO
     per_host = flags.groupBy(F.col(host_col).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
-    mean = {r: (F.sum(r) / F.sum("n_docs")).alias(f"{r}_m") for r in RULES}
-    square = {r: (F.sum(F.col(r) * F.col(r) / F.col("n_docs")) / F.sum("n_docs")).alias(f"{r}_q") for r in RULES}
-    # one row over the hosts' totals; kept by key so that it joins like any table
-    prior = per_host.groupBy(F.lit(1).alias("_k")).agg(*mean.values(), *square.values())
-    joined = per_host.withColumn("_k", F.lit(1)).join(F.broadcast(prior), "_k")  # a single row
+    prior = per_host.agg(F.struct(
+        *[(F.sum(r) / F.sum("n_docs")).alias(f"{r}_m") for r in RULES],
+        *[(F.sum(F.col(r) * F.col(r) / F.col("n_docs")) / F.sum("n_docs")).alias(f"{r}_q") for r in RULES],
+    ).alias("prior"))
+    joined = per_host.withColumn("_p", prior.scalar()).select("*", "_p.*")  # one row, as a scalar subquery
     rates = []
     for r in RULES:
         m, v = F.col(f"{r}_m"), F.greatest(F.col(f"{r}_q") - F.col(f"{r}_m") * F.col(f"{r}_m"), F.lit(0.0))

@@ -8,8 +8,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from columbine.llm import bpe, decontaminate, host_rules, simhash, token_store
+from columbine.llm import (bpe, decontaminate, host_rules, license_scan, simhash, token_attribution, token_store,
+                           warc_fixity)
 from columbine.llm.common import scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +58,62 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+# Pages per archive file of the stand-in replicas.
+PAGES_PER_FILE = 2000
+
+
+def page_replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two stand-in replicas of an archive of ``pages``: (file_id, at, record,
+    label).  The second has lost some records and has others altered."""
+    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    rows = pages.select(
+        F.floor(F.col("page_id") / PAGES_PER_FILE).alias("file_id"), F.col("page_id").alias("label"),
+        warc_fixity.warc_record(F.col("url"), F.coalesce("html", F.lit("")).cast("binary")).alias("record"))
+    whole = warc_fixity.lay_out(rows, "file_id", "label")
+    spoiled = F.when(F.col("label") % 97 == 5, F.concat(F.expr("substr(record, 1, octet_length(record) - 1)"),
+                                                        F.lit("?").cast("binary"))).otherwise(F.col("record"))
+    return whole, whole.where("label % 211 <> 7").withColumn("record", spoiled)
+
+
+@query
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged and missing records between two replicas of the ``pages`` archive."""
+    first, second = page_replicas(spark, sf_dir)
+    found = warc_fixity.audit(warc_fixity.hash_records(first), warc_fixity.hash_records(second))
+    return found.select("file_id", F.col("label").alias("page_id"), F.col("at").alias("record_offset"), "status")
+
+
+ORACLES["op6_warc_fixity"] = f"""
+with r as (
+  select floor(page_id / {PAGES_PER_FILE})::bigint file_id, page_id,
+         octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+           || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+           || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: '
+           || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
+           || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10))) size
+  from pages where page_id is not null),
+a as (select *, coalesce(sum(size) over (partition by file_id order by page_id
+        rows between unbounded preceding and 1 preceding), 0)::bigint pos from r),
+b as (select file_id, page_id, pos, size, page_id % 97 = 5 altered from a where page_id % 211 <> 7)
+select a.file_id, a.page_id, a.pos as record_offset,
+       case when b.page_id is null then 'only_first' else 'differs' end as status
+from a left join b on a.file_id = b.file_id and a.pos = b.pos
+where b.page_id is null or b.altered
+"""
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in ``documents``."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the lines of ``documents``."""
+    return token_attribution.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` encoded and decoded with byte-level BPE."""
