@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columbine.llm import (bpe, decontaminate, host_rules, license_scan, simhash, token_attribution, token_store,
+from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, simhash, token_attribution, token_store,
                            warc_fixity)
 from columbine.llm.common import scratch_path, ship_package, table
 
@@ -58,6 +58,12 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of ``documents``, learnt from ``labels``."""
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # Pages per archive file of the stand-in replicas.
 PAGES_PER_FILE = 2000
 
