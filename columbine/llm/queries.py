@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, simhash, token_attribution, token_store,
-                           warc_fixity)
+from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, simhash, suffix_dedup,
+                           token_attribution, token_store, warc_fixity)
 from columbine.llm.common import scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` without the strings of 400 bytes that repeat."""
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 # Pages per archive file of the stand-in replicas.
 PAGES_PER_FILE = 2000
 
