@@ -283,7 +283,7 @@ def _map(docs: DataFrame, path: str, add: list[T.StructField], source: str, fn)
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``: the text's token ids."""
     add = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]
-    return _map(docs.withColumn("_raw", text_bytes(text_col)), path, add, "_raw",
+    return _map(docs.withColumn("__columbine_raw", text_bytes(text_col)), path, add, "__columbine_raw",
                 lambda bpe, raw: (np.frombuffer(bpe.encode(raw), "<i4"),))
 
 
@@ -291,7 +291,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     """``rows`` with ``text_col`` decoded from ``ids_col``; null ids give the empty text."""
     add = [T.StructField(text_col, T.StringType(), False)]
     empty = F.array().cast("array<int>")
-    return _map(rows.withColumn("_ids", F.coalesce(ids_col, empty)), path, add, "_ids",
+    return _map(rows.withColumn("__columbine_ids", F.coalesce(ids_col, empty)), path, add, "__columbine_ids",
                 lambda bpe, ids: (bpe.decode(np.array(ids, "<u4")).decode(),))
 
 
@@ -302,7 +302,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         return ids, bpe.decode(np.frombuffer(ids, "<u4"))
 
     add = [T.StructField("ids", T.BinaryType(), False), T.StructField("decoded", T.BinaryType(), False)]
-    return _map(docs.select(id_col, text_bytes(text_col).alias("_raw")), path, add, "_raw", both)
+    return _map(docs.select(id_col, text_bytes(text_col).alias("__columbine_raw")), path, add, "__columbine_raw", both)
 
 
 def digest(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -3,6 +3,9 @@
 ``materialize`` writes an intermediate result as Parquet below the reliable
 checkpoint folder (``spark.checkpoint.dir``) and reads it back: it is computed
 once, lost executors recompute nothing before it, and its plan is short.
+
+Column names that begin with ``__columbine`` are reserved for the operators;
+any other name may stand in their input.
 """
 
 from __future__ import annotations
@@ -17,9 +20,6 @@ from pyspark.sql import functions as F
 
 from columbine.session import ensure_checkpoint_dir
 
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +57,11 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python end by bytes: texts differ too much in length to count rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers unless they find it anyway
     (through PYTHONPATH or the working directory)."""

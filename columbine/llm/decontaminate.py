@@ -110,13 +110,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_spans`` (hit words, merged) and ``_items``."""
+    """``docs`` with ``__columbine_n_words``, ``__columbine_spans`` (hit words, merged) and ``__columbine_items``."""
     spark = docs.sparkSession
     item_type = benchmark.schema[item_col].dataType
-    out = docs.withColumn("_raw", text_bytes(text_col)).withColumns({
-        "_n_words": F.lit(None).cast("bigint"),
-        "_spans": F.array().cast(SPANS),
-        "_items": F.array().cast(T.ArrayType(item_type)),
+    out = docs.withColumn("__columbine_raw", text_bytes(text_col)).withColumns({
+        "__columbine_n_words": F.lit(None).cast("bigint"),
+        "__columbine_spans": F.array().cast(SPANS),
+        "__columbine_items": F.array().cast(T.ArrayType(item_type)),
     })
     schema = out.schema
 
@@ -124,9 +124,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         def run(batches):
             for batch in batches:
                 names = batch.schema.names
-                col = {k: batch.column(names.index(k)) for k in ("_raw", "_spans", "_items")}
+                col = {k: batch.column(names.index(k)) for k in ("__columbine_raw", "__columbine_spans", "__columbine_items")}
                 n_words, spans, items = [], [], []
-                for raw, s, i in zip(col["_raw"], col["_spans"].to_pylist(), col["_items"].to_pylist()):
+                for raw, s, i in zip(col["__columbine_raw"], col["__columbine_spans"].to_pylist(), col["__columbine_items"].to_pylist()):
                     words = words_of(raw.as_py())
                     n_words.append(len(words))
                     if held is not None:
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                         i = list(set(i) | owners - {None})
                     spans.append(s)
                     items.append(i)
-                new = {"_n_words": n_words, "_spans": spans, "_items": items}
+                new = {"__columbine_n_words": n_words, "__columbine_spans": spans, "__columbine_items": items}
                 yield pa.record_batch([
                     pa.array(new[f.name], f.type) if f.name in new else batch.column(k)
                     for k, f in enumerate(batch.schema)], schema=batch.schema)
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         some = True
     if not some:
         out = out.mapInArrow(step(None), schema)
-    return out.drop("_raw")
+    return out.drop("__columbine_raw")
 
 
 def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -172,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     found = scan(docs, benchmark, text_col=text_col, window=window)
     if remove == "documents":
-        return found.where(F.size("_spans") == 0).select(*docs.columns)
+        return found.where(F.size("__columbine_spans") == 0).select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove: 'documents' or 'spans'")
 
@@ -183,15 +183,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
             cut_words(t.encode(), [(x["first"], x["last"]) for x in s]).decode("utf-8", "replace")
             if t is not None and len(s) else t for t, s in zip(text, spans)])
 
-    return found.withColumn(text_col, cut(text_col, "_spans")).select(*docs.columns)
+    return found.withColumn(text_col, cut(text_col, "__columbine_spans")).select(*docs.columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document from ``scan``'s columns."""
-    hit = F.aggregate("_spans", F.lit(0).cast("bigint"),
+    hit = F.aggregate("__columbine_spans", F.lit(0).cast("bigint"),
                       lambda a, s: a + s["last"].cast("bigint") - s["first"].cast("bigint") + 1)
-    names = F.array_join(F.array_sort(F.transform("_items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort(F.transform("__columbine_items", lambda i: i.cast("string"))), ",")
     return found.select(
-        id_col, F.col("_n_words").alias("n_words"), hit.alias("n_hit"),
-        F.size("_items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+        id_col, F.col("__columbine_n_words").alias("n_words"), hit.alias("n_hit"),
+        F.size("__columbine_items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"))

@@ -189,17 +189,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
           score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col`` (0 to 1, higher: label 1 likelier)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("_raw", text_bytes(text_col)).withColumn(score_col, F.lit(0.0))
+    rows = docs.withColumn("__columbine_raw", text_bytes(text_col)).withColumn(score_col, F.lit(0.0))
     schema = rows.schema
 
     def run(batches):
         for b in batches:
-            raw = b.column(b.schema.names.index("_raw"))
+            raw = b.column(b.schema.names.index("__columbine_raw"))
             s = pa.array([held.value.score(x.as_py()) for x in raw], pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [s if f.name == score_col else b.column(k) for k, f in enumerate(b.schema)], schema=b.schema)
 
-    return rows.mapInArrow(run, schema).drop("_raw")
+    return rows.mapInArrow(run, schema).drop("__columbine_raw")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",

@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, simhash, suffix_dedup,
                            token_attribution, token_store, warc_fixity)
-from columbine.llm.common import scratch_path, ship_package, table
+from columbine.llm.common import bound_batches, scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 # Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("COLUMBINE_TOKENIZERS", "/opt/tokenizers")
 
@@ -31,7 +29,7 @@ def query(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
-        spark.conf.set(ARROW_BYTES, "16m")  # texts differ too much in length to count rows
+        bound_batches(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

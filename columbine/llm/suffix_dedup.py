@@ -231,16 +231,16 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    raw = docs.withColumn("_raw", text_bytes(text_col))
-    return raw.withColumns({"_k1": F.xxhash64("_raw"), "_k2": F.xxhash64(F.lit(1), "_raw")})
+    raw = docs.withColumn("__columbine_raw", text_bytes(text_col))
+    return raw.withColumns({"__columbine_k1": F.xxhash64("__columbine_raw"), "__columbine_k2": F.xxhash64(F.lit(1), "__columbine_raw")})
 
 
 def removals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_raw`` (the text's bytes) and ``_spans`` (starts of repeated strings)."""
+    """``docs`` with ``__columbine_raw`` (the text's bytes) and ``__columbine_spans`` (starts of repeated strings)."""
     keyed = _keyed(docs, text_col)
-    spans = repeated_spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_raw").alias("raw")))
-    spans = spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"})
-    return keyed.join(spans, ["_k1", "_k2"], "left").select(*docs.columns, "_raw", "_spans")
+    spans = repeated_spans(keyed.select(F.col("__columbine_k1").alias("k1"), F.col("__columbine_k2").alias("k2"), F.col("__columbine_raw").alias("raw")))
+    spans = spans.withColumnsRenamed({"k1": "__columbine_k1", "k2": "__columbine_k2", "spans": "__columbine_spans"})
+    return keyed.join(spans, ["__columbine_k1", "__columbine_k2"], "left").select(*docs.columns, "__columbine_raw", "__columbine_spans")
 
 
 def _kept(raw: bytes, spans) -> tuple[bytes, int]:
@@ -265,8 +265,8 @@ def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = b.schema.names
             texts = [None if old is None else _kept(raw, s)[0].decode("utf-8", "ignore") if s else old
                      for old, raw, s in zip(b.column(at.index(text_col)).to_pylist(),
-                                            b.column(at.index("_raw")).to_pylist(),
-                                            b.column(at.index("_spans")).to_pylist())]
+                                            b.column(at.index("__columbine_raw")).to_pylist(),
+                                            b.column(at.index("__columbine_spans")).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if f.name == text_col else b.column(at.index(f.name)) for f in kept],
                 names=[f.name for f in kept])
@@ -276,7 +276,7 @@ def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) per row of ``docs``."""
-    rows = removals(docs.select(id_col, text_col), text_col).select(id_col, "_raw", "_spans")
+    rows = removals(docs.select(id_col, text_col), text_col).select(id_col, "__columbine_raw", "__columbine_spans")
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
