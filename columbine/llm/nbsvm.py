@@ -21,7 +21,8 @@ broadcast.  Labels, language, source and id are never inputs of a score.
 
 Defined cases: null and empty texts have no indicator and get the bias' score;
 an id labelled more than once has the majority label, a tie being 0; null
-labels and ids are ignored in training; without rows of both classes the score
+labels and ids are ignored in training, and of the texts under one id the
+least is learnt from; without rows of both classes the score
 is the share of label 1 (0.5 without any); repeated rows repeat; an empty
 table gives no rows; other columns are ignored.
 """
@@ -171,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     share = min(1.0, max_train / max(1, use.count()))
     drawn = use.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("raw")) \
-        .join(F.broadcast(drawn), "_id")  # about max_train ids
+        .join(F.broadcast(drawn), "_id") \
+        .groupBy("_id").agg(F.min("raw").alias("raw"), F.min("_y").alias("_y"))  # about max_train ids
 
     def run(batches):
         texts, y = [], []
@@ -182,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     # one task: about max_train whole texts, in an order of their own
     one = rows.select("raw", "_y", "_id").repartition(1).sortWithinPartitions("_id", "raw").select("raw", "_y")
-    return pickle.loads(one.mapInArrow(run, "model binary").first()[0])
+    model = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(model[0]) if model else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
