@@ -1,4 +1,4 @@
-"""columbine: column-level lineage analytics as Spark DataFrame jobs.
+"""columbine: column-level data-flow analytics as Spark DataFrame jobs.
 
 Every operator takes DataFrames and returns DataFrames; the work runs as
 joins, windows, aggregations and built-in column expressions so Catalyst

@@ -37,9 +37,6 @@ NON_WORD = r"[^\p{L}\p{N}_]"
 
 # One SQL string literal, flat form.
 LITERAL = r"'[^']*'"
-# A literal with doubled quotes inside, without a repeated alternation.
-LITERAL_DOUBLED = r"'[^']*(?:''[^']*)*'"
-
 # Oracle constant patterns, in the reference's order (all case-insensitive,
 # matched at the start of the stripped value; INTERVAL is not end-anchored).
 CONSTANT_PATTERNS = [
@@ -140,11 +137,15 @@ def _ws_pattern(p: str) -> str:
     return p.replace(r"\s", WS)
 
 
-def _flat_literals(p: str) -> str:
-    return p.replace(r"'(?:[^']|'')*'", LITERAL_DOUBLED)
-
-
-CONSTANT_REGEX = "(?i)" + "|".join(_ws_pattern(_flat_literals(p)) for p in CONSTANT_PATTERNS)
+# A repeated group over a literal's inside would recurse once per quote pair in
+# Java, so patterns that end with a literal are tested in two steps: the text
+# without doubled quotes against the flat literal form, which is the same set.
+# Where anything may follow the literal, its first closing quote is enough.
+QUOTED = r"'(?:[^']|'')*'"
+CONSTANT_REGEX = "(?i)" + "|".join(
+    _ws_pattern(p).replace(QUOTED, LITERAL) for p in CONSTANT_PATTERNS if not p.endswith(QUOTED + "$"))
+LITERAL_CONSTANT_REGEX = "(?i)" + "|".join(
+    _ws_pattern(p).replace(QUOTED, LITERAL) for p in CONSTANT_PATTERNS if p.endswith(QUOTED + "$"))
 
 # A token (optionally dotted) preceded by start or a non-word character.
 REF_TOKEN = rf"(?:^|[^A-Za-z0-9_])({IDENT}(?:\.{IDENT})?)"
@@ -227,7 +228,16 @@ def normalize_expression(c) -> Column:
 
 def is_constant(c) -> Column:
     """The stripped value is an Oracle constant (23 patterns)."""
-    return F.coalesce(py_strip(_c(c)).rlike(CONSTANT_REGEX), F.lit(False))
+    return F.coalesce(constant_text(py_strip(_c(c))), F.lit(False))
+
+
+def constant_text(v: Column) -> Column:
+    """Whether a stripped text is a constant (NULL stays NULL)."""
+    # pairs are counted from behind the quote that opens the literal
+    at = F.instr(v, "'")
+    inside = F.regexp_replace(F.substring(v, at + 1, F.length(v)), "''", "")
+    flat = F.when(at > 0, F.concat(F.substring(v, F.lit(1), at), inside)).otherwise(v)
+    return v.rlike(CONSTANT_REGEX) | flat.rlike(LITERAL_CONSTANT_REGEX)
 
 
 def parse_ref(c) -> Column:
@@ -346,7 +356,7 @@ def column_refs(c) -> Column:
         lambda t: ~F.array_contains(keywords, t)
         & ~(~t.contains(".") & F.array_contains(functions, t))
         & ~t.startswith("__LIT")
-        & ~t.rlike(CONSTANT_REGEX),
+        & ~constant_text(t),
     )
 
 

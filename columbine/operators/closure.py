@@ -8,12 +8,10 @@ part of every row.
 
 Scale notes
 -----------
-* Edges are projected to their key columns and repartitioned once by the
-  source key; the frontier is joined against that.  When the frontier's row
-  count (known from the previous round's termination check) is under a
-  bound, it is broadcast instead, so a hub node never concentrates a third of
-  the edges in one task; above the bound the shuffle join is left to AQE's
-  skew-join splitting.
+* Edges are projected to their distinct key columns and written once; every
+  round joins the frontier to them by an ordinary equi-join, whose strategy
+  Spark picks at run time by size: it broadcasts a small frontier, and splits
+  the partition of a hub node (both sides are shuffled by the join itself).
 * Every round's new frontier is written with ``checkpoint()`` to the shared
   checkpoint folder, cutting the plan: planning cost stays flat over the
   rounds and executor loss never replays the whole loop.
@@ -27,9 +25,6 @@ from pyspark.sql import functions as F
 
 from columbine.session import RoundState
 
-# Frontier rows broadcast to the edge scan at most (checked every round).
-BROADCAST_FRONTIER_ROWS = 500_000
-
 
 def reach(
     spark: SparkSession,
@@ -38,7 +33,6 @@ def reach(
     node_cols: list[str],
     seed_cols: list[str],
     max_rounds: int | None = None,
-    broadcast_rows: int = BROADCAST_FRONTIER_ROWS,
 ) -> DataFrame:
     """All (seed, node, hop) pairs reachable from each seed.
 
@@ -50,9 +44,8 @@ def reach(
     src = [f"src_{k}" for k in node_cols]
     dst = [f"dst_{k}" for k in node_cols]
     keys = seed_cols + node_cols
-    e = edges.select(*src, *dst).distinct()
-    e = e.repartition(*[F.col(c) for c in src]).persist()
     state = RoundState(spark)
+    e = state.keep(edges.select(*src, *dst).distinct())
 
     frontier = state.keep(seeds.select(*keys).distinct().withColumn("hop", F.lit(0)))
     n = frontier.count()
@@ -61,8 +54,6 @@ def reach(
     while n > 0 and (max_rounds is None or rnd < max_rounds):
         rnd += 1
         f = frontier.select(*seed_cols, *[F.col(k).alias(s) for k, s in zip(node_cols, src)])
-        if n <= broadcast_rows:
-            f = F.broadcast(f)
         step = e.join(f, src).select(*seed_cols, *[F.col(d).alias(k) for d, k in zip(dst, node_cols)])
         visited = parts[0].select(*keys)
         for p in parts[1:]:
@@ -72,7 +63,6 @@ def reach(
         n = frontier.count()
         if n > 0:
             parts.append(frontier)
-    e.unpersist(blocking=False)  # the result is built from checkpointed rounds only
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -87,13 +77,16 @@ def ordered_index(df: DataFrame, group_cols: list[str], order_cols: list[str],
     Exact and skew-safe: rows are range-partitioned on (group, order) so a
     hot group spreads over many tasks; each task numbers its slice, and a
     small per-(group, slice) count table gives every slice its offset.  No
-    task ever holds more than one range partition.  Ties in ``order_cols``
-    are broken arbitrarily but consistently (one shuffle, reused).
+    task ever holds more than one range partition.  The sliced rows are
+    checkpointed before both uses: two exchanges would sample two sets of
+    bounds, and the offsets would belong to other slices.  Ties in
+    ``order_cols`` are broken arbitrarily.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in group_cols + order_cols]) \
         .withColumn("_slice", F.spark_partition_id())
+    ranged = RoundState(spark).keep(ranged)
     w_local = Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(w_local) - 1)
     counts = ranged.groupBy(*group_cols, "_slice").agg(F.count(F.lit(1)).alias("_n"))

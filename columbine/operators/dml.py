@@ -7,20 +7,52 @@ bounded by its SQL text, and statements spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from columbine.functions.text import (
-    IDENT, WS, column_refs, is_constant, join_type_label, normalize_ws, original_ref, strip_target_prefix,
+    WS, char_count, column_refs, is_constant, join_type_label, normalize_ws, original_ref, strip_target_prefix,
 )
 from columbine.operators.resolve import Catalog, resolve_refs
 
 # Schema names that are never table aliases (join filter clean-up).
 KNOWN_SCHEMAS = ["ATOMIC", "DBO", "PUBLIC", "SYS", "SCHEMA", "ADMIN", "APP"]
 
-REF = rf"{IDENT}(?:\.{IDENT})?"
-COL_EQ_COL = rf"^{WS}*({REF}){WS}*={WS}*({REF}){WS}*$"
-ANY_EQ = rf"^{WS}*(\S+?){WS}*={WS}*(\S+?){WS}*$"
+# One name part (Oracle names may hold # and $, quoted ones anything) and up to
+# three parts of a column reference.
+PART = r'(?:"[^"]+"|[\p{L}_][\p{L}\p{N}_#$]*)'
+REF = rf"{PART}(?:\.{PART}){{0,2}}"
+COL_EQ_COL = rf"^\(?{WS}*({REF}){WS}*={WS}*({REF}){WS}*\)?$"
+# An equality: the sign is no part of <=, >=, != or <>.
+ANY_EQ = rf"^{WS}*(.*?[^<>!={WS[1:-1]}]){WS}*={WS}*([^=].*?){WS}*$"
+# Conditions under one OR or AND within a conjunct.
+BRANCH = rf"(?i){WS}+(?:OR|AND){WS}+"
+
+
+def _parts(ref: Column) -> tuple[Column, Column]:
+    """(qualifier or '', name) of a reference: its last two parts, upper case,
+    without quotes."""
+    parts = F.transform(F.regexp_extract_all(ref, F.lit(f"({PART})"), 1),
+                        lambda p: F.upper(F.regexp_replace(p, '"', "")))
+    qualifier = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit(""))
+    return qualifier, F.element_at(parts, -1)
+
+
+def _is_key(condition: Column) -> Column:
+    """Whether a condition equates two column references."""
+    return (condition.rlike(COL_EQ_COL) & ~is_constant(F.regexp_extract(condition, COL_EQ_COL, 1))
+            & ~is_constant(F.regexp_extract(condition, COL_EQ_COL, 2)))
+
+
+def _branches(condition: Column) -> Column:
+    """The conditions inside a conjunct (one, unless it holds OR or AND), each
+    without the parenthesis that its group opens, closes, or both."""
+    def bare(b):
+        b = F.trim(F.regexp_replace(b, r"^\(([^()]*)\)$", "$1"))
+        more = char_count(b, "(") - char_count(b, ")")
+        return F.when(more > 0, F.regexp_replace(b, r"^\( *", "")) \
+            .when(more < 0, F.regexp_replace(b, r" *\)$", "")).otherwise(b)
+    return F.transform(F.split(condition, BRANCH), bare)
 
 
 def insert_assignments(insert_cols: DataFrame, projections: DataFrame, root_scopes: DataFrame) -> DataFrame:
@@ -68,6 +100,13 @@ def merge_assignments(merge_sets: DataFrame, insert_cols: DataFrame, insert_vals
     return sets.unionByName(ins)
 
 
+def number_assignments(assignments: DataFrame) -> DataFrame:
+    """``ord``: place of an assignment in its statement, over all WHEN clauses
+    (the window holds one statement's assignments)."""
+    w = Window.partitionBy("stmt_id").orderBy("when_ord", "pos")
+    return assignments.withColumn("ord", F.row_number().over(w).cast("long"))
+
+
 def first_assignment(assignments: DataFrame) -> DataFrame:
     """The first assignment per (statement, target column) in statement order.
 
@@ -85,28 +124,23 @@ def join_conditions(conjuncts: DataFrame, scopes: DataFrame) -> DataFrame:
     ``conjuncts(stmt_id, scope_id, join_pos, side, kind, right_alias, conj_pos, condition)``;
     a join without ON has one row with a NULL condition (it still counts
     for ``join_seq``).  ``col = col`` conjuncts are KEY rows (original
-    aliases kept); every other conjunct is a filter, and a join's filters,
-    joined by ``; ``, go onto each of its key rows.  A join without a key
-    gives no row here (see ``theta_joins``).
+    aliases kept), and so is every such equality inside an OR; every conjunct
+    that is not one such equality is a filter, and a join's filters, joined by
+    ``; ``, go onto each of its key rows.  A join without a key gives no row
+    here (see ``theta_joins``).
     """
     wseq = Window.partitionBy("stmt_id", "scope_id").orderBy("join_pos")
     joins = conjuncts.select("stmt_id", "scope_id", "join_pos", "side", "kind").distinct().withColumn(
         "join_seq", F.dense_rank().over(wseq).cast("long"))
     c = conjuncts.where(F.col("condition").isNotNull()).withColumn("_cond", normalize_ws("condition"))
-    l_ref, r_ref = F.regexp_extract("_cond", COL_EQ_COL, 1), F.regexp_extract("_cond", COL_EQ_COL, 2)
-    is_key = F.col("_cond").rlike(COL_EQ_COL) & ~is_constant(l_ref) & ~is_constant(r_ref)
-    c = c.withColumn("_key", is_key)
-    keys = c.where("_key").select(
-        "stmt_id", "scope_id", "join_pos", "conj_pos",
-        F.upper(l_ref).alias("_l"), F.upper(r_ref).alias("_r"),
-        F.concat(l_ref, F.lit(" = "), r_ref).alias("join_condition"))
-    lp, rp = F.split("_l", r"\.", 2), F.split("_r", r"\.", 2)
-    keys = keys.select(
-        "stmt_id", "scope_id", "join_pos", "conj_pos", "join_condition",
-        F.when(F.size(lp) > 1, lp[0]).otherwise("").alias("left_table"),
-        F.when(F.size(lp) > 1, lp[1]).otherwise(lp[0]).alias("left_field"),
-        F.when(F.size(rp) > 1, rp[0]).otherwise("").alias("right_table"),
-        F.when(F.size(rp) > 1, rp[1]).otherwise(rp[0]).alias("right_field"))
+    c = c.withColumn("_key", _is_key(F.col("_cond")))
+    each = c.select("stmt_id", "scope_id", "join_pos", "conj_pos", F.explode(_branches(F.col("_cond"))).alias("_b")) \
+        .where(_is_key(F.col("_b")))
+    l_ref, r_ref = F.regexp_extract("_b", COL_EQ_COL, 1), F.regexp_extract("_b", COL_EQ_COL, 2)
+    (lt, lf), (rt, rf) = _parts(l_ref), _parts(r_ref)
+    keys = each.select(
+        "stmt_id", "scope_id", "join_pos", "conj_pos", F.concat(l_ref, F.lit(" = "), r_ref).alias("join_condition"),
+        lt.alias("left_table"), lf.alias("left_field"), rt.alias("right_table"), rf.alias("right_field"))
     filters = (c.where(~F.col("_key")).groupBy("stmt_id", "scope_id", "join_pos")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conj_pos", "_cond"))),
                                              lambda x: x["_cond"]), "; ").alias("join_filters")))
@@ -120,10 +154,9 @@ def join_conditions(conjuncts: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def theta_joins(conjuncts: DataFrame) -> DataFrame:
-    """Joins whose ON has no ``col = col`` key (only filters), kept visible."""
+    """Joins whose ON holds no ``col = col`` equality (only filters), kept visible."""
     c = conjuncts.where(F.col("condition").isNotNull()).withColumn("_cond", normalize_ws("condition"))
-    is_key = (F.col("_cond").rlike(COL_EQ_COL) & ~is_constant(F.regexp_extract("_cond", COL_EQ_COL, 1))
-              & ~is_constant(F.regexp_extract("_cond", COL_EQ_COL, 2)))
+    is_key = F.exists(_branches(F.col("_cond")), _is_key)
     return (c.groupBy("stmt_id", "scope_id", "join_pos").agg(
         F.max(is_key.cast("int")).alias("_k"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conj_pos", "_cond"))), lambda x: x["_cond"]),
@@ -132,14 +165,16 @@ def theta_joins(conjuncts: DataFrame) -> DataFrame:
 
 
 def merge_on_keys(merge_on: DataFrame) -> DataFrame:
-    """Each equality of a MERGE ON -> one key row (type MERGE, path MERGE_ON).
+    """Each equality of a MERGE ON -> one key row (type MERGE, path MERGE_ON);
+    other comparisons give none.
 
     ``merge_on(stmt_id, conj_pos, target_table, target_alias, using_alias, condition)``.
     Sides keep their last two name parts; a blank alias becomes the target
     alias (left) or the USING alias (right).
     """
-    m = merge_on.withColumn("_cond", normalize_ws("condition")).where(F.col("_cond").rlike(ANY_EQ))
-    w = Window.partitionBy("stmt_id").orderBy("conj_pos")
+    m = merge_on.select("*", F.posexplode(_branches(normalize_ws("condition"))).alias("_branch", "_cond")) \
+        .where(F.col("_cond").rlike(ANY_EQ))
+    w = Window.partitionBy("stmt_id").orderBy("conj_pos", "_branch")
     l, r = F.trim(F.regexp_extract("_cond", ANY_EQ, 1)), F.trim(F.regexp_extract("_cond", ANY_EQ, 2))
     lp, rp = F.split(l, r"\."), F.split(r, r"\.")
 
@@ -275,21 +310,26 @@ def spec_expression(spec: DataFrame) -> F.Column:
         F.coalesce(nb("expression"), nb("source_column"), nb("target_column"), F.lit("")))
 
 
-def direct_fallback(spec_rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """A direct spec mapping whose SQL resolution is all UNRESOLVED gets
-    one direct edge (path DIRECT_MAPPING) instead; others keep their rows.
+def direct_fallback(spec_rows: DataFrame, resolved: DataFrame, dm: DataFrame | None = None) -> DataFrame:
+    """A direct spec mapping without a resolved row, or with UNRESOLVED
+    ones only, gets one direct edge (path DIRECT_MAPPING) instead; others keep
+    their rows.  ``dm(table_name, column_name)`` decides ``dm_match``.
 
     ``spec_rows(stmt_id, root_ord, direct, source_table, source_column, ...)``;
     ``resolved`` is ``resolve_refs`` output keyed by (stmt_id, root_ord).
     """
-    status = resolved.groupBy("stmt_id", "root_ord").agg(
-        F.bool_and(F.col("source_type") == "UNRESOLVED").alias("_all_unres"))
-    fall = (spec_rows.where("direct").join(status.where("_all_unres"), ["stmt_id", "root_ord"], "left_semi"))
+    found = resolved.where("source_type <> 'UNRESOLVED'").select("stmt_id", "root_ord").distinct()
+    fall = spec_rows.where("direct").join(found, ["stmt_id", "root_ord"], "left_anti")
     keep = resolved.join(fall.select("stmt_id", "root_ord"), ["stmt_id", "root_ord"], "left_anti")
+    if dm is not None:
+        known = dm.select(F.col("table_name").alias("_dt"), F.col("column_name").alias("_dc")).distinct()
+        fall = fall.join(known, (F.upper(F.trim("source_table")) == F.col("_dt"))
+                         & (F.upper(F.trim("source_column")) == F.col("_dc")), "left")
+    in_dm = F.when(F.col("_dt").isNotNull(), "Y").otherwise("N") if dm is not None else F.lit("N")
     direct_rows = fall.select(
         "stmt_id", "root_ord", F.lit("PHYSICAL").alias("source_type"),
         F.upper(F.trim("source_table")).alias("table_name"), F.upper(F.trim("source_column")).alias("column_name"),
-        F.lit("").alias("constant_value"), F.lit("").alias("reason"), F.lit("N").alias("dm_match"),
+        F.lit("").alias("constant_value"), F.lit("").alias("reason"), in_dm.alias("dm_match"),
         F.lit("DIRECT_MAPPING").alias("trace_path"), F.lit("").alias("source_alias"),
         F.lit("").alias("original_ref"), F.lit("").alias("full_expression"))
     return keep.unionByName(direct_rows.select(*keep.columns))

@@ -1,4 +1,4 @@
-"""Lineage graph over a mapping table (viewer operators).
+"""Graph over a mapping table (viewer operators).
 
 The flat field-level mapping table (one row per source field -> dest field)
 is the working form; table-level edges are aggregations of it.  Nested lists
@@ -371,7 +371,7 @@ def neighbourhood(mappings: DataFrame, seeds: DataFrame, up: bool = True, down:
     return out.distinct()
 
 
-def lineage_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def table_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Longest path (in table edges) from any root to each table.
 
     Roots are tables with no incoming edge; with none, every table starts at

@@ -1,4 +1,4 @@
-"""Lineage outputs: edge table, per-statement stats, summary, QA.
+"""Outputs: edge table, per-statement stats, summary, QA.
 
 Everything is grouped by ``stmt_id`` (partial aggregation), so per-statement
 reports scale with the number of statements; global ordering happens only
@@ -96,7 +96,7 @@ def sort_exploded(exploded: DataFrame) -> DataFrame:
     return exploded.orderBy("sql_file", "join_seq", "join_side", "field_role")
 
 
-def lineage_stats(edges: DataFrame, join_count: DataFrame | None = None) -> DataFrame:
+def edge_stats(edges: DataFrame, join_count: DataFrame | None = None) -> DataFrame:
     """A1: per statement counts of rows, kinds, DM matches and joins."""
     st = edges.groupBy("stmt_id", "sql_file", "object_name").agg(
         F.count(F.lit(1)).cast("long").alias("total_rows"),
@@ -156,7 +156,7 @@ def qa_compare(edges: DataFrame, stmts: DataFrame, text_col: str = "sql_text") -
         F.when(F.col("_deep") == F.col("_simple"), "Y").otherwise("N").alias("match"), F.lit("").alias("notes"))
 
 
-def write_lineage(outputs: dict[str, DataFrame], path: str, per_object: bool = False, mode: str = "overwrite") -> None:
+def write_outputs(outputs: dict[str, DataFrame], path: str, per_object: bool = False, mode: str = "overwrite") -> None:
     """Write the outputs (edges, joins, join_keys_exploded, summary, qa)
     as parquet, one folder each; ``per_object`` partitions by object name."""
     for name, df in outputs.items():

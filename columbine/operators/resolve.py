@@ -464,14 +464,7 @@ def resolve_refs(spark: SparkSession, seeds: DataFrame, scopes: DataFrame, relat
     results = [out.where(F.col("o.k") == "R")]
     tasks = _as_tasks(out)
     n = tasks.count()
-    rounds = 0
-    limit = 4 * max_depth + 16
-    while n > 0:
-        rounds += 1
-        if rounds > limit:  # safety: every remaining task is reported, never dropped
-            results.append(tasks.select("stmt_id", "root_ord", "full_expression", _o(
-                "R", source_type="UNRESOLVED", reason="DEPTH_GUARD", seen=F.col("seen")).alias("o")))
-            break
+    while n > 0:  # ends: between two scopes no reference is taken twice, and paths have max_depth scopes
         out = state.keep(_round(tasks, cat, max_depth))
         results.append(out.where(F.col("o.k") == "R"))
         tasks = _as_tasks(out)

@@ -56,9 +56,10 @@ def q_first_assignment(spark, sf_dir):
 
 
 INSERT_SQL = """
+ir as (select * from root_scopes where stmt_type = 'INSERT'),
 items as (select p.stmt_id, p.scope_id, p.ord, p.output_name, p.expression,
                  row_number() over (partition by p.stmt_id, p.scope_id order by p.ord) - 1 as pos
-          from projections p join root_scopes r on r.stmt_id = p.stmt_id and r.scope_id = p.scope_id),
+          from projections p join ir r on r.stmt_id = p.stmt_id and r.scope_id = p.scope_id),
 ia as (
   select l.stmt_id, l.pos, upper(l.target_column) as target_column, i.expression,
          case when i.expression is null then 'INSERT column ' || upper(l.target_column) || ' at position ' || l.pos
@@ -68,7 +69,7 @@ ia as (
   select i.stmt_id, i.pos, upper(i.output_name), i.expression, '' from items i
   where i.stmt_id not in (select stmt_id from insert_cols)),
 ins as (select a.stmt_id, r.scope_id, r.target_table, a.pos as ord, a.target_column, a.expression,
-               'INSERT_VALUES' as clause_type, a.warning from ia a join root_scopes r using (stmt_id))
+               'INSERT_VALUES' as clause_type, a.warning from ia a join ir r using (stmt_id))
 """
 
 
@@ -77,7 +78,7 @@ ins as (select a.stmt_id, r.scope_id, r.target_table, a.pos as ord, a.target_col
 def q_insert_assignments(spark, sf_dir):
     """INSERT columns paired with the SELECT list by position."""
     return M.insert_assignments(fx_(spark, sf_dir, "insert_cols"), fx_(spark, sf_dir, "projections"),
-                                fx_(spark, sf_dir, "root_scopes"))
+                                fx_(spark, sf_dir, "root_scopes").where("stmt_type = 'INSERT'"))
 
 
 JOINS_SQL = """
@@ -172,11 +173,11 @@ def _pipeline_parts(spark, sf_dir):
     scopes, rel, proj, dm = catalog_frames(spark, sf_dir)
     cat = R.Catalog(spark, scopes, rel, proj, dm)
     roots = fx_(spark, sf_dir, "root_scopes")
-    merges = M.first_assignment(_merge(spark, sf_dir)).join(roots, "stmt_id").select(
-        "stmt_id", "scope_id", "target_table", (F.col("when_ord") * 1000 + F.col("pos")).cast("long").alias("ord"),
+    merges = M.number_assignments(M.first_assignment(_merge(spark, sf_dir))).join(roots, "stmt_id").select(
+        "stmt_id", "scope_id", "target_table", "ord",
         "target_column", "expression", "clause_type")
-    inserts = (M.insert_assignments(fx_(spark, sf_dir, "insert_cols"), proj, roots)
-               .join(roots.where(F.col("stmt_type") == "INSERT").select("stmt_id"), "stmt_id", "left_semi")
+    inserts = (M.insert_assignments(fx_(spark, sf_dir, "insert_cols"), proj,
+                                    roots.where(F.col("stmt_type") == "INSERT"))
                .where(F.col("expression").isNotNull())
                .select("stmt_id", "scope_id", "target_table", "ord", "target_column", "expression", "clause_type"))
     assignments = merges.unionByName(inserts)
@@ -223,13 +224,13 @@ def q_edge_table(spark, sf_dir):
     return RP.sort_edges(edges)
 
 
-@register("lineage_stats", needs=["stmts"])
-def q_lineage_stats(spark, sf_dir):
+@register("edge_stats", needs=["stmts"])
+def q_edge_stats(spark, sf_dir):
     """A1: per-statement counts over the edge table."""
     edges, joins, _ = _edges(spark, sf_dir)
     jc = joins.groupBy("stmt_id").agg(F.count_distinct("scope_id", "join_seq", "join_type").cast("long")
                                       .alias("join_count"))
-    return RP.lineage_stats(edges, jc)
+    return RP.edge_stats(edges, jc)
 
 
 @register("summary_long", needs=["stmts"])
@@ -241,7 +242,7 @@ def q_summary_long(spark, sf_dir):
     notes = w.select("sql_file", F.concat(F.size("_w").cast("string"), F.lit(" warnings"),
                                           F.when(F.size("_w") > 0, F.concat(F.lit(": "), F.array_join(
                                               F.slice("_w", 1, 5), " | "))).otherwise(F.lit(""))).alias("_n"))
-    s = RP.summary_long(q_lineage_stats(spark, sf_dir))
+    s = RP.summary_long(q_edge_stats(spark, sf_dir))
     return s.join(notes, "sql_file", "left").select("sql_file", "metric", "value",
                                                     F.coalesce("_n", F.lit("")).alias("notes"))
 
@@ -249,7 +250,7 @@ def q_summary_long(spark, sf_dir):
 @register("unresolved_rate", needs=["stmts"])
 def q_unresolved_rate(spark, sf_dir):
     """A3: unresolved share of mapping rows per statement, with the 20 % alarm."""
-    return RP.unresolved_rate(q_lineage_stats(spark, sf_dir))
+    return RP.unresolved_rate(q_edge_stats(spark, sf_dir))
 
 
 @register("qa_compare", needs=["stmts"])
@@ -321,13 +322,15 @@ def q_direct_fallback(spark, sf_dir):
     catalog; a direct mapping left all UNRESOLVED becomes one DIRECT_MAPPING edge."""
     scopes, rel, proj, dm = catalog_frames(spark, sf_dir)
     spec = M.spec_for_object(fx_(spark, sf_dir, "mapping_spec"), fx_(spark, sf_dir, "stmts"))
-    w = F.row_number().over(Window.partitionBy("stmt_id").orderBy("target_column"))
+    # spec rows are told apart by all of their columns; equal rows are interchangeable
+    w = F.row_number().over(Window.partitionBy("stmt_id").orderBy(
+        "target_column", "target_table", "source_table", "source_column", "direct", "expression"))
     rows = spec.select("stmt_id", "target_table", "target_column", "source_table", "source_column",
                        M.is_direct(spec).alias("direct"), M.spec_expression(spec).alias("expression")) \
         .withColumn("root_ord", w.cast("long"))
     seeds = rows.select("stmt_id", "root_ord", F.lit(0).cast("long").alias("scope_id"), "expression")
     res = R.resolve_refs(spark, seeds, scopes, rel, proj, dm)
-    return M.direct_fallback(rows, res).join(rows.select("stmt_id", "root_ord", "target_column"),
+    return M.direct_fallback(rows, res, dm).join(rows.select("stmt_id", "root_ord", "target_column"),
                                               ["stmt_id", "root_ord"])
 
 

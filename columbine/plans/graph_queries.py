@@ -1,4 +1,4 @@
-"""Queries over the lineage graph of one or two mapping versions."""
+"""Queries over the mapping graph of one or two mapping versions."""
 
 from __future__ import annotations
 
@@ -408,11 +408,11 @@ dep as (select table_name, coalesce((select max(d) from p where p.t = tabs.table
 """
 
 
-@register("lineage_depth", needs=MAPS, oracle=f"with recursive {V1}, {V2}, {DEPTH_SQL} select * from dep")
-def q_lineage_depth(spark, sf_dir):
+@register("table_depth", needs=MAPS, oracle=f"with recursive {V1}, {V2}, {DEPTH_SQL} select * from dep")
+def q_table_depth(spark, sf_dir):
     """Longest path from a root for every table (V1 edges, nodes of both versions)."""
     v1, v2 = mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2")
-    return G.lineage_depth(spark, v1, nodes=G.all_tables(v1, v2))
+    return G.table_depth(spark, v1, nodes=G.all_tables(v1, v2))
 
 
 @register("depth_layers", needs=MAPS, oracle=f"""
@@ -422,7 +422,7 @@ select table_name, depth, row_number() over (partition by depth order by table_n
 """)
 def q_depth_layers(spark, sf_dir):
     """Tables laid out by depth layer."""
-    return G.depth_layers(q_lineage_depth(spark, sf_dir)).select(
+    return G.depth_layers(q_table_depth(spark, sf_dir)).select(
         "table_name", "depth", "layer_position", "layer_size")
 
 

@@ -45,8 +45,12 @@ def d_char_count(x: str, ch: str) -> str:
     return f"(length({x}) - length(replace({x}, {q(ch)}, '')))"
 
 
+# DuckDB's regex engine does not recurse, so the patterns stand as they are.
+ALL_CONSTANTS = "(?i)" + "|".join(T._ws_pattern(p) for p in T.CONSTANT_PATTERNS)
+
+
 def d_is_constant(x: str) -> str:
-    return f"coalesce(regexp_matches({d_py_strip(x)}, {q(T.CONSTANT_REGEX)}), false)"
+    return f"coalesce(regexp_matches({d_py_strip(x)}, {q(ALL_CONSTANTS)}), false)"
 
 
 def d_strip_comments(x: str) -> str:
@@ -220,7 +224,7 @@ def d_column_refs(x: str) -> str:
     toks = f"list_transform(regexp_extract_all({tight}, {q(T.REF_TOKEN)}, 1), lambda t: upper(t))"
     return (f"list_filter({toks}, lambda t: not list_contains({KEYWORDS_SQL}, t) "
             f"and not (strpos(t, '.') = 0 and list_contains({FUNCTIONS_SQL}, t)) "
-            f"and not starts_with(t, '__LIT') and not regexp_matches(t, {q(T.CONSTANT_REGEX)}))")
+            f"and not starts_with(t, '__LIT') and not regexp_matches(t, {q(ALL_CONSTANTS)}))")
 
 
 @register("column_refs", needs=["texts", "projections"], oracle=f"""

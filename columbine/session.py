@@ -1,4 +1,4 @@
-"""Session configuration and lineage-cutting helpers.
+"""Session configuration and plan-cutting helpers.
 
 Iterative operators (graph traces, depth relaxation, name resolution) build
 their result over several rounds.  Each round persists its frontier so the
@@ -57,8 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError(
-                "spark.checkpoint.dir is not set; iterative lineage operators need a shared, "
-                "reliable folder to cut lineage (set it to a path on the cluster file system)"
+                "spark.checkpoint.dir is not set; iterative operators need a shared, "
+                "reliable folder to cut plans (set it to a path on the cluster file system)"
             )
         configured = tempfile.mkdtemp(prefix="columbine-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)

@@ -1,6 +1,6 @@
 """Derived inputs built from the driver's tables.
 
-The reference ships no sample inputs, so the lineage inputs (mapping tables,
+The reference ships no sample inputs, so the inputs (mapping tables,
 data model, SQL statements, scope catalog) are derived from the TPC-H-like
 tables in plain SQL that runs unchanged on Spark and on DuckDB.  The same
 text therefore feeds the Spark queries (``spark_fixture``) and the DuckDB

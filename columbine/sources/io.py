@@ -1,4 +1,4 @@
-"""Readers and writers for lineage inputs and outputs.
+"""Readers and writers for inputs and outputs.
 
 Readers accept either a path (parquet, csv with header, json) or an existing
 DataFrame, and return DataFrames with canonical column names.  Header
@@ -86,6 +86,9 @@ CATALOG_HEADERS = {
     "Description": "description",
 }
 
+# Texts that a sheet reader writes for a false or missing cell.
+FALSE_WORDS = ["false", "no", "n", "f", "0", "0.0", "nan", "none", "null"]
+
 MAPPING_KEYS = ["source_table", "source_field", "dest_table", "dest_field"]
 
 
@@ -96,7 +99,8 @@ def _load(spark: SparkSession, src, fmt: str | None = None) -> DataFrame:
     fmt = fmt or ("csv" if path.endswith(".csv") else "json" if path.endswith(".json") else "parquet")
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        # rules may hold line breaks and doubled quotes
+        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
     return reader.format(fmt).load(path)
 
 
@@ -164,6 +168,15 @@ def read_mappings(spark: SparkSession, src, fmt: str | None = None) -> DataFrame
     return canonical_mappings(_load(spark, src, fmt))
 
 
+def _flag(c: Column, kind: str) -> Column:
+    """A sheet's yes/no cell: booleans and numbers by value; of texts, blank
+    ones and the words in ``FALSE_WORDS`` are false and all others true."""
+    if kind == "string":
+        text = F.lower(F.trim(c))
+        return F.coalesce((text != "") & ~text.isin(*FALSE_WORDS), F.lit(False))
+    return F.coalesce(c.try_cast("boolean"), F.lit(False))
+
+
 def read_column_catalog(spark: SparkSession, src, fmt: str | None = None) -> DataFrame:
     """Column catalog with canonical names and boolean PK/FK flags."""
     df = strip_headers(_load(spark, src, fmt))
@@ -172,7 +185,7 @@ def read_column_catalog(spark: SparkSession, src, fmt: str | None = None) -> Dat
     fixes = {}
     for flag in ("is_pk", "is_fk"):
         if flag in df.columns:
-            fixes[flag] = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+            fixes[flag] = _flag(F.col(flag), dict(df.dtypes)[flag])
     return df.withColumns(fixes) if fixes else df
 
 

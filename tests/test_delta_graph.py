@@ -52,12 +52,12 @@ def test_cycle_trace_ends_and_contains_seed(spark):
 
 def test_depth_dag_and_cycle(spark):
     m = _edges(spark, [("A", "B"), ("B", "C"), ("A", "C"), ("X", "Y")])
-    d = {r.table_name: r.depth for r in G.lineage_depth(spark, m).collect()}
+    d = {r.table_name: r.depth for r in G.table_depth(spark, m).collect()}
     assert d == {"A": 0, "B": 1, "C": 2, "X": 0, "Y": 1}
     for s, t in [("A", "B"), ("B", "C"), ("A", "C")]:
         assert d[t] > d[s]
     cyc = _edges(spark, [("R", "A"), ("A", "B"), ("B", "A")])
-    dc = {r.table_name: r.depth for r in G.lineage_depth(spark, cyc).collect()}
+    dc = {r.table_name: r.depth for r in G.table_depth(spark, cyc).collect()}
     assert dc["R"] == 0 and len(dc) == 3  # ends although a cycle is reachable from a root
 
 

@@ -28,12 +28,12 @@ def test_streaming_front_end(spark, tmp_path):
     assert rows == {"OBJ_A": "INSERT", "OBJ_B": "OTHER"}
 
 
-def test_write_lineage_round_trip(spark, sf, tmp_path):
-    from columbine.operators.report import write_lineage
+def test_write_outputs_round_trip(spark, sf, tmp_path):
+    from columbine.operators.report import write_outputs
     from columbine.plans.delta_queries import mappings
 
     m = mappings(spark, sf, "map_v1")
-    write_lineage({"edges": m}, str(tmp_path), per_object=True)
+    write_outputs({"edges": m}, str(tmp_path), per_object=True)
     back = spark.read.parquet(str(tmp_path / "edges"))
     assert back.count() == m.count()
     assert set(back.columns) == set(m.columns)
