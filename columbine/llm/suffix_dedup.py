@@ -189,7 +189,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         (F.col("place") - F.col("back") + F.col("more")).alias("last")).distinct()
 
     # one copy of every stretch whose triple has others too, with its bytes
-    place = F.struct("k1", "k2", "place", "back", "more", "n")
+    # (picked by a hash, so that no text is the copy of very many)
+    place = F.struct(F.xxhash64("k1", "k2", "stretch").alias("pick"), "k1", "k2", "place", "back", "more", "n")
     copies = marked.where("k > 1").groupBy("name", "stretch").agg(F.min(place).alias("at")) \
         .groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(
             "name", "stretch", "at.place", "at.back", "at.more", "at.n")).alias("wanted"))  # within one text
