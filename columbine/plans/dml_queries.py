@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from columbine.functions.text import WS
 from columbine.operators import dml as M
 from columbine.operators import report as RP
 from columbine.operators import resolve as R
 from columbine.plans.registry import register
-from columbine.plans.resolve_queries import catalog_frames
+from columbine.plans.resolve_queries import RESOLVE_SQL, catalog_frames
+from columbine.plans.text_queries import d_char_count, d_column_refs, d_norm_ws, d_normalize_sql_no_alias, d_word_count
 from columbine.sources import corpus as CO
 from columbine.sources import fixtures as fx
 
@@ -126,18 +128,21 @@ def q_theta_joins(spark, sf_dir):
     return M.theta_joins(fx_(spark, sf_dir, "join_conjuncts"))
 
 
-@register("merge_on_keys", needs=["merge_on"], oracle="""
-with m as (select *, trim(regexp_replace(condition, '\\s+', ' ', 'g')) as c from merge_on),
-s as (select *, trim(split_part(c, '=', 1)) as l, trim(split_part(c, '=', 2)) as r,
-             row_number() over (partition by stmt_id order by conj_pos) as join_seq from m)
-select stmt_id, join_seq, 'MERGE' as join_type,
+MERGE_ON_SQL = """
+mo as (select *, trim(regexp_replace(condition, '\\s+', ' ', 'g')) as c from merge_on),
+ms as (select *, trim(split_part(c, '=', 1)) as l, trim(split_part(c, '=', 2)) as r,
+             row_number() over (partition by stmt_id order by conj_pos) as join_seq from mo),
+mk as (select stmt_id, join_seq, 'MERGE' as join_type,
        case when strpos(l, '.') > 0 then upper(string_split(l, '.')[-2]) else upper(target_alias) end as left_table,
        upper(string_split(l, '.')[-1]) as left_field,
        case when strpos(r, '.') > 0 then upper(string_split(r, '.')[-2]) else upper(using_alias) end as right_table,
        upper(string_split(r, '.')[-1]) as right_field,
        l || ' = ' || r as join_condition, '' as join_filters, 'MERGE_ON' as context_path
-from s
-""")
+from ms)
+"""
+
+
+@register("merge_on_keys", needs=["merge_on"], oracle=f"with {MERGE_ON_SQL} select * from mk")
 def q_merge_on_keys(spark, sf_dir):
     """MERGE ON equalities as join keys."""
     return M.merge_on_keys(fx_(spark, sf_dir, "merge_on"))
@@ -188,12 +193,100 @@ def _pipeline_parts(spark, sf_dir):
     return cat, dm, assignments, joins
 
 
+# The same composition in SQL: assignments and join references as seeds of one
+# resolution, joined back to their rows.
+EDGE_NEEDS = ["scopes", "relations", "projections", "dm_pairs", "join_conjuncts", "merge_on", "root_scopes", "stmts",
+              "insert_cols", *MERGE_NEEDS]
+EDGES_SQL = f"""{FIRST_SQL}, {INSERT_SQL}, {JOINS_SQL}, {MERGE_ON_SQL},
+asg as (
+  select f.stmt_id, r.scope_id, r.target_table,
+         row_number() over (partition by f.stmt_id order by f.when_ord, f.pos) as ord, f.target_column, f.expression,
+         f.clause_type from fa f join root_scopes r using (stmt_id)
+  union all
+  select stmt_id, scope_id, target_table, ord, target_column, expression, clause_type from ins
+  where expression is not null),
+aj as (
+  select stmt_id, scope_id, join_seq, join_type, left_table, left_field, right_table, right_field, join_condition,
+         join_filters, context_path from jc
+  union all
+  select m.stmt_id, r.scope_id, join_seq, join_type, left_table, left_field, right_table, right_field, join_condition,
+         join_filters, context_path from mk m join root_scopes r using (stmt_id)),
+fr as (select *, unnest({d_column_refs('join_filters')}) as ref from (
+  select distinct stmt_id, scope_id, join_seq, join_type, join_filters, context_path from aj where join_filters <> '') z),
+fs as (select *, case when strpos(ref, '.') > 0 then upper(split_part(ref, '.', 1)) end as lft,
+              case when strpos(ref, '.') > 0 then upper(split_part(ref, '.', 2)) else upper(ref) end as rgt from fr),
+fk as (
+  select f.* from fs f
+  left join (select distinct upper(table_name) as t from dm_pairs) d on d.t = f.rgt
+  left join (select distinct stmt_id, scope_id, upper(alias) as a from relations) la
+    on la.stmt_id = f.stmt_id and la.scope_id = f.scope_id and la.a = f.lft
+  left join (select distinct stmt_id, scope_id, upper(alias) as a from relations) ra
+    on ra.stmt_id = f.stmt_id and ra.scope_id = f.scope_id and ra.a = f.rgt
+  where not (d.t is not null and (lft is null or la.a is null or lft in ('ATOMIC', 'DBO', 'PUBLIC', 'SYS', 'SCHEMA', 'ADMIN', 'APP')))
+    and not (lft is null and ra.a is not null)),
+ji as (select *, row_number() over () as item from (
+  select stmt_id, scope_id, join_seq, join_type, 'LEFT' as join_side, 'KEY' as field_role, join_condition, context_path,
+         case when left_table <> '' then left_table || '.' || left_field else left_field end as ref,
+         join_condition as full_expression from aj
+  union all
+  select stmt_id, scope_id, join_seq, join_type, 'RIGHT', 'KEY', join_condition, context_path,
+         case when right_table <> '' then right_table || '.' || right_field else right_field end, join_condition from aj
+  union all
+  select stmt_id, scope_id, join_seq, join_type, 'FILTER', 'FILTER', join_filters, context_path, ref, join_filters
+  from fk) z),
+all_seeds as (
+  select stmt_id, ord as root_ord, scope_id, expression from asg
+  union all select stmt_id, -item, scope_id, ref from ji),
+{RESOLVE_SQL.replace('resolve_seeds', 'all_seeds')},
+jx as (
+  select i.stmt_id, i.join_seq, i.join_type, i.join_side, i.field_role,
+         case when strpos(i.ref, '.') > 0 then split_part(upper(i.ref), '.', 1) else '' end as original_alias,
+         case when strpos(i.ref, '.') > 0 then split_part(upper(i.ref), '.', 2) else upper(i.ref) end as original_field,
+         r.source_type, r.table_name as physical_table, r.column_name as physical_field, r.constant_value, r.dm_match,
+         r.trace_path, case when r.source_type = 'UNRESOLVED' then r.reason else '' end as unresolved_reason,
+         i.join_condition, i.context_path, i.full_expression
+  from ji i join res r on r.stmt_id = i.stmt_id and r.root_ord = -i.item),
+je as (select *, case when original_alias <> '' then original_alias || '.' || original_field else original_field end as oref
+       from jx where not (join_type = 'MERGE' and source_type = 'UNRESOLVED')),
+edges as (
+  select s.sql_file, s.object_name, 'MAPPING' as row_type, a.target_table as dest_table, a.target_column as dest_field,
+         r.source_type, r.table_name as source_table, r.column_name as source_field, r.source_alias, r.original_ref,
+         coalesce(nullif(r.full_expression, ''), a.expression) as full_expression, r.constant_value, a.expression,
+         r.dm_match, r.trace_path,
+         case when r.reason <> '' then a.clause_type || ': ' || r.reason else a.clause_type end as notes,
+         '' as table_alias, '' as join_seq, '' as join_type, '' as join_side, '' as field_role, '' as join_condition,
+         '' as context_path, a.stmt_id
+  from asg a join res r on r.stmt_id = a.stmt_id and r.root_ord = a.ord join stmts s on s.stmt_id = a.stmt_id
+  union all
+  select s.sql_file, s.object_name, 'JOIN', '', '', e.source_type, e.physical_table, e.physical_field, e.original_alias,
+         e.oref, e.full_expression, e.constant_value, e.oref, e.dm_match, e.trace_path, e.unresolved_reason,
+         e.original_alias, case when e.join_seq > 0 then cast(e.join_seq as varchar) else '' end, e.join_type,
+         e.join_side, e.field_role, e.join_condition, e.context_path, e.stmt_id
+  from je e join stmts s on s.stmt_id = e.stmt_id),
+stats as (
+  select e.stmt_id, e.sql_file, e.object_name, count(*) as total_rows,
+         count(*) filter (row_type = 'MAPPING') as mapping_count, count(*) filter (row_type = 'JOIN') as join_field_count,
+         count(*) filter (source_type = 'PHYSICAL') as physical_count,
+         count(*) filter (source_type = 'CONSTANT') as constant_count,
+         count(*) filter (source_type = 'SEQUENCE') as sequence_count,
+         count(*) filter (source_type = 'UNRESOLVED') as unresolved_count,
+         count(*) filter (dm_match = 'Y') as dm_match_y, count(*) filter (dm_match = 'N') as dm_match_n,
+         count(*) filter (row_type = 'MAPPING' and source_type = 'UNRESOLVED') as mapping_unresolved,
+         coalesce(any_value(j.n), 0) as join_count
+  from edges e left join (select stmt_id, count(distinct (scope_id, join_seq, join_type)) as n from aj group by 1) j
+    on j.stmt_id = e.stmt_id group by 1, 2, 3)
+"""
+
+
+def edges_oracle(body: str) -> str:
+    return f"with recursive {EDGES_SQL} {body}"
+
+
 def _exploded(spark, sf_dir, cat, dm, joins):
     return M.explode_join_keys(spark, joins, cat, dm.select("table_name"))
 
 
-@register("join_keys_exploded", needs=["scopes", "relations", "projections", "dm_pairs", "join_conjuncts",
-                                       "merge_on", "root_scopes"])
+@register("join_keys_exploded", needs=EDGE_NEEDS, oracle=edges_oracle("select * from jx"))
 def q_join_keys_exploded(spark, sf_dir):
     """Every join key and filter reference resolved in its join's scope."""
     cat, dm, _, joins = _pipeline_parts(spark, sf_dir)
@@ -216,15 +309,14 @@ def _edges(spark, sf_dir):
     return RP.edge_table(maps, jrows), joins, stmts
 
 
-@register("edge_table", needs=["scopes", "relations", "projections", "dm_pairs", "join_conjuncts", "merge_on",
-                               "root_scopes", "stmts"])
+@register("edge_table", needs=EDGE_NEEDS, oracle=edges_oracle("select * from edges"))
 def q_edge_table(spark, sf_dir):
     """C7 + U2 + C8 + T1: MAPPING and JOIN rows of every statement, sorted per file."""
     edges, _, _ = _edges(spark, sf_dir)
     return RP.sort_edges(edges)
 
 
-@register("edge_stats", needs=["stmts"])
+@register("edge_stats", needs=EDGE_NEEDS, oracle=edges_oracle("select * from stats"))
 def q_edge_stats(spark, sf_dir):
     """A1: per-statement counts over the edge table."""
     edges, joins, _ = _edges(spark, sf_dir)
@@ -233,7 +325,25 @@ def q_edge_stats(spark, sf_dir):
     return RP.edge_stats(edges, jc)
 
 
-@register("summary_long", needs=["stmts"])
+@register("summary_long", needs=EDGE_NEEDS, oracle=edges_oracle(f"""
+, nt as (select sql_file, list_filter([
+    case when valid and regexp_matches(sql_text, '(?i)(^|[^A-Za-z0-9_])EXECUTE\\s+IMMEDIATE([^A-Za-z0-9_]|$)')
+         then 'Contains EXECUTE IMMEDIATE - dynamic SQL cannot be fully traced' end,
+    case when valid and regexp_matches(sql_text, '@[A-Za-z0-9_]')
+         then 'Contains DB links (@) - remote tables may not resolve' end,
+    case when valid and o <> c then 'Unbalanced parentheses: ' || o || ' open, ' || c || ' close' end],
+    lambda w: w is not null) as w from (
+  select sql_file, sql_text, length(trim(sql_text)) >= 10 and {d_word_count('upper(sql_text)', 'SELECT')} > 0 as valid,
+         {d_char_count('sql_text', '(')} as o, {d_char_count('sql_text', ')')} as c from stmts) z),
+lg as (unpivot (select sql_file, mapping_count as total_mappings, physical_count as physical, constant_count as constant,
+                       sequence_count as sequence, unresolved_count as unresolved, dm_match_y, dm_match_n,
+                       join_count as joins from stats)
+       on total_mappings, physical, constant, sequence, unresolved, dm_match_y, dm_match_n, joins
+       into name metric value value)
+select l.sql_file, l.metric, l.value,
+       coalesce(len(n.w) || ' warnings' || case when len(n.w) > 0 then ': ' || array_to_string(n.w[1:5], ' | ') else '' end, '') as notes
+from lg l left join nt n using (sql_file)
+"""))
 def q_summary_long(spark, sf_dir):
     """A2 + T5: the stats in long form; notes carry the count and first five validation warnings."""
     from columbine.functions.text import validate_sql
@@ -247,13 +357,28 @@ def q_summary_long(spark, sf_dir):
                                                     F.coalesce("_n", F.lit("")).alias("notes"))
 
 
-@register("unresolved_rate", needs=["stmts"])
+@register("unresolved_rate", needs=EDGE_NEEDS, oracle=edges_oracle("""
+select stmt_id, sql_file, object_name, mapping_count, mapping_unresolved,
+       case when mapping_count > 0 then round(mapping_unresolved * 100.0 / mapping_count, 4) end as unresolved_pct,
+       coalesce(mapping_unresolved * 100.0 / nullif(mapping_count, 0) > 20, false) as alarm
+from stats
+"""))
 def q_unresolved_rate(spark, sf_dir):
     """A3: unresolved share of mapping rows per statement, with the 20 % alarm."""
     return RP.unresolved_rate(q_edge_stats(spark, sf_dir))
 
 
-@register("qa_compare", needs=["stmts"])
+@register("qa_compare", needs=EDGE_NEEDS, oracle=edges_oracle("""
+, dp as (select stmt_id, sql_file, object_name, dest_field,
+                list_sort(list_distinct(list(source_table || '.' || source_field))) as d
+         from edges where source_type = 'PHYSICAL' group by 1, 2, 3, 4),
+sp as (select stmt_id, list_sort(list_distinct(list_transform(regexp_extract_all(sql_text,
+         '(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*[.][A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: upper(x)))) as r from stmts)
+select dp.stmt_id, sql_file, object_name, 'SOURCE_SET' as check_type, dest_field,
+       array_to_string(d, ', ') as deep_sources, array_to_string(coalesce(r, []), ', ') as simple_sources,
+       case when d = r then 'Y' else 'N' end as "match", '' as notes
+from dp left join sp on sp.stmt_id = dp.stmt_id
+"""))
 def q_qa_compare(spark, sf_dir):
     """A4: resolved physical sources vs raw dotted pairs per target field."""
     edges, _, stmts = _edges(spark, sf_dir)
@@ -270,14 +395,45 @@ def q_pending_objects(spark, sf_dir):
     return CO.pending(fx_(spark, sf_dir, "stmts"), fx_(spark, sf_dir, "manifest"))
 
 
-@register("batch_outcomes", needs=["stmts", "manifest"])
+KIND_SQL = f"""
+kd as (select *, case when length(trim(sql_text)) = 0 then 'SQL file is empty or whitespace only'
+                      when length(trim(sql_text)) < 10 then 'SQL too short (' || length(sql_text) || ' chars), likely invalid'
+                      when {d_word_count('upper(sql_text)', 'SELECT')} = 0 then 'No SELECT keyword found' else '' end as message,
+              case upper(regexp_extract({d_normalize_sql_no_alias('sql_text')}, '^[(]*{WS}*([A-Za-z]+)', 1))
+                when 'MERGE' then 'MERGE' when 'INSERT' then 'INSERT' else 'OTHER' end as kind from stmts)
+"""
+
+
+@register("batch_outcomes", needs=["stmts", "manifest"], oracle=f"""
+with {KIND_SQL},
+done as (select object_name from manifest group by 1 having arg_max(status, run_ord) = 'success'),
+st as (select case when d.object_name is not null then 'skipped' when message = '' and kind <> 'OTHER' then 'success'
+              else 'failed' end as status from kd k left join done d using (object_name))
+select count(*) as processed, count(*) filter (status = 'success') as success,
+       count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed') as failed from st
+""")
 def q_batch_outcomes(spark, sf_dir):
     """Processed / success / skipped / failed counts of a batch."""
     st = CO.outcomes(fx_(spark, sf_dir, "stmts"), fx_(spark, sf_dir, "manifest"))
     return CO.outcome_counts(st)
 
 
-@register("coverage_report", needs=["stmts", "mapping_spec"])
+@register("coverage_report", needs=["stmts", "mapping_spec"], oracle=f"""
+with {KIND_SQL},
+sc as (select object_name, count(*) as spec_rows from (
+  select upper(trim(m.name)) as object_name from mapping_spec m join stmts t
+    on upper(trim(coalesce(m.name, ''))) = upper(trim(t.object_name)) where upper(trim(coalesce(m.type, ''))) = 'T2T') z
+  group by 1),
+wc as (select *, case when message <> '' then 0 else
+    cast(regexp_matches(sql_text, '(?i)(^|[^A-Za-z0-9_])EXECUTE\\s+IMMEDIATE([^A-Za-z0-9_]|$)') as int)
+    + cast(regexp_matches(sql_text, '@[A-Za-z0-9_]') as int)
+    + cast({d_char_count('sql_text', '(')} <> {d_char_count('sql_text', ')')} as int) end as warning_count from kd)
+select stmt_id, w.object_name, kind, message = '' as valid, message, warning_count,
+       message = '' and kind <> 'OTHER' as processable,
+       case when message <> '' then message when kind = 'OTHER' then 'not a MERGE or INSERT statement' else '' end as reason,
+       coalesce(sc.spec_rows, 0) as spec_rows
+from wc w left join sc on sc.object_name = w.object_name
+""")
 def q_coverage_report(spark, sf_dir):
     """Kind, validity and spec coverage of every statement."""
     spec = fx_(spark, sf_dir, "mapping_spec")
@@ -334,14 +490,16 @@ def q_direct_fallback(spark, sf_dir):
                                               ["stmt_id", "root_ord"])
 
 
-@register("combined_edges", needs=["stmts"])
+@register("combined_edges", needs=EDGE_NEEDS, oracle=edges_oracle("select * from edges"))
 def q_combined_edges(spark, sf_dir):
     """T2 + U3: all statements' edges in the combined output order."""
     edges, _, _ = _edges(spark, sf_dir)
     return RP.sort_combined(edges)
 
 
-@register("join_keys_sorted", needs=["stmts"])
+@register("join_keys_sorted", needs=EDGE_NEEDS, oracle=edges_oracle("""
+select s.sql_file, s.object_name, x.* exclude (stmt_id) from jx x join stmts s on s.stmt_id = x.stmt_id
+"""))
 def q_join_keys_sorted(spark, sf_dir):
     """Exploded join keys of all statements in output order, with file names."""
     cat, dm, _, joins = _pipeline_parts(spark, sf_dir)
@@ -350,7 +508,17 @@ def q_join_keys_sorted(spark, sf_dir):
     return RP.sort_exploded(ex.select(*RP.JOIN_KEYS_EXPLODED_COLUMNS))
 
 
-@register("mapping_spec_normalized", needs=["mapping_spec"])
+def _ident(c: str) -> str:
+    """Oracle of an identifier without quotes (the sheet's have none)."""
+    return f"upper({d_norm_ws(c)})"
+
+
+@register("mapping_spec_normalized", needs=["mapping_spec"], oracle=f"""
+select {_ident('type')} as type, {_ident('name')} as name, {_ident('target_table')} as target_table,
+       {_ident('target_column')} as target_column, {_ident('source_table')} as source_table,
+       {_ident('source_column')} as source_column, {_ident('expression')} as expression
+from mapping_spec
+""")
 def q_mapping_spec_normalized(spark, sf_dir):
     """The spec sheet as read: headers matched, identifiers and expressions normalized."""
     from columbine.sources.io import read_mapping_spec

@@ -146,7 +146,8 @@ res as (
   select stmt_id, root_ord, 'CONSTANT', '', '', u, '', 'N', array_to_string(trace, '->') || ':CONSTANT(' || u || ')',
          '', '', full_expression from k2 where {d_is_constant('ref')}
   union all
-  select k.stmt_id, k.root_ord, 'UNRESOLVED', '', k.u, '', 'ALIAS_NOT_FOUND', 'N', array_to_string(k.trace, '->'),
+  select k.stmt_id, k.root_ord, 'UNRESOLVED', '', k.u, '',
+         case when strpos(k.ref, '.') > 0 then 'ALIAS_NOT_FOUND' else 'COLUMN_NOT_FOUND' end, 'N', array_to_string(k.trace, '->'),
          '', '', k.full_expression
   from k2 k left join vis v on v.stmt_id = k.stmt_id and v.scope_id = k.scope_id and v.alias = k.al
   where not {d_is_constant('k.ref')} and v.alias is null
