@@ -10,12 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, simhash, suffix_dedup,
+from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, oracles, simhash, suffix_dedup,
                            token_attribution, token_store, warc_fixity)
 from columbine.llm.common import bound_batches, scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_host_rules": oracles.HOST_RULES,
+    "op7_license_scan": oracles.LICENSE_SCAN,
+    "op10_decontaminate": oracles.DECONTAMINATE,
+}
 
 # Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("COLUMBINE_TOKENIZERS", "/opt/tokenizers")
