@@ -76,6 +76,17 @@ def by_change(df: DataFrame, types=("added", "removed", "modified"), col: str =
     return df.where(F.col(col).isNull() | F.col(col).isin(list(types)))
 
 
+def delta_nodes(v1: DataFrame, v2: DataFrame) -> DataFrame:
+    """Tables of the delta graph: those of V2, and those that only edges
+    removed since V1 still name (``version`` says which graph a table is from)."""
+    def ends(m: DataFrame, name: str) -> DataFrame:
+        return m.select(F.explode(F.array("source_table", "dest_table")).alias("table_name"), F.lit(name).alias("version"))
+
+    edge = ["source_table", "dest_table"]
+    gone = v1.select(*edge).join(v2.select(*edge), edge, "left_anti")
+    return ends(v2, "V2").unionByName(ends(gone, "V1")).groupBy("table_name").agg(F.max("version").alias("version"))
+
+
 def delta_graph(v1: DataFrame, v2: DataFrame, delta: DataFrame) -> DataFrame:
     """Table edges of V2 marked by the strongest change of their mappings.
 

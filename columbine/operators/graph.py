@@ -138,8 +138,15 @@ def object_targets(mappings: DataFrame) -> DataFrame:
             .groupBy("object_name", "dest_table").agg(F.count(F.lit(1)).cast("long").alias("mapping_count")))
 
 
+def unmapped_columns(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Catalog columns that no mapping reads or fills, one row each."""
+    cat = catalog.select("table_name", F.col("column_name").alias("field_name"), "is_pk", "is_fk")
+    return cat.join(mapped_fields(mappings), ["table_name", "field_name"], "left_anti")
+
+
 def table_profile(mappings: DataFrame, catalog: DataFrame, v1: DataFrame | None = None) -> DataFrame:
-    """Per table: neighbours, mapped fields with PK/FK flags, other catalog columns."""
+    """Per table: neighbours, mapped fields with PK/FK flags, number of
+    other catalog columns (``unmapped_columns`` lists them)."""
     tables = all_tables(*(x for x in (v1, mappings) if x is not None))
     fields = mapped_fields(mappings)
     cat = catalog.select(F.col("table_name"), F.col("column_name").alias("field_name"), "is_pk", "is_fk")
@@ -147,9 +154,8 @@ def table_profile(mappings: DataFrame, catalog: DataFrame, v1: DataFrame | None
         F.count(F.lit(1)).cast("long").alias("mapped_field_count"),
         F.count_if(F.coalesce("is_pk", F.lit(False))).cast("long").alias("mapped_pk_count"),
         F.count_if(F.coalesce("is_fk", F.lit(False))).cast("long").alias("mapped_fk_count"))
-    others = cat.join(fields, ["table_name", "field_name"], "left_anti").groupBy("table_name").agg(
-        F.count(F.lit(1)).cast("long").alias("other_column_count"),
-        F.array_join(F.array_sort(F.collect_list("field_name")), ", ").alias("other_columns"))
+    others = unmapped_columns(mappings, catalog).groupBy("table_name").agg(
+        F.count(F.lit(1)).cast("long").alias("other_column_count"))
     out = (tables.join(neighbour_counts(mappings), "table_name", "left")
            .join(mapped, "table_name", "left").join(others, "table_name", "left"))
     return out.select(
@@ -160,7 +166,6 @@ def table_profile(mappings: DataFrame, catalog: DataFrame, v1: DataFrame | None
         F.coalesce("mapped_pk_count", F.lit(0)).cast("long").alias("mapped_pk_count"),
         F.coalesce("mapped_fk_count", F.lit(0)).cast("long").alias("mapped_fk_count"),
         F.coalesce("other_column_count", F.lit(0)).cast("long").alias("other_column_count"),
-        F.coalesce("other_columns", F.lit("")).alias("other_columns"),
     )
 
 
@@ -374,38 +379,52 @@ def neighbourhood(mappings: DataFrame, seeds: DataFrame, up: bool = True, down:
 def table_depth(spark: SparkSession, mappings: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Longest path (in table edges) from any root to each table.
 
-    Roots are tables with no incoming edge; with none, every table starts at
-    0.  Depths relax as ``max(depth(source) + 1)`` until no table changes,
-    bounded by the table count so a cycle reachable from a root ends (the
-    reference loops forever there).  Unreached tables get 0.
+    Tables are peeled in rounds: a table gets its depth, one more than its
+    deepest source, once all of its sources have theirs.  Roots are tables
+    with no incoming edge.  Tables on a cycle or behind one are never peeled;
+    they are entered from the peeled part (one more than their deepest peeled
+    source) and take from there the least number of further edges, so their
+    depth depends on the tables before them only.  Tables that no root
+    reaches, and all tables where there is no root, get 0.
+
+    A round is one aggregation of the edges that leave the tables of the last
+    round; there are as many as the longest path has tables, and one more.
     """
-    all_e = table_edges(mappings).persist()
-    e = all_e.where(F.col("source_table") != F.col("dest_table"))
-    tables = (nodes if nodes is not None else all_tables(mappings)).select("table_name").distinct().persist()
-    n_tables = tables.count()
-    targets = all_e.select(F.col("dest_table").alias("table_name")).distinct()
-    roots = tables.join(targets, "table_name", "left_anti")
-    if roots.isEmpty():
-        roots = tables
     state = RoundState(spark)
-    depth = state.keep(roots.withColumn("depth", F.lit(0)).withColumn("changed", F.lit(True)))
-    rnd = 0
-    while rnd < max(n_tables, 1):
-        rnd += 1
-        frontier = depth.where("changed")
-        cand = (frontier.join(e, frontier["table_name"] == e["source_table"])
-                .groupBy(F.col("dest_table").alias("table_name")).agg((F.max("depth") + 1).alias("cand")))
-        # one frame per round: new depth and whether it moved (one checkpoint)
-        merged = depth.drop("changed").join(cand, "table_name", "full_outer").select(
-            "table_name",
-            F.greatest(F.coalesce("depth", F.lit(-1)), F.coalesce("cand", F.lit(-1))).alias("depth"),
-            (F.col("cand").isNotNull() & (F.col("depth").isNull() | (F.col("cand") > F.col("depth"))))
-            .alias("changed"))
-        depth = state.keep(merged)
-        if depth.where("changed").isEmpty():
-            break
-    return (tables.join(depth.drop("changed"), "table_name", "left")
-            .select("table_name", F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))
+    e = state.keep(table_edges(mappings).where(F.col("source_table") != F.col("dest_table")))
+    tables = state.keep((nodes if nodes is not None else all_tables(mappings)).select("table_name").distinct())
+    # a table that only feeds itself is no root (no depth), and waits for no other
+    own = table_edges(mappings).where(F.col("source_table") == F.col("dest_table")).select(
+        F.col("dest_table").alias("table_name"), F.lit(True).alias("own"))
+    waits = e.groupBy(F.col("dest_table").alias("table_name")).agg(F.count(F.lit(1)).alias("open"))
+    rest = state.keep(tables.join(waits, "table_name", "left").join(own, "table_name", "left").select(
+        "table_name", F.coalesce("open", F.lit(0)).cast("long").alias("open"),
+        F.when(F.col("open").isNull() & F.col("own").isNull(), 0).cast("long").alias("depth"),
+        F.col("own").isNotNull().alias("own")))
+    front, rest = rest.where("open = 0"), rest.where("open > 0")
+    done = [front.select("table_name", "depth")]
+    while not front.isEmpty():
+        seen = front.join(e, front["table_name"] == e["source_table"]).groupBy(F.col("dest_table").alias("table_name")) \
+            .agg(F.count(F.lit(1)).alias("n"), (F.max("depth") + 1).alias("cand"))
+        moved = state.keep(rest.join(seen, "table_name", "left").select(
+            "table_name", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"),
+            F.greatest("depth", "cand").alias("depth"), "own"))
+        front, rest = moved.where("open = 0"), moved.where("open > 0")
+        done.append(front.select("table_name", "depth"))
+    # on or behind a cycle: breadth first from the tables with a peeled source
+    front = rest.where("depth is not null").select("table_name", "depth")
+    left = rest.where("depth is null").select("table_name")
+    while not front.isEmpty():
+        done.append(front)
+        step = front.join(e, front["table_name"] == e["source_table"]).groupBy(F.col("dest_table").alias("table_name")) \
+            .agg((F.min("depth") + 1).alias("depth"))
+        moved = state.keep(left.join(step, "table_name", "left"))
+        front, left = moved.where("depth is not null"), moved.where("depth is null").select("table_name")
+    depth = done[0]
+    for d in done[1:]:
+        depth = depth.unionByName(d)
+    return tables.join(depth, "table_name", "left").select(
+        "table_name", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
 def depth_layers(depths: DataFrame) -> DataFrame:

@@ -103,6 +103,20 @@ def q_delta_filtered(spark, sf_dir):
     return D.by_change(q_mapping_delta(spark, sf_dir))
 
 
+@register("delta_nodes", needs=["map_v1", "map_v2"], oracle=f"""
+with {V1}, {V2},
+n2 as (select source_table as t from v2 union select dest_table from v2),
+g as (select * from v1 where not exists (
+  select 1 from v2 where v2.source_table = v1.source_table and v2.dest_table = v1.dest_table)),
+n1 as (select source_table as t from g union select dest_table from g)
+select t as table_name, 'V2' as version from n2
+union all select t, 'V1' from n1 where t not in (select t from n2)
+""")
+def q_delta_nodes(spark, sf_dir):
+    """Tables of the delta graph, those of removed edges included."""
+    return D.delta_nodes(mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2"))
+
+
 @register("delta_graph", needs=["map_v1", "map_v2"], oracle=f"""
 with {V1}, {V2} {DELTA_SQL},
 r as (select *, case change_type when 'added' then 4 when 'modified' then 3 when 'removed' then 2 else 1 end as rk

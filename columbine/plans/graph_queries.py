@@ -173,14 +173,12 @@ mp as (select f.table_name, count(*) as mapped_field_count,
               count(*) filter (where coalesce(c.is_pk, false)) as mapped_pk_count,
               count(*) filter (where coalesce(c.is_fk, false)) as mapped_fk_count
        from flds f left join cat c on c.table_name = f.table_name and c.column_name = f.field_name group by 1),
-ot as (select c.table_name, count(*) as other_column_count,
-              string_agg(c.column_name, ', ' order by c.column_name) as other_columns
+ot as (select c.table_name, count(*) as other_column_count
        from cat c where not exists (select 1 from flds f where f.table_name = c.table_name and f.field_name = c.column_name)
        group by 1)
 select t.table_name, coalesce(upstream_count, 0) as upstream_count, coalesce(downstream_count, 0) as downstream_count,
        coalesce(mapped_field_count, 0) as mapped_field_count, coalesce(mapped_pk_count, 0) as mapped_pk_count,
-       coalesce(mapped_fk_count, 0) as mapped_fk_count, coalesce(other_column_count, 0) as other_column_count,
-       coalesce(other_columns, '') as other_columns
+       coalesce(mapped_fk_count, 0) as mapped_fk_count, coalesce(other_column_count, 0) as other_column_count
 from tabs t left join up using (table_name) left join dn using (table_name) left join mp using (table_name)
 left join ot using (table_name)
 """)
@@ -190,6 +188,16 @@ def q_table_profile(spark, sf_dir):
                            v1=mappings(spark, sf_dir, "map_v1"))
 
 
+@register("unmapped_columns", needs=MAPS + ["column_catalog"], oracle=f"""
+with {V1}, {V2}, {CAT}, {FIELDS_SQL}
+select table_name, column_name as field_name, is_pk, is_fk from cat c
+where not exists (select 1 from flds f where f.table_name = c.table_name and f.field_name = c.column_name)
+""")
+def q_unmapped_columns(spark, sf_dir):
+    """Catalog columns without a mapping."""
+    return G.unmapped_columns(mappings(spark, sf_dir, "map_v2"), _catalog(spark, sf_dir))
+
+
 @register("table_list", needs=MAPS, oracle=f"""
 with {V1}, {V2}, {TABLES_SQL}, {FIELDS_SQL},
 c as (select table_name, count(*) as n from flds group by 1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Header synonyms of a mapping table (lower-cased header ->
@@ -200,6 +200,7 @@ def read_data_model(spark: SparkSession, src, fmt: str | None = None,
     expansion has a stable column order.
     """
     from columbine.functions.text import normalize_identifier
+    from columbine.operators.closure import ordered_index
 
     df = strip_headers(_load(spark, src, fmt))
     t = resolve_column_name(df, table_header) or "table_name"
@@ -216,8 +217,8 @@ def read_data_model(spark: SparkSession, src, fmt: str | None = None,
     ).where((F.col("table_name") != "") & (F.col("column_name") != ""))
     # first appearance per pair: partial aggregation, skew-safe
     firsts = pairs.groupBy("table_name", "column_name").agg(F.min("_pos").alias("_pos"))
-    w = Window.partitionBy("table_name").orderBy("_pos", "column_name")
-    return firsts.withColumn("ordinal", F.row_number().over(w).cast("long")).drop("_pos")
+    numbered = ordered_index(firsts, ["table_name"], ["_pos", "column_name"], index_col="ordinal", size_col=None)
+    return numbered.withColumn("ordinal", F.col("ordinal") + 1).drop("_pos")
 
 
 def text_or_blank(c: Column) -> Column:

@@ -58,7 +58,12 @@ def test_depth_dag_and_cycle(spark):
         assert d[t] > d[s]
     cyc = _edges(spark, [("R", "A"), ("A", "B"), ("B", "A")])
     dc = {r.table_name: r.depth for r in G.table_depth(spark, cyc).collect()}
-    assert dc["R"] == 0 and len(dc) == 3  # ends although a cycle is reachable from a root
+    assert dc == {"R": 0, "A": 1, "B": 2}
+    leaves = [("R", f"L{i}") for i in range(40)] + [("B", "Z"), ("S", "S"), ("P", "Q"), ("Q", "P")]
+    more = _edges(spark, [("R", "A"), ("A", "B"), ("B", "A"), *leaves])
+    dm = {r.table_name: r.depth for r in G.table_depth(spark, more).collect()}
+    assert {k: dm[k] for k in dc} == dc  # unrelated tables change nothing
+    assert dm["Z"] == 3 and dm["S"] == dm["P"] == dm["Q"] == 0 and dm["L7"] == 1
 
 
 def test_ordered_index_matches_window(spark, sf):
