@@ -75,40 +75,56 @@ def nearest_cte(relations: DataFrame, scopes: DataFrame, closure: DataFrame) ->
           ("stmt_id", "scope_id", "ord", "alias", "rel_kind", "table_name", "child_scope_id")])
 
 
+def nested_scopes(spark: SparkSession, relations: DataFrame) -> DataFrame:
+    """Scopes that a scope reads through its relations, at any depth:
+    (stmt_id, scope_id, desc_id, sub_dist >= 1).  CTE bodies that nothing
+    reads and subqueries outside FROM are not among them."""
+    reads = relations.where((F.col("rel_kind") == "SCOPE") & F.col("child_scope_id").isNotNull())
+    edges = reads.select(F.col("stmt_id").alias("src_stmt_id"), F.col("scope_id").alias("src_scope_id"),
+                         F.col("stmt_id").alias("dst_stmt_id"), F.col("child_scope_id").alias("dst_scope_id"))
+    seeds = reads.select(F.col("scope_id").alias("from_scope"), "stmt_id", "scope_id").distinct()
+    found = reach(spark, edges, seeds, ["stmt_id", "scope_id"], ["from_scope"])
+    return found.where("hop > 0").select(
+        "stmt_id", F.col("from_scope").alias("scope_id"), F.col("scope_id").alias("desc_id"),
+        F.col("hop").alias("sub_dist"))
+
+
 def visible_relations(scopes: DataFrame, relations: DataFrame, closure: DataFrame) -> DataFrame:
     """Which relation each alias means in each scope.
 
     Candidates by rank: at the scope itself, then at each ancestor in turn
-    (``level``): own relations (0), CTEs defined there (1), SCOPE relations
-    nested below it (2), PHYSICAL relations nested below it (3); nested
+    (``level``): own relations (0), CTEs defined there (1), SCOPE relations of
+    the scopes it reads (2), PHYSICAL relations of those (3), and then, for a
+    union, the same four at each of its branches in turn (4); nested
     candidates by depth, then scope id, then relation order.  The first
     candidate wins (``row_number() = 1`` per scope and alias).
     Returns (stmt_id, scope_id, alias, rel_kind, table_name, child_scope_id, level).
     """
-    rel = relations.select("stmt_id", F.col("scope_id").alias("owner_id"), "ord", F.upper("alias").alias("alias"),
+    rel = relations.select("stmt_id", F.col("scope_id").alias("at_scope"), "ord", F.upper("alias").alias("alias"),
                            "rel_kind", "table_name", "child_scope_id")
-    up = closure.select("stmt_id", "scope_id", F.col("ancestor_id").alias("anc_id"), F.col("distance").alias("level"))
-    own = (up.join(rel, (up["stmt_id"] == rel["stmt_id"]) & (up["anc_id"] == rel["owner_id"]))
-           .select(up["stmt_id"], "scope_id", "level", F.lit(0).alias("cat"), F.lit(0).alias("sub_dist"),
-                   F.col("owner_id").alias("at_scope"), "ord", "alias", "rel_kind", "table_name", "child_scope_id"))
+    own = rel.select("*", F.col("at_scope").alias("anc_id"), F.lit(0).alias("cat"), F.lit(0).alias("sub_dist"))
     ctes = scopes.where(F.col("kind") == "CTE").select(
-        "stmt_id", F.col("parent_id").alias("anc_id"), F.col("scope_id").alias("cte_scope_id"),
-        cte_name(F.col("scope_name")).alias("alias"))
-    cte_c = up.join(ctes, ["stmt_id", "anc_id"]).select(
-        "stmt_id", "scope_id", "level", F.lit(1).alias("cat"), F.lit(0).alias("sub_dist"),
-        F.col("anc_id").alias("at_scope"), F.lit(0).alias("ord"), "alias", F.lit("SCOPE").alias("rel_kind"),
-        F.lit(None).cast("string").alias("table_name"), F.col("cte_scope_id").alias("child_scope_id"))
-    down = closure.where(F.col("distance") > 0).select(
-        "stmt_id", F.col("scope_id").alias("desc_id"), F.col("ancestor_id").alias("anc_id"),
-        F.col("distance").alias("sub_dist"))
-    nested = (up.join(down, ["stmt_id", "anc_id"])
-              .join(rel, (F.col("desc_id") == rel["owner_id"]) & (up["stmt_id"] == rel["stmt_id"]))
-              .select(up["stmt_id"], "scope_id", "level",
-                      F.when(F.col("rel_kind") == "SCOPE", 2).otherwise(3).alias("cat"), "sub_dist",
-                      F.col("owner_id").alias("at_scope"), "ord", "alias", "rel_kind", "table_name",
-                      "child_scope_id"))
-    cand = own.unionByName(cte_c).unionByName(nested)
-    w = Window.partitionBy("stmt_id", "scope_id", "alias").orderBy("level", "cat", "sub_dist", "at_scope", "ord")
+        "stmt_id", F.col("parent_id").alias("at_scope"), F.lit(0).alias("ord"),
+        cte_name(F.col("scope_name")).alias("alias"), F.lit("SCOPE").alias("rel_kind"),
+        F.lit(None).cast("string").alias("table_name"), F.col("scope_id").alias("child_scope_id"),
+        F.col("parent_id").alias("anc_id"), F.lit(1).alias("cat"), F.lit(0).alias("sub_dist"))
+    below = nested_scopes(scopes.sparkSession, relations).select(
+        "stmt_id", F.col("scope_id").alias("anc_id"), F.col("desc_id").alias("at_scope"), "sub_dist")
+    nested = below.join(rel, ["stmt_id", "at_scope"]).select(
+        "stmt_id", "at_scope", "ord", "alias", "rel_kind", "table_name", "child_scope_id", "anc_id",
+        F.when(F.col("rel_kind") == "SCOPE", 2).otherwise(3).alias("cat"), "sub_dist")
+    at = own.unionByName(ctes).unionByName(nested).withColumns({"branch": F.lit(-1), "branch_cat": F.lit(0)})
+    branches = scopes.where(F.col("kind") == "UNION_BRANCH").select(
+        "stmt_id", F.col("scope_id").alias("anc_id"), F.col("parent_id").alias("union_id"),
+        F.coalesce("branch_ord", F.lit(0)).alias("_b"))
+    in_branch = at.join(branches, ["stmt_id", "anc_id"]).select(
+        *[F.col(c) for c in at.columns if c not in ("anc_id", "cat", "branch", "branch_cat")],
+        F.col("union_id").alias("anc_id"), F.lit(4).alias("cat"), F.col("_b").alias("branch"),
+        F.col("cat").alias("branch_cat"))
+    up = closure.select("stmt_id", "scope_id", F.col("ancestor_id").alias("anc_id"), F.col("distance").alias("level"))
+    cand = up.join(at.unionByName(in_branch), ["stmt_id", "anc_id"])
+    w = Window.partitionBy("stmt_id", "scope_id", "alias").orderBy(
+        "level", "cat", "branch", "branch_cat", "sub_dist", "at_scope", "ord")
     return (cand.withColumn("_r", F.row_number().over(w)).where("_r = 1")
             .select("stmt_id", "scope_id", "alias", "rel_kind", "table_name", "child_scope_id", "level"))
 

@@ -34,15 +34,22 @@ def q_scope_closure(spark, sf_dir):
 
 
 VIS_SQL = f"""{CLOSURE_SQL},
+nst(stmt_id, scope_id, desc_id, dist) as (
+  select stmt_id, scope_id, child_scope_id, 1 from relations where rel_kind = 'SCOPE' and child_scope_id is not null
+  union
+  select n.stmt_id, n.scope_id, r.child_scope_id, n.dist + 1 from nst n
+  join relations r on r.stmt_id = n.stmt_id and r.scope_id = n.desc_id
+  where r.rel_kind = 'SCOPE' and r.child_scope_id is not null),
+nd as (select stmt_id, scope_id, desc_id, min(dist) as dist from nst group by 1, 2, 3),
 cand as (
   select a.stmt_id, a.scope_id, upper(r.alias) as alias, r.rel_kind, upper(r.table_name) as table_name,
          r.child_scope_id, a.distance as level, 0 as cat, 0 as sub_dist, r.scope_id as at_scope, r.ord
   from anc a join relations r on r.stmt_id = a.stmt_id and r.scope_id = a.ancestor_id
   union all
   select a.stmt_id, a.scope_id, upper(r.alias), r.rel_kind, upper(r.table_name), r.child_scope_id, a.distance,
-         case when r.rel_kind = 'SCOPE' then 2 else 3 end, d.distance, r.scope_id, r.ord
-  from anc a join anc d on d.stmt_id = a.stmt_id and d.ancestor_id = a.ancestor_id and d.distance > 0
-  join relations r on r.stmt_id = d.stmt_id and r.scope_id = d.scope_id),
+         case when r.rel_kind = 'SCOPE' then 2 else 3 end, d.dist, r.scope_id, r.ord
+  from anc a join nd d on d.stmt_id = a.stmt_id and d.scope_id = a.ancestor_id
+  join relations r on r.stmt_id = d.stmt_id and r.scope_id = d.desc_id),
 vis as (select stmt_id, scope_id, alias, rel_kind, table_name, child_scope_id, level from (
   select *, row_number() over (partition by stmt_id, scope_id, alias
                                order by level, cat, sub_dist, at_scope, ord) as rn from cand) z where rn = 1)

@@ -87,3 +87,33 @@ def test_csv_rules_with_line_breaks(spark, tmp_path):
                                     'a,b,c,d,"CASE\nWHEN ""x"" THEN 1"\n')
     rows = read_mappings(spark, str(tmp_path / "m.csv")).collect()
     assert len(rows) == 1 and rows[0].rules == 'CASE\nWHEN "x" THEN 1'
+
+
+def visible(spark, scopes, relations):
+    from columbine.operators import catalog as C
+
+    s = C.with_defaults(spark.createDataFrame(
+        scopes, "stmt_id int, scope_id int, parent_id int, scope_name string, kind string, branch_ord int"))
+    r = spark.createDataFrame(relations, "stmt_id int, scope_id int, ord int, alias string, rel_kind string, "
+                                         "table_name string, child_scope_id int")
+    rows = C.visible_relations(s, r, C.scope_closure(spark, s)).collect()
+    return {(x.scope_id, x.alias): x.table_name or x.child_scope_id for x in rows}
+
+
+def test_unread_scopes_hide_nothing(spark):
+    """An alias inside a CTE that nothing reads does not hide the parent's."""
+    got = visible(spark, [(1, 0, None, "ROOT", "ROOT", None), (1, 1, 0, "ROOT/S", "SUBQUERY", None),
+                          (1, 2, 1, "ROOT/S/CTE:W", "CTE", None)],
+                  [(1, 0, 0, "A", "PHYSICAL", "RIGHT_T", None), (1, 0, 1, "S", "SCOPE", None, 1),
+                   (1, 1, 0, "B", "PHYSICAL", "T_B", None), (1, 2, 0, "A", "PHYSICAL", "WRONG_T", None)])
+    assert got[1, "A"] == "RIGHT_T" and got[1, "W"] == 2 and got[0, "B"] == "T_B"
+
+
+def test_union_branch_aliases(spark):
+    """Aliases of a union's branches are seen from the union, first branch first, before the parent's."""
+    got = visible(spark, [(1, 0, None, "ROOT", "ROOT", None), (1, 1, 0, "ROOT/U", "UNION", None),
+                          (1, 2, 1, "ROOT/U/B1", "UNION_BRANCH", 0), (1, 3, 1, "ROOT/U/B2", "UNION_BRANCH", 1)],
+                  [(1, 0, 0, "U", "SCOPE", None, 1), (1, 0, 1, "P", "PHYSICAL", "OUTER_P", None),
+                   (1, 2, 0, "P", "PHYSICAL", "T1", None), (1, 3, 0, "P", "PHYSICAL", "T2", None),
+                   (1, 3, 1, "Q", "PHYSICAL", "T3", None)])
+    assert got[1, "P"] == "T1" and got[1, "Q"] == "T3" and got[3, "P"] == "T2" and got[0, "P"] == "OUTER_P"
