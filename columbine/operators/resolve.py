@@ -487,6 +487,33 @@ def resolve_refs(spark: SparkSession, seeds: DataFrame, scopes: DataFrame, relat
         "full_expression")
 
 
+def scalar_subquery_refs(scalars: DataFrame, projections: DataFrame, relations: DataFrame,
+                         ctes: DataFrame | None = None) -> DataFrame:
+    """The references that a scalar subquery in an expression stands for.
+
+    ``scalars(stmt_id, scope_id, expr_id, sub_scope_id, subquery)``: the
+    subquery's text, the scope it is written in and its own scope, whose
+    relations and projections are in the catalog like those of any scope.
+    Its select list is read inside (scope ``sub_scope_id``); dotted
+    references anywhere in its text whose alias is no relation or CTE
+    (``ctes(stmt_id, scope_id, alias)``) of its own are read outside, once
+    for each time they are written.  Returns (stmt_id, expr_id, scope_id,
+    ref), ready as seeds of ``resolve_refs``.
+    """
+    inside = scalars.select("stmt_id", "expr_id", F.col("sub_scope_id").alias("scope_id")).join(
+        projections.select("stmt_id", "scope_id", "expression"), ["stmt_id", "scope_id"]) \
+        .select("stmt_id", "expr_id", "scope_id", F.explode(column_refs("expression")).alias("ref"))
+    own = relations.select("stmt_id", F.col("scope_id").alias("sub_scope_id"), F.upper("alias").alias("_alias"))
+    if ctes is not None:
+        own = own.union(ctes.select("stmt_id", "scope_id", F.upper("alias")))
+    outside = scalars.select("stmt_id", "expr_id", "scope_id", "sub_scope_id",
+                             F.explode(column_refs("subquery")).alias("ref")) \
+        .where(F.col("ref").contains(".")).withColumn("_alias", F.split("ref", r"\.", 2)[0]) \
+        .join(own, ["stmt_id", "sub_scope_id", "_alias"], "left_anti") \
+        .select("stmt_id", "expr_id", "scope_id", "ref")
+    return inside.unionByName(outside)
+
+
 def unresolved_report(resolved: DataFrame, seeds: DataFrame, cat: Catalog, samples: int = 10) -> DataFrame:
     """Per unresolved result: reason, the seed's scope, up to ``samples``
     relation aliases and projection names of that scope (first by order),

@@ -207,6 +207,22 @@ def q_resolve_status(spark, sf_dir):
         F.count(F.lit(1)).cast("long").alias("n"))
 
 
+@register("scalar_subquery_refs", needs=["scalars", "scalar_relations", "scalar_projections"], oracle=f"""
+with i as (select s.stmt_id, s.expr_id, p.scope_id, unnest({d_column_refs('p.expression')}) as ref
+           from scalars s join scalar_projections p on p.stmt_id = s.stmt_id and p.scope_id = s.sub_scope_id),
+o as (select stmt_id, expr_id, scope_id, sub_scope_id, unnest({d_column_refs('subquery')}) as ref from scalars)
+select * from i
+union all
+select stmt_id, expr_id, scope_id, ref from o where strpos(ref, '.') > 0 and not exists (
+  select 1 from scalar_relations r where r.stmt_id = o.stmt_id and r.scope_id = o.sub_scope_id
+    and upper(r.alias) = split_part(o.ref, '.', 1))
+""")
+def q_scalar_subquery_refs(spark, sf_dir):
+    """References inside and outside of scalar subqueries."""
+    return R.scalar_subquery_refs(*[fx.spark_fixture(spark, sf_dir, n)
+                                    for n in ("scalars", "scalar_projections", "scalar_relations")])
+
+
 @register("unresolved_report", needs=CAT + ["dm_pairs", "resolve_seeds"])
 def q_unresolved_report(spark, sf_dir):
     """Context of every unresolved reference (rows-only check)."""

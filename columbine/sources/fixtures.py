@@ -306,6 +306,24 @@ union all select s_suppkey, 2, 0, 'B', 'PHYSICAL', 'w', null from {supplier}
 union all select s_suppkey, 2, 1, 'C', 'PHYSICAL', concat('SRC_S', s_suppkey % 10), null from {supplier}
 """
 
+# Scalar subqueries in expressions of scope 0: scope 7 is the subquery's own.
+FIXTURES["scalars"] = """
+select s_suppkey as stmt_id, 0 as scope_id, 0 as expr_id, 7 as sub_scope_id,
+       concat('(SELECT MAX(T.X) + COUNT(K) FROM SRC_S', s_suppkey % 10, ' T WHERE T.K = A.X', s_suppkey % 3 + 1,
+              ' AND A.X3 = ''A.LIT'')') as subquery
+from {supplier}
+"""
+
+FIXTURES["scalar_relations"] = """
+select s_suppkey as stmt_id, 7 as scope_id, 0 as ord, 'T' as alias, 'PHYSICAL' as rel_kind,
+       concat('SRC_S', s_suppkey % 10) as table_name, cast(null as int) as child_scope_id
+from {supplier}
+"""
+
+FIXTURES["scalar_projections"] = """
+select s_suppkey as stmt_id, 7 as scope_id, 0 as ord, 'M' as output_name, 'MAX(T.X) + COUNT(K)' as expression from {supplier}
+"""
+
 # Root-level expressions to resolve: every projection of scope 0.
 FIXTURES["resolve_seeds"] = """
 select stmt_id, ord as root_ord, scope_id, output_name as target_column, expression
