@@ -31,7 +31,7 @@ from columbine.llm.common import text_bytes
 
 WINDOW = 10
 # Benchmark text per broadcast block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

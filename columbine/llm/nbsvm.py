@@ -135,13 +135,13 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(texts: list[bytes], labels: list[bool]) -> Model:
+def fit(rows: list[np.ndarray], labels: list[bool]) -> Model:
+    """The model from the texts' ``indicators`` and their labels."""
     y = np.where(np.array(labels, bool), 1.0, -1.0)
     share = float((y > 0).mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         edge = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, float(np.log(edge / (1 - edge))))
-    rows = [indicators(t) for t in texts]
 
     def trained(use):
         part, label = [rows[i] for i in use], y[use]
@@ -176,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         .groupBy("_id").agg(F.min("raw").alias("raw"), F.min("_y").alias("_y"))  # about max_train ids
 
     def run(batches):
-        texts, y = [], []
+        rows, y = [], []
         for b in batches:
-            texts += [x.as_py() for x in b.column(0)]
+            rows += [indicators(x.as_py()) for x in b.column(0)]
             y += b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, y))], pa.binary())], names=["model"])
 
     # one task: about max_train whole texts, in an order of their own
     one = rows.select("raw", "_y", "_id").repartition(1).sortWithinPartitions("_id", "raw").select("raw", "_y")

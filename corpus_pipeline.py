@@ -16,10 +16,16 @@ from columbine.llm.common import bound_batches, materialize, ship_package, table
 from columbine.llm.queries import vocabulary
 
 
+def ready(spark: SparkSession) -> None:
+    """What every stage needs of the session."""
+    ship_package(spark)
+    bound_batches(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score at or above its
     threshold); the classifier learns from ``labels``."""
-    bound_batches(spark)
+    ready(spark)
     model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
     scored = nbsvm.score(docs, model, score_col="__columbine_score")
     return scored.where(F.col("__columbine_score") >= nbsvm.THRESHOLD).select(*docs.columns)
@@ -31,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat this id are one document, of which one row stays.  Rows
     without an id stay, as groups name their members by id.
     """
-    bound_batches(spark)
+    ready(spark)
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     keep = materialize(groups.where("doc_id = component_id").groupBy("doc_id").count(), "kept-ids")
     once = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi")
@@ -43,19 +49,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 400 bytes that occur more than once;
     ``n_chars`` follows the text."""
-    bound_batches(spark)
+    ready(spark)
     return suffix_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    bound_batches(spark)
+    ready(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: (doc_id, n_tokens, ids, decoded_sha256)."""
-    bound_batches(spark)
+    ready(spark)
     rows = bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"))
     return rows.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
@@ -77,7 +83,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
