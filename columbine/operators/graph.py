@@ -338,9 +338,13 @@ def trace_objects(spark: SparkSession, mappings: DataFrame, objects: DataFrame |
 
 
 def regroup_trace(traced: DataFrame, key_cols=("seed_table", "seed_field")) -> DataFrame:
-    """Traced field mappings -> table edges with their mapping count."""
+    """Traced field mappings -> table edges with their mapping count and,
+    where the mappings have a ``change_type``, that of the edge's first mapping
+    (by field names)."""
+    first = [F.min_by("change_type", F.struct("source_field", "dest_field")).alias("change_type")] \
+        if "change_type" in traced.columns else []
     return traced.groupBy(*key_cols, "source_table", "dest_table").agg(
-        F.count(F.lit(1)).cast("long").alias("mapping_count"))
+        F.count(F.lit(1)).cast("long").alias("mapping_count"), *first)
 
 
 def neighbourhood(mappings: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:

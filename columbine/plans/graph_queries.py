@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from columbine.functions.text import mapping_class, table_layer, layer_order
+from columbine.operators import delta as D
 from columbine.operators import graph as G
-from columbine.plans.delta_queries import mappings
+from columbine.plans.delta_queries import DELTA_SQL, mappings
 from columbine.plans.registry import canon_sql, register
 from columbine.sources import fixtures as fx
 from columbine.sources.io import read_column_catalog
@@ -360,6 +361,24 @@ def q_traced_edges(spark, sf_dir):
     return G.regroup_trace(G.trace_fields(spark, m, G.leaf_fields(m), upstream=True))
 
 
+@register("traced_changes", needs=MAPS, oracle=f"""
+with recursive {V1}, {V2} {DELTA_SQL}, {REACH_UP_SQL.format(m='v2')}
+select r.seed_table, r.seed_field, m.source_table, m.dest_table, count(*) as mapping_count,
+       arg_min(d.change_type, (m.source_field, m.dest_field)) as change_type
+from r join v2 m on m.dest_table = r.t and m.dest_field = r.f
+left join d on d.source_table = m.source_table and d.source_field = m.source_field
+  and d.dest_table = m.dest_table and d.dest_field = m.dest_field
+group by r.seed_table, r.seed_field, m.source_table, m.dest_table
+""")
+def q_traced_changes(spark, sf_dir):
+    """Upstream traces of V2 regrouped into table edges with their change types."""
+    v1, v2 = mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2")
+    keys = ["source_table", "source_field", "dest_table", "dest_field"]
+    change = D.mapping_delta(v1, v2).select(*keys, "change_type")
+    traced = G.trace_fields(spark, v2, G.leaf_fields(v2), upstream=True).join(change, keys, "left")
+    return G.regroup_trace(traced)
+
+
 @register("trace_object", needs=["map_cyclic"], oracle=f"""
 with recursive {CYC},
 own as (select * from cyc where object_name not in ('', 'nan')),
