@@ -230,7 +230,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             if held > PAIRS_HELD:
                 x, y = _forest(np.concatenate(a), np.concatenate(b))
                 a, b, held = [x], [y], 0
-        x, y = _forest(np.concatenate(a), np.concatenate(b)) if held else (leaf[:0], leaf[:0])
+        # rows of a, not held: a fold on the last chunk with pairs leaves held at 0
+        x, y = _forest(np.concatenate(a), np.concatenate(b)) if sum(map(len, a)) else (leaf[:0], leaf[:0])
         return pa.table({"a": x.view(np.int64), "b": y.view(np.int64)})
 
     routed = source.mapInArrow(route(dealt), schema)

@@ -123,6 +123,19 @@ def test_simhash_index_dense_groups(spark, monkeypatch):
     assert len({next(iter(v)) for v in got.values()}) == len(got)
 
 
+@pytest.mark.parametrize("chunk, held", [(256, 5), (256, 100_000), (4, 5), (4, 30), (1, 0)])
+def test_simhash_fold_keeps_links(spark, monkeypatch, chunk, held):
+    """Pairs folded on the last chunk (one chunk of 256 holds all queries), on every chunk, now and then, never."""
+    balls = [0x1234567890ABCDEF, 0x7F00FF00FF00FF00]
+    fps = sorted({s ^ 1 << b for s in balls for b in range(0, 60, 4)} | {3 << 20, 5 << 40})
+    monkeypatch.setattr(simhash, "QUERY_CHUNK", chunk)
+    monkeypatch.setattr(simhash, "PAIRS_HELD", held)
+    root = {r.node: r.root for r in simhash.components(
+        simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint"))).collect()}
+    comp = brute_components(fps, 2)
+    assert [root.get(f, f) for f in fps] == [fps[c] for c in comp]
+
+
 # ---- 3 host rules ----------------------------------------------------------
 
 def test_host_rules_measures(docs, no_docs):
