@@ -5,9 +5,13 @@ are taken from the whole text and every rolling k-gram is hashed.  The hashes
 are Spark-joined to the positions of the same k-grams in the templates (a
 small broadcast of fixed size).  A hit at document word p and template word t
 votes for the diagonal p - t.  Votes are added up per document, template and
-diagonal; neighbouring diagonals (inserted or lost words shift it) are merged,
-and a merged span is verified: the template words that its hits cover, taken
-against the longer of template and span, must reach ``MIN_SIMILARITY``.
+diagonal; neighbouring diagonals (inserted or lost words shift it) are merged.
+Diagonals are neighbours up to the shift that ``MIN_SIMILARITY`` lets a notice
+of this size have.  In the merged hits, every span from one hit to another is
+verified: the template words that its hits cover, taken against the longer of
+template and span, must reach ``MIN_SIMILARITY``.  So repeated pieces of a
+notice beside it do not take its label away.  Of verified spans that overlap,
+the most similar one counts, the first of equal ones.
 
 Base phrases are templates too (k = ``PHRASE_GRAM``); they count only where
 every k-gram of the phrase votes for one diagonal, that is, where the words
@@ -31,7 +35,7 @@ from columbine.llm.common import materialize
 
 PHRASE_GRAM = 2
 NOTICE_GRAM = 5
-MAX_SHIFT = 4
+MAX_SHIFT = 4  # diagonals this near are merged for short notices too
 MIN_SIMILARITY = 0.8
 
 # Phrases and their labels.
@@ -59,6 +63,9 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+# Words of the longest span in which any notice reaches MIN_SIMILARITY.
+MAX_REACH = max(int(len(text.split()) / MIN_SIMILARITY) for _, text in NOTICES)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -108,21 +115,40 @@ def spans(found: DataFrame, id_col: str) -> DataFrame:
     phrase = votes.where("base").where(F.size("at") == F.col("size") - F.col("k") + 1).select(
         *key, "label", "base", F.col("diagonal").alias("first"),
         (F.col("diagonal") + F.col("size") - 1).alias("last"), F.lit(1.0).alias("similarity"))
-    # neighbouring diagonals of one template: a new span starts after a gap
+    # neighbouring diagonals of one template: a new group starts after a gap
     w = Window.partitionBy(*key).orderBy("diagonal")
-    gap = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > MAX_SHIFT, F.lit(True))
-    notice = votes.where("not base").withColumn("span", F.sum(gap.cast("int")).over(w)) \
-        .groupBy(*key, "label", "k", "size", "base", "span") \
-        .agg(F.collect_list(F.struct("diagonal", "at")).alias("parts"))
-    covered = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.flatten(F.transform(
-        p["at"], lambda x: F.sequence(x - p["diagonal"], x - p["diagonal"] + F.lit(NOTICE_GRAM - 1)))))))
-    every = F.flatten(F.transform("parts", lambda p: p["at"]))
-    notice = notice.select(
-        *key, "label", "base", F.array_min(every).alias("first"),
-        (F.array_max(every) + NOTICE_GRAM - 1).alias("last"), F.size(covered).alias("n"), "size")
-    notice = notice.withColumn(
-        "similarity", F.col("n") / F.greatest(F.col("size"), F.col("last") - F.col("first") + 1)) \
-        .where(F.col("similarity") >= MIN_SIMILARITY).drop("n", "size")
+    reach = F.floor(F.col("size") / MIN_SIMILARITY).cast("int")  # longest span that can be similar enough
+    gap = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > F.greatest(F.lit(MAX_SHIFT), reach - F.col("size")),
+                     F.lit(True))
+    key = [*key, "group"]
+    notice = votes.where("not base").withColumn("group", F.sum(gap.cast("int")).over(w)) \
+        .select(*key, "label", "base", "size", reach.alias("reach"), "diagonal", F.explode("at").alias("first")) \
+        .withColumn("hit", F.struct("first", (F.col("first") - F.col("diagonal")).alias("tpos")))
+    # the hits that a span from this one on may have: at most a few times MAX_REACH
+    ahead = Window.partitionBy(*key).orderBy("first").rangeBetween(0, MAX_REACH - NOTICE_GRAM)
+    notice = notice.withColumn("hits", F.collect_list("hit").over(ahead)).where(F.array_min("hits") == F.col("hit"))
+
+    def span(length: Column) -> Column:
+        """(similarity, end: minus the last word) of the hits within ``length`` words."""
+        within = F.filter("hits", lambda h: h["first"] + NOTICE_GRAM <= F.col("first") + length)
+        covered = F.size(F.array_distinct(F.flatten(F.transform(
+            within, lambda h: F.sequence(h["tpos"], h["tpos"] + F.lit(NOTICE_GRAM - 1))))))
+        last = F.array_max(F.transform(within, lambda h: h["first"])) + NOTICE_GRAM - 1
+        return F.struct((covered / F.greatest(F.col("size"), last - F.col("first") + 1)).alias("similarity"),
+                        (-last).alias("end"))
+
+    most = F.size(F.array_distinct(F.flatten(F.transform(
+        "hits", lambda h: F.sequence(h["tpos"], h["tpos"] + F.lit(NOTICE_GRAM - 1))))))
+    notice = notice.where(most / F.col("size") >= MIN_SIMILARITY) \
+        .withColumn("best", F.array_max(F.transform(F.sequence("size", "reach"), span))) \
+        .select(*key, "label", "base", "first", (-F.col("best.end")).alias("last"), "best.similarity") \
+        .where(F.col("similarity") >= MIN_SIMILARITY)
+    near = Window.partitionBy(*key).orderBy("first").rangeBetween(1 - MAX_REACH, MAX_REACH - 1)
+    better = F.exists("rivals", lambda r: (r["first"] <= F.col("last")) & (r["last"] >= F.col("first")) & (
+        (r["similarity"] > F.col("similarity"))
+        | (r["similarity"] == F.col("similarity")) & (r["first"] < F.col("first"))))
+    notice = notice.withColumn("rivals", F.collect_list(F.struct("first", "last", "similarity")).over(near)) \
+        .where(~better).drop("rivals", "group")
     return phrase.unionByName(notice)
 
 

@@ -291,6 +291,29 @@ def test_license_notices(spark):
     assert got[3][0].labels == "" and got[4][0].score == 0 and got[1][0].n_base == 0
 
 
+def test_license_shift_up_to_similarity(spark):
+    """Words put into the middle of a notice, as many as the similarity allows and one more;
+    pieces of the notice before and behind it do not count against it."""
+    rows, want = [], {}
+    for n, (label, text) in enumerate(license_scan.NOTICES):
+        w = text.split()
+        gap = max(g for g in range(len(w)) if len(w) / (len(w) + g) >= license_scan.MIN_SIMILARITY)
+        more = [f"more{i}" for i in range(gap + 1)]
+        half, scores = len(w) // 2, (len(w) / (len(w) + gap), 0, 1, len(w) / (len(w) + gap))
+        texts = (w[:half] + more[:gap] + w[half:], w[:half] + more + w[half:], w[:5] * 6 + w + w[-6:] * 6,
+                 w[:5] * 6 + w[:half] + more[:gap] + w[half:] + w[-6:] * 6)
+        for k, (t, score) in enumerate(zip(texts, scores)):
+            rows.append((10 * n + k, " ".join(t)))
+            want[10 * n + k] = (score, label)
+    rows.append((1000, rows[0][1] + " x" * 50 + " " + rows[0][1]))
+    got = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    for i, (score, label) in want.items():
+        best = max((s.similarity for s in got[i][0].spans or [] if s.last - s.first > 4 and s.label == label), default=0)
+        assert best == pytest.approx(score), (i, label)  # base phrases have up to four words
+        assert score == 0 or label in got[i][0].labels.split(",") and got[i][0].score >= best
+    assert [s.label for s in got[0][0].spans] == ["mit"] and [s.label for s in got[1000][0].spans] == ["mit", "mit"]
+
+
 # ---- 8 token counts --------------------------------------------------------
 
 def test_attribution_rule():
