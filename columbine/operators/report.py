@@ -7,10 +7,14 @@ at the sink, where the order is the point of the output.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columbine.functions.text import simple_refs
+from columbine.operators import delta as D
+from columbine.operators import graph as G
 
 # Output column lists of the five outputs.
 MAPPING_COLUMNS = [
@@ -166,12 +170,33 @@ def write_outputs(outputs: dict[str, DataFrame], path: str, per_object: bool = F
         w.parquet(f"{path.rstrip('/')}/{name}")
 
 
-def graph_json(graph_edges: DataFrame, nodes: DataFrame, delta_counts: DataFrame | None = None) -> DataFrame:
-    """One JSON line per node and per table edge (``kind`` tells which),
-    plus the delta summary; written with ``df.write.text``."""
-    e = graph_edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("*")).alias("json"))
-    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("json"))
-    out = e.unionByName(n)
-    if delta_counts is not None:
-        out = out.unionByName(delta_counts.select(F.lit("delta").alias("kind"), F.to_json(F.struct("*")).alias("json")))
-    return out
+def graph_json(v1: DataFrame, v2: DataFrame | None = None, catalog: DataFrame | None = None,
+               v1_name: str = "Version 1", v2_name: str = "Version 2") -> DataFrame:
+    """The viewer's data as JSON lines (kind, json), written with ``df.write.text``.
+
+    Kinds: ``config`` (one row), ``node`` (a table of either version) and its
+    ``column`` rows, ``edge`` and ``mapping`` rows of both versions' graphs,
+    ``delta_mapping`` (a field mapping with its change) and ``delta`` (the
+    counts).  Rows instead of nested lists: mappings belong to an edge by
+    version and tables, a node's upstream and downstream tables are those of
+    the edges of V2, or of V1 without V2.  Edges and mappings have ``version``
+    V1 or V2, whose names are in the config.
+    """
+    versions = [("V1", v1)] + ([("V2", v2)] if v2 is not None else [])
+    tables = G.all_tables(*[m for _, m in versions])
+    parts = [("config", tables.agg(F.count(F.lit(1)).alias("table_count")).select(
+        F.lit(v1_name).alias("v1_name"), F.lit(v2_name if v2 is not None else None).cast("string").alias("v2_name"),
+        F.lit(v2 is not None).alias("has_v2"), F.lit(v2 is not None).alias("has_delta"), "table_count"))]
+    parts.append(("node", G.graph_nodes(v1, v2, catalog)))
+    if catalog is not None:
+        parts.append(("column", catalog.join(tables, "table_name", "left_semi")))
+    for version, m in versions:
+        parts.append(("edge", G.graph_edges(m).withColumn("version", F.lit(version))))
+        parts.append(("mapping", G.field_edges(m).withColumn("version", F.lit(version))))
+    if v2 is not None:
+        delta = D.mapping_delta(v1, v2)
+        parts += [("delta_mapping", delta), ("delta", D.delta_summary(delta))]
+    # an absent side's values are left out of a delta row, as in the reference
+    rows = [df.select(F.lit(kind).alias("kind"), F.to_json(
+        F.struct("*"), {"ignoreNullFields": str(kind == "delta_mapping").lower()}).alias("json")) for kind, df in parts]
+    return reduce(DataFrame.unionByName, rows)

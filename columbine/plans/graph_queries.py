@@ -455,13 +455,10 @@ def q_depth_layers(spark, sf_dir):
 
 @register("graph_json", needs=MAPS + ["column_catalog"])
 def q_graph_json(spark, sf_dir):
-    """The viewer's data as JSON lines: table edges, nodes and the delta summary."""
-    from columbine.operators import delta as D
+    """The viewer's data as JSON lines: config, tables and columns, both versions' graphs, the delta."""
     from columbine.operators.report import graph_json
 
-    v1, v2 = mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2")
-    return graph_json(G.graph_edges(v2), G.graph_nodes(v1, v2, _catalog(spark, sf_dir)),
-                      D.delta_summary(D.mapping_delta(v1, v2)))
+    return graph_json(mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2"), _catalog(spark, sf_dir))
 
 
 @register("dm_pairs", needs=["map_v1"], oracle=f"""

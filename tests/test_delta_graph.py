@@ -1,5 +1,7 @@
 """Delta and graph operators: properties and small exact cases."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from columbine.operators import delta as D
@@ -94,3 +96,41 @@ def test_neighbourhood_two_hops(spark):
     seeds = spark.createDataFrame([("B",)], "seed_table string")
     got = {(r.source_table, r.dest_table) for r in G.neighbourhood(m, seeds).collect()}
     assert got == {("A", "B"), ("X", "B"), ("B", "C"), ("C", "D")}
+
+
+def test_graph_json_whole(spark, sf):
+    """Config, tables, columns, both versions' edges and mappings and every delta row are in the output."""
+    from columbine.plans.registry import QUERIES
+    from columbine.sources import fixtures as fx
+
+    out = {}
+    for r in QUERIES["graph_json"].build(spark, sf).collect():
+        out.setdefault(r.kind, []).append(json.loads(r.json))
+    v = {"V1": mappings(spark, sf, "map_v1"), "V2": mappings(spark, sf, "map_v2")}
+    pair = ("source_table", "dest_table")
+    key = ("source_table", "source_field", "dest_table", "dest_field", "rules", "mapping_type", "object_name")
+    for kind, cols in (("edge", pair), ("mapping", key)):
+        want = [(n, *r) for n, m in v.items() for r in (
+            m.select(*cols).distinct() if kind == "edge" else m.select(*cols)).collect()]
+        assert sorted((x["version"], *[x[c] for c in cols]) for x in out[kind]) == sorted(want)
+    assert {x["version"] for x in out["edge"]} == {"V1", "V2"}
+    delta = [{k: x for k, x in r.asDict().items() if x is not None} for r in D.mapping_delta(v["V1"], v["V2"]).collect()]
+    assert sorted(map(json.dumps, out["delta_mapping"])) == sorted(map(json.dumps, delta))
+    tables = {r[0] for r in G.all_tables(*v.values()).collect()}
+    assert sorted(x["table_name"] for x in out["node"]) == sorted(tables)
+    catalog = fx.spark_fixture(spark, sf, "column_catalog").select("table_name", "column_name").collect()
+    assert sorted((x["table_name"], x["column_name"]) for x in out["column"]) == sorted(
+        tuple(r) for r in catalog if r.table_name in tables)
+    assert out["config"] == [{"v1_name": "Version 1", "v2_name": "Version 2", "has_v2": True, "has_delta": True,
+                              "table_count": len(tables)}]
+    assert out["delta"] == [D.delta_summary(D.mapping_delta(v["V1"], v["V2"])).first().asDict()]
+
+
+def test_graph_json_one_version(spark, sf):
+    from columbine.operators.report import graph_json
+
+    m = mappings(spark, sf, "map_v1")
+    rows = graph_json(m).collect()
+    assert {r.kind for r in rows} == {"config", "node", "edge", "mapping"}
+    config = [json.loads(r.json) for r in rows if r.kind == "config"][0]
+    assert config["v2_name"] is None and not config["has_v2"] and not config["has_delta"]
