@@ -32,16 +32,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id.
+    """One document of each SimHash group: of the smallest id, and of its
+    texts the one with the smallest hash.
 
-    Rows that repeat this id are one document, of which one row stays.  Rows
-    without an id stay, as groups name their members by id.
+    Rows that repeat this id and text are one document, of which one row
+    stays.  Rows without an id stay, as groups name their members by id.
     """
     ready(spark)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = materialize(groups.where("doc_id = component_id").groupBy("doc_id").count(), "kept-ids")
-    once = docs.join(keep.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(keep.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = {"__columbine_id": F.col("doc_id"), "__columbine_hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+    row = F.when(F.col("doc_id").isNotNull(), F.struct(*[c.alias(k) for k, c in key.items()]))
+    groups = simhash.near_duplicates(docs.select(row.alias("row"), "text"), id_col="row")
+    keep = materialize(groups.where("row = component_id").select("row.*").groupBy(*key).count(), "kept-rows")
+    rows = docs.withColumns(key)
+    once = rows.join(keep.where("count = 1").select(*key), [*key], "left_semi")
+    again = rows.join(keep.where("count > 1").select(*key), [*key], "left_semi").dropDuplicates([*key])
     kept = once.select(*docs.columns).union(again.select(*docs.columns))
     return kept.union(docs.where("doc_id is null"))
 

@@ -53,3 +53,14 @@ def test_repeated_and_missing_ids(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("1 = 0"), sf).count() == 0
         stage(spark, docs, sf).count()
+
+
+def test_repeated_ids_of_different_texts(spark, sf):
+    """Each group keeps one row, whatever other groups have the same id."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a), (1, b), (2, a), (3, b),  # 1 leads two groups
+            (4, c), (0, d), (4, d), (4, c), (5, None), (5, ""), (6, "")]  # 4 leads one and is a copy in another
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, a), (1, b), (4, c), (0, d), (5, "")])
