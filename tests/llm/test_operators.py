@@ -28,7 +28,7 @@ def rows_of(df, *cols):
 
 
 def test_registered_numbers():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 # ---- 1 token store ---------------------------------------------------------
