@@ -1,42 +1,49 @@
-"""Removal of repeated byte strings by sampled suffixes.
-
-Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere
-else goes.  The suffixes are treated as difference-cover algorithms do, with
-names standing for sorted tuples, in four steps:
-
-1. *Sample.*  Of the places in a string of ``LENGTH`` bytes whose triple of
-   ``BLOCK``-byte blocks still lies inside it, the one with the least hash of
-   its first bytes is sampled (the leftmost of equals).  The choice depends on
-   the string alone, so two equal strings are sampled at the same offset: the
-   sample is a difference cover, of about 1 % of the places instead of two
-   thirds.  All starts that share a sample form an interval.
-2. *Name.*  A sampled triple's name is a hash of its bytes.  Names that occur
-   once end here: none of their starts can be repeated.
-3. *Recurse on names.*  Samples with one name are named again by the whole
-   stretch that the starts of their interval reach.  Equal stretches are
-   repeated entirely; a name all of whose stretches are equal is done.
-4. *Merge the remaining suffixes.*  Where one triple has several stretches,
-   one copy of each is compared start by start, in two rounds: blocks of
-   ``STEP`` starts by the part that all of them share and by all that they
-   reach, then single starts of the blocks left open.  Starts in which two
-   stretches have the same ``LENGTH`` bytes are neighbours in suffix order
-   with so long a common prefix, and are repeated.
-
-Names are 64-bit hashes and always compared within a group that agrees in
-another one.  Grouping replaces the order of suffixes, of which only "shares
-``LENGTH`` bytes with a neighbour" is used; README says why.
-
-Spark shuffles samples (some 1 % of the bytes, 40 bytes each) and, twice, the
-texts by their hash; every aggregation combines map-side, joins may be split
-by size, and the largest value held is one text.
-
-Defined cases: null and empty texts, and texts shorter than ``LENGTH``, lose
+"""Removal of repeated byte strings with a difference-cover suffix sample.
+
+Every byte covered by a string of ``length`` bytes that also starts anywhere
+else goes.  Such a string is a common prefix of two suffixes; the method is the
+distributed difference-cover one, cut off where prefixes pass ``length``:
+
+1. *Sample.*  Places are sampled whose residue modulo v is in a perfect
+   difference cover D: every difference of residues is one of two members of D.
+   So for any two starts i and j there is a shift d < v with i + d and j + d both
+   sampled, and if the strings at i and j are equal, so are the tuples of
+   length - v + 1 bytes at i + d and j + d.  v is the largest one in ``COVERS``
+   up to ``REACH`` of the length: 9 % of the places at 133.
+2. *Sort and name.*  Sampled tuples are named by a hash of their bytes and
+   sorted: every batch of texts sorts its names, sends them packed by their
+   highest bits, and a task sorts what it gets of one range.  Equal neighbours
+   of different places survive; names that occur once end here, and most do.
+3. *Recurse on names.*  Survivors are named anew by a longer tuple, the whole
+   stretch that all starts of the sample reach (v - 1 bytes before it, ``length``
+   after it).  Equal stretches are repeated entirely; names of which all
+   stretches are equal are done.  One level of recursion is enough: a stretch is
+   longer than the prefix that matters.
+4. *Merge the remaining suffixes.*  Starts within v of a surviving sample whose
+   stretches differ are merged into the groups of their sample: one copy of each
+   stretch is taken, and starts at equal distance of the sample are brought
+   together, in blocks of ``STEP`` first, then singly where a block is open.
+5. *Compare prefixes.*  Members of a group are neighbours in suffix order as far
+   as their names reach; they are compared by their ``length`` bytes.
+
+Names are 64-bit hashes, a level's always within a group that agrees in the
+name of the level before.
+
+A name found twice within a batch is sent on once, whatever its number, so a
+passage of a third of all texts is as many entries as there are batches;
+whole copies of a text share their places and are one.  Spark shuffles 16 bytes
+for each sampled place, the texts once for the survivors and once for the
+result; aggregations combine map-side, joins may be split by size, and the
+largest value held is one text.
+
+Defined cases: null and empty texts, and texts shorter than ``length``, lose
 nothing; rows with equal texts are copies of each other; an empty table gives
 no rows; other columns pass through ``deduplicate`` unchanged.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -49,57 +56,175 @@ from pyspark.sql import types as T
 from columbine.llm.common import materialize, release, text_bytes
 
 LENGTH = 400
-BLOCK = 67
-TRIPLE = 3 * BLOCK
-WINDOW = LENGTH - TRIPLE + 1
+# Passages: some 50 words of short words, 35 of usual ones.
+PASSAGE = 200
 STEP = 25
-# Starts looked at together; position bits of a sample key.
+# Part of a length that a cover may take up.
+REACH = 0.7
+# Perfect difference covers, modulus to residues.
+COVERS = {
+    3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18),
+    57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63),
+    91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
+}
+# Bytes hashed together.
 CHUNK = 1 << 20
-_PLACE = np.uint64((1 << 21) - 1)
-
-
-def samples(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sample, first start, last start) of the sampled places of a text."""
-    starts = len(raw) - LENGTH + 1
-    if starts <= 0:
-        return (np.empty(0, np.int64),) * 3
-    parts = []
-    for lo in range(0, starts, CHUNK):
-        n = min(CHUNK, starts - lo)
-        places = n + WINDOW - 1
-        b = np.frombuffer(raw, np.uint8, places + 7, lo)
-        h = np.ndarray((places,), "<u8", b, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        key = (h & ~_PLACE) | np.arange(places, dtype=np.uint64)
-        # least key of every window: from its place to the end of a row, and
-        # from the next row's begin
-        rows = -(-places // WINDOW) * WINDOW
-        grid = np.full(rows, ~np.uint64(0))
-        grid[:places] = key
-        grid = grid.reshape(-1, WINDOW)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[:n], ahead[WINDOW - 1:WINDOW - 1 + n])
-        parts.append((least & _PLACE).astype(np.int64) + lo)
-    at = np.concatenate(parts)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], first, np.append(first[1:], len(at)) - 1
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """Sample rows (k1, k2, place, lo, hi, name, stretch) of (k1, k2, raw) rows."""
+# Bits of a place that hold the sample's number within its text; others hold the text's hash.
+SAMPLE_BITS = 16
+# Ranges of names for each shuffle partition.
+RANGES = 4
+
+
+class Cover:
+    """Sampled places and tuple names for strings of ``length`` bytes."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.v = max([m for m in COVERS if m <= REACH * length], default=1)
+        self.residues = np.array(COVERS.get(self.v, (0,)), np.int64)
+        self.tuple = length - self.v + 1
+
+    @functools.cached_property
+    def powers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Powers of an odd number, of its inverse, and a random number for every byte; never shipped."""
+        n = CHUNK + self.tuple
+        odd = 0x9E3779B97F4A7C15
+        up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, odd, np.uint64))))
+        down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(odd, -1, 1 << 64), np.uint64))))
+        return up, down, np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
+
+    def place(self, sample: np.ndarray) -> np.ndarray:
+        """Byte offset of the samples of a text, by their number."""
+        return sample // len(self.residues) * self.v + self.residues[sample % len(self.residues)]
+
+    def count(self, size: int) -> int:
+        """Sampled places of a text whose tuple ends inside it."""
+        starts = size - self.tuple + 1
+        if starts <= 0:
+            return 0
+        return starts // self.v * len(self.residues) + int(np.searchsorted(self.residues, starts % self.v))
+
+    def names(self, raw: bytes) -> np.ndarray:
+        """Name of every sampled tuple of a text, in order of its place."""
+        n = self.count(len(raw))
+        up, down, byte = self.powers
+        out = np.empty(n, np.uint64)
+        places = self.place(np.arange(n))
+        at = 0
+        for lo in range(0, len(raw), CHUNK):
+            to = int(np.searchsorted(places, lo + CHUNK))
+            if to == at:
+                continue
+            b = np.frombuffer(raw, np.uint8, min(CHUNK + self.tuple, len(raw) - lo), lo)
+            total = np.empty(len(b) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(byte[b] * up[:len(b)], out=total[1:])
+            p = places[at:to] - lo
+            h = (total[p + self.tuple] - total[p]) * down[p]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            out[at:to] = h ^ (h >> np.uint64(32))
+            at = to
+        return out
+
+
+@functools.lru_cache(4)
+def cover_of(length: int) -> Cover:
+    return Cover(length)
+
+
+def _packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Slices [cut[i], cut[i + 1]) of 64-bit values as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1,
+                                 [None, pa.py_buffer((8 * cut).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _ranges(docs: DataFrame, length: int, bits: int) -> DataFrame:
+    """Every batch's sorted names by range: (range, names, places); places
+    whose name a batch has found twice come without names, below range 0."""
+    low = np.uint64((1 << SAMPLE_BITS) - 1)
+
     def run(batches):
+        cover = cover_of(length)
+        for b in batches:
+            k1 = b.column(0).to_numpy().view(np.uint64)
+            k2, seen, names, places = b.column(1).to_numpy(), set(), [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for i, value in enumerate(b.column(2)):
+                if (int(k1[i]), int(k2[i])) in seen:
+                    continue
+                seen.add((int(k1[i]), int(k2[i])))
+                n = cover.names(value.as_py())
+                names.append(n)
+                places.append(k1[i] & ~low | np.arange(len(n), dtype=np.uint64) & low)
+            name = np.concatenate(names)
+            order = np.argsort(name, kind="stable")
+            name, place = name[order], np.concatenate(places)[order]
+            same = name[1:] == name[:-1]
+            first, twice = np.ones(len(name), bool), np.zeros(len(name), bool)
+            first[1:] = ~same
+            twice[1:] = same
+            twice[:-1] |= same
+            sure = np.ascontiguousarray(place[twice])
+            name, place = np.ascontiguousarray(name[first]), np.ascontiguousarray(place[first])
+            of = (name >> np.uint64(64 - bits)).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
+            cut = np.append(begin, len(of))
+            if len(begin):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(of[begin].astype(np.int32)), _packed(name, cut), _packed(place, cut)], names=columns)
+            if len(sure):
+                away = -1 - int(sure[0] >> np.uint64(32)) % (1 << bits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([away], pa.int32()), pa.array([b""], pa.binary()), pa.array([sure.tobytes()], pa.binary())],
+                    names=columns)
+
+    columns = ["range", "names", "places"]
+    return docs.select("k1", "k2", "raw").mapInArrow(run, "range int, names binary, places binary")
+
+
+def _survivors(docs: DataFrame, length: int) -> DataFrame:
+    """(text, sample): sampled places whose name stands at another place too;
+    ``text`` has the highest bits of k1."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = (RANGES * parts - 1).bit_length()
+
+    def meet(t: pa.Table) -> pa.Table:
+        places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint64)
+        if t.column("range")[0].as_py() >= 0:
+            name = np.frombuffer(b"".join(t.column("names").to_pylist()), np.uint64)
+            order = np.argsort(name, kind="stable")  # a merge: every row is sorted
+            name, places = name[order], places[order]
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(name)), bool), name[1:] != name[:-1])))
+            sizes = np.diff(np.append(begin, len(name)))
+            other = places != np.repeat(places[begin], sizes)
+            if len(begin):
+                places = places[np.repeat(np.logical_or.reduceat(other, begin), sizes)]
+        return pa.table({"text": (places >> np.uint64(SAMPLE_BITS)).astype(np.int64),
+                         "sample": (places & np.uint64((1 << SAMPLE_BITS) - 1)).astype(np.int32)})
+
+    return _ranges(docs, length, bits).groupBy("range").applyInArrow(meet, "text bigint, sample int")
+
+
+def _named(texts: DataFrame, least: int, length: int) -> DataFrame:
+    """Rows (k1, k2, place, back, more, name, stretch) of the surviving places
+    of (k1, k2, raw, samples), sampled for strings of ``least`` bytes."""
+    def run(batches):
+        cover = cover_of(least)
+        tuple_ = length - cover.v + 1
         digest = xxhash.xxh64_intdigest
         for b in batches:
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, value in enumerate(b.column(2)):
                 raw = value.as_py()
-                q, lo, hi = samples(raw)
-                if not len(q):
+                s, n = np.asarray(b.column(3)[i].values, np.int64), cover.count(len(raw))
+                s = (np.arange(0, max(n, 1), 1 << SAMPLE_BITS)[:, None] + s).ravel()  # numbers wrap in very long texts
+                q = cover.place(np.sort(s[s < n]))
+                q = q[q + tuple_ <= len(raw)]
+                lo, hi = np.maximum(q - cover.v + 1, 0), np.minimum(q, len(raw) - length)
+                if not len(q) or len(raw) < length:
                     continue
-                name = [digest(raw[p:p + TRIPLE]) for p in q.tolist()]
-                stretch = [digest(raw[x:y + LENGTH], (p - x) << 20 | (y - x))
+                name = [digest(raw[p:p + tuple_]) for p in q.tolist()]
+                stretch = [digest(raw[x:y + length], (p - x) << 20 | (y - x))
                            for p, x, y in zip(q.tolist(), lo.tolist(), hi.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(q), k1[i])), pa.array(np.full(len(q), k2[i])), pa.array(q),
@@ -108,7 +233,8 @@ def _named(docs: DataFrame) -> DataFrame:
                     pa.array(np.array(stretch, np.uint64).view(np.int64))], names=names)
 
     names = ["k1", "k2", "place", "back", "more", "name", "stretch"]
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, place bigint, back int, more int, name bigint, stretch bigint")
+    return texts.select("k1", "k2", "raw", "samples").mapInArrow(
+        run, "k1 bigint, k2 bigint, place bigint, back int, more int, name bigint, stretch bigint")
 
 
 def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,10 +244,11 @@ def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(groups, keys, "left_semi")
 
 
-def _compare(texts: DataFrame) -> DataFrame:
+def _compare(texts: DataFrame, length: int) -> DataFrame:
     """Start offsets (name, stretch, lo, hi: bytes before the sample) at which
-    stretches of one name share ``LENGTH`` bytes with another stretch."""
+    stretches of one name share ``length`` bytes with another stretch."""
     digest = xxhash.xxh64_intdigest
+    step = min(STEP, length)
 
     def blocks(batches):
         """Of every block of offsets: the bytes that all its starts share, and
@@ -129,11 +256,11 @@ def _compare(texts: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for name, stretch, back, more, raw in zip(*(c.to_pylist() for c in b.columns)):
-                for k in range((back - more) // STEP, back // STEP + 1):
-                    a0, a1 = k * STEP, k * STEP + STEP - 1
-                    common = digest(raw[back - a0:back - a1 + LENGTH])
+                for k in range((back - more) // step, back // step + 1):
+                    a0, a1 = k * step, k * step + step - 1
+                    common = digest(raw[back - a0:back - a1 + length])
                     whole = back - more <= a0 and a1 <= back
-                    reach = digest(raw[back - a1:back - a0 + LENGTH]) if whole else None
+                    reach = digest(raw[back - a1:back - a0 + length]) if whole else None
                     out.append((name, stretch, k, common, reach))
             if out:
                 n, s, k, c, r = zip(*out)
@@ -144,22 +271,23 @@ def _compare(texts: DataFrame) -> DataFrame:
 
     rows = materialize(texts.select("name", "stretch", "back", "more", "raw").mapInArrow(
         blocks, "name bigint, stretch bigint, k int, common bigint, reach bigint"), "suffix-blocks")
-    closed = _several(rows.where("reach is not null"), ["name", "k", "reach"])
-    maybe = _several(rows, ["name", "k", "common"])
+    closed = materialize(_several(rows.where("reach is not null"), ["name", "k", "reach"]), "suffix-closed")
+    maybe = materialize(_several(rows, ["name", "k", "common"]), "suffix-maybe")
+    release(rows)
     still = maybe.join(closed.select("name", "stretch", "k"), ["name", "stretch", "k"], "left_anti")
     # open blocks, and to compare them with, one of each set of equal closed blocks
     other = closed.groupBy("name", "k", "common", "reach").agg(F.min("stretch").alias("stretch")) \
         .join(still.select("name", "k", "common").distinct(), ["name", "k", "common"], "left_semi")
     left = still.select("name", "stretch", "k").union(other.select("name", "stretch", "k")) \
-        .groupBy("name", "stretch").agg(F.collect_set("k").alias("ks"))  # at most WINDOW / STEP + 2
+        .groupBy("name", "stretch").agg(F.collect_set("k").alias("ks"))  # at most v / STEP + 2
 
     def single(batches):
         for b in batches:
             out = []
             for name, stretch, back, more, raw, ks in zip(*(c.to_pylist() for c in b.columns)):
                 for k in ks:
-                    for a in range(max(k * STEP, back - more), min(k * STEP + STEP - 1, back) + 1):
-                        out.append((name, stretch, a, digest(raw[back - a:back - a + LENGTH])))
+                    for a in range(max(k * step, back - more), min(k * step + step - 1, back) + 1):
+                        out.append((name, stretch, a, digest(raw[back - a:back - a + length])))
             if out:
                 n, s, a, d = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -171,30 +299,30 @@ def _compare(texts: DataFrame) -> DataFrame:
     starts = materialize(starts, "suffix-starts")
     open_ones = _several(starts, ["name", "a", "bytes"]).select(
         "name", "stretch", F.col("a").alias("lo"), F.col("a").alias("hi"))
-    whole = closed.select("name", "stretch", (F.col("k") * STEP).alias("lo"), (F.col("k") * STEP + STEP - 1).alias("hi"))
+    whole = closed.select("name", "stretch", (F.col("k") * step).alias("lo"), (F.col("k") * step + step - 1).alias("hi"))
     return whole.union(open_ones)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, spans) of texts with repeated strings, from (k1, k2, raw) rows;
-    a span (first, last) is an interval of repeated starts, in any order."""
-    rows = _named(docs)
-    classes = materialize(rows.groupBy("name", "stretch").agg(F.count(F.lit(1)).alias("n")), "suffix-classes")
+def _spans(texts: DataFrame, least: int, length: int) -> DataFrame:
+    """(k1, k2, length, first, last): intervals of repeated starts in the
+    surviving neighbourhoods of (k1, k2, raw, samples)."""
+    marked = materialize(_named(texts, least, length), "suffix-named")
+    classes = materialize(marked.groupBy("name", "stretch").agg(F.count(F.lit(1)).alias("n")), "suffix-classes")
     names = classes.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))
     shared = classes.join(names.where("all > 1").select("name", "k"), "name")
-    marked = materialize(_named(docs).join(shared, ["name", "stretch"]), "suffix-shared")
+    found = materialize(marked.join(shared, ["name", "stretch"]), "suffix-shared")
     release(classes)
-    whole = marked.where("n > 1").select(
+    release(marked)
+    whole = found.where("n > 1").select(
         "k1", "k2", (F.col("place") - F.col("back")).alias("first"),
-        (F.col("place") - F.col("back") + F.col("more")).alias("last")).distinct()
+        (F.col("place") - F.col("back") + F.col("more")).alias("last"))
 
-    # one copy of every stretch whose triple has others too, with its bytes
+    # one copy of every stretch whose tuple has others too, with its bytes
     # (picked by a hash, so that no text is the copy of very many)
     place = F.struct(F.xxhash64("k1", "k2", "stretch").alias("pick"), "k1", "k2", "place", "back", "more", "n")
-    copies = marked.where("k > 1").groupBy("name", "stretch").agg(F.min(place).alias("at")) \
+    copies = found.where("k > 1").groupBy("name", "stretch").agg(F.min(place).alias("at")) \
         .groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(
             "name", "stretch", "at.place", "at.back", "at.more", "at.n")).alias("wanted"))  # within one text
-    found = docs.join(copies, ["k1", "k2"]).select("k1", "k2", "raw", "wanted")
 
     def cut(batches):
         for b in batches:
@@ -207,23 +335,50 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     pa.array([w["place"] for w in wanted], pa.int64()),
                     pa.array([w["back"] for w in wanted], pa.int32()),
                     pa.array([w["more"] for w in wanted], pa.int32()), pa.array([w["n"] for w in wanted], pa.int64()),
-                    pa.array([raw[x:x + w["more"] + LENGTH] for x, w in zip(lo, wanted)], pa.binary())],
+                    pa.array([raw[x:x + w["more"] + length] for x, w in zip(lo, wanted)], pa.binary())],
                     names=["name", "stretch", "k1", "k2", "place", "back", "more", "n", "raw"])
 
-    texts = materialize(found.mapInArrow(
+    cuts = materialize(texts.join(copies, ["k1", "k2"]).select("k1", "k2", "raw", "wanted").mapInArrow(
         cut, "name bigint, stretch bigint, k1 bigint, k2 bigint, place bigint, back int, more int, n bigint, raw binary"),
         "suffix-stretches")
-    same = _compare(texts).join(texts.where("n = 1").select("name", "stretch", "k1", "k2", "place"), ["name", "stretch"])
+    same = _compare(cuts, length).join(
+        cuts.where("n = 1").select("name", "stretch", "k1", "k2", "place"), ["name", "stretch"])
     single = same.select("k1", "k2", (F.col("place") - F.col("hi")).alias("first"),
                          (F.col("place") - F.col("lo")).alias("last"))
-    return whole.union(single).groupBy("k1", "k2").agg(
-        F.collect_set(F.struct("first", "last")).alias("spans"))  # within one text
-
-
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Byte intervals [a, b) covered by the strings that start in ``spans``."""
+    out = materialize(whole.union(single).select("k1", "k2", F.lit(length).alias("length"), "first", "last").distinct(),
+                      "suffix-spans")
+    release(found)
+    release(cuts)
+    return out
+
+
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """(k1, k2, spans) of texts with repeated strings, from (k1, k2, raw) rows.
+    A span (length, first, last) is an interval of starts of repeated strings
+    of one of the ``lengths``, in any order."""
+    least = min(lengths)
+    keys = materialize(docs.groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.octet_length("raw")).cast("bigint").alias("size")), "suffix-keys")
+    samples = _survivors(docs, least).groupBy("text").agg(F.collect_set("sample").alias("samples"))  # within one text
+    wanted = keys.withColumn("text", F.shiftrightunsigned("k1", SAMPLE_BITS)).join(samples, "text").select("k1", "k2", "samples")
+    wanted = materialize(wanted, "suffix-samples")
+    texts = materialize(docs.groupBy("k1", "k2").agg(F.any_value("raw").alias("raw")).join(wanted, ["k1", "k2"]),
+                        "suffix-texts")
+    spans = [_spans(texts, least, n) for n in sorted(set(lengths))]
+    spans += [keys.where((F.col("n") > 1) & (F.col("size") >= n)).select(
+        "k1", "k2", F.lit(n).alias("length"), F.lit(0).cast("bigint").alias("first"), (F.col("size") - n).alias("last"))
+        for n in sorted(set(lengths))]  # whole copies
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.union(s)
+    return out.groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("length", "first", "last")).alias("spans"))  # within one text
+
+
+def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
+    """Byte intervals [a, b) covered by the strings of ``length`` bytes that start in ``spans``."""
     out: list[list[int]] = []
-    for a, b in sorted((s["first"], s["last"] + LENGTH) for s in spans):
+    for a, b in sorted((s["first"], s["last"] + length) for s in spans if s["length"] == length):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -236,16 +391,16 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return raw.withColumns({"__columbine_k1": F.xxhash64("__columbine_raw"), "__columbine_k2": F.xxhash64(F.lit(1), "__columbine_raw")})
 
 
-def removals(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, text_col: str = "text", lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
     """``docs`` with ``__columbine_raw`` (the text's bytes) and ``__columbine_spans`` (starts of repeated strings)."""
     keyed = _keyed(docs, text_col)
-    spans = repeated_spans(keyed.select(F.col("__columbine_k1").alias("k1"), F.col("__columbine_k2").alias("k2"), F.col("__columbine_raw").alias("raw")))
+    spans = repeated_spans(keyed.select(*[F.col(f"__columbine_{c}").alias(c) for c in ("k1", "k2", "raw")]), lengths)
     spans = spans.withColumnsRenamed({"k1": "__columbine_k1", "k2": "__columbine_k2", "spans": "__columbine_spans"})
     return keyed.join(spans, ["__columbine_k1", "__columbine_k2"], "left").select(*docs.columns, "__columbine_raw", "__columbine_spans")
 
 
-def _kept(raw: bytes, spans) -> tuple[bytes, int]:
-    cuts = merged(spans or [])
+def _kept(raw: bytes, spans, length: int) -> tuple[bytes, int]:
+    cuts = merged(spans or [], length)
     keep, pos = [], 0
     for a, b in cuts:
         keep.append(raw[pos:a])
@@ -254,17 +409,17 @@ def _kept(raw: bytes, spans) -> tuple[bytes, int]:
     return b"".join(keep), len(cuts)
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the repeated bytes; a character cut in two is dropped,
+def deduplicate(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` without the repeated strings of ``length`` bytes; a character cut in two is dropped,
     null texts stay null."""
-    rows = removals(docs, text_col)
+    rows = removals(docs, text_col, (length,))
     kept = [f for f in docs.schema.fields]
     schema = T.StructType(kept)
 
     def run(batches):
         for b in batches:
             at = b.schema.names
-            texts = [None if old is None else _kept(raw, s)[0].decode("utf-8", "ignore") if s else old
+            texts = [None if old is None else _kept(raw, s, length)[0].decode("utf-8", "ignore") if s else old
                      for old, raw, s in zip(b.column(at.index(text_col)).to_pylist(),
                                             b.column(at.index("__columbine_raw")).to_pylist(),
                                             b.column(at.index("__columbine_spans")).to_pylist())]
@@ -275,21 +430,26 @@ def deduplicate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) per row of ``docs``."""
-    rows = removals(docs.select(id_col, text_col), text_col).select(id_col, "__columbine_raw", "__columbine_spans")
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+           passage: int = PASSAGE) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, n_passage) per row of
+    ``docs``; n_passage: bytes in repeated strings of ``passage`` bytes."""
+    rows = removals(docs.select(id_col, text_col), text_col, (length, passage)).select(id_col, "__columbine_raw", "__columbine_spans")
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
         for b in batches:
             raw = b.column(1).to_pylist()
-            kept = [_kept(r, s) for r, s in zip(raw, b.column(2).to_pylist())]
+            spans = b.column(2).to_pylist()
+            kept = [_kept(r, s, length) for r, s in zip(raw, spans)]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(r) for r in raw], pa.int64()),
                 pa.array([len(r) - len(k) for r, (k, _) in zip(raw, kept)], pa.int64()),
                 pa.array([n for _, n in kept], pa.int64()),
-                pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept])],
-                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept]),
+                pa.array([sum(z - a for a, z in merged(s or [], passage)) for s in spans], pa.int64())],
+                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
     return rows.mapInArrow(
-        run, f"`{id_col}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        run, f"`{id_col}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+        "n_passage bigint")

@@ -243,10 +243,69 @@ def test_suffix_dedup_cut_and_pasted(spark):
         texts.append(pad + "".join(piece) + pad[::-1])
     texts += ["aaaa" * 250, "b" * 399, "b" * 400, "abc" * 140]
     pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(6)
+    got = suffix_dedup.digest(df, passage=150).cache()
+    assert rows_of(got, *COLS5) == sorted(map(repr, brute_removal(pairs)))
+    assert rows_of(got, "doc_id", "n_passage") == sorted(repr((r[0], r[2])) for r in brute_removal(pairs, 150))
+    for length in (12, 60):  # small covers
+        some = pairs[1:25]
+        small = df.where("doc_id between 1 and 24")
+        assert rows_of(suffix_dedup.digest(small, length=length, passage=length), *COLS5) == \
+            sorted(map(repr, brute_removal(some, length)))
+
+
+@pytest.mark.parametrize("v", suffix_dedup.COVERS)
+def test_difference_covers(v):
+    d = suffix_dedup.COVERS[v]
+    assert {(a - b) % v for a in d for b in d} == set(range(v)) and len(d) * (len(d) - 1) == v - 1
+
+
+def test_suffix_samples(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    rng = np.random.default_rng(1)
+    raw = bytes(rng.integers(97, 99, 3000, dtype=np.uint8)) + b"xy" * 700
+    for length in (5, 80, 200):
+        cover = suffix_dedup.Cover(length)
+        for size in (0, length - 1, length, 777, len(raw)):
+            want = [p for p in range(size - cover.tuple + 1) if p % cover.v in cover.residues]
+            n = cover.count(size)
+            assert cover.place(np.arange(n)).tolist() == want
+            names = cover.names(raw[:size]).tolist()
+            tuples = [raw[p:p + cover.tuple] for p in want]
+            assert len(names) == n and len(set(names)) == len(set(tuples)) == len(set(zip(names, tuples)))
+
+
+def test_suffix_dedup_samples_wrap(spark, monkeypatch):
+    """Texts with more samples than a place can number."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_BITS", 3)
+    rng = np.random.default_rng(2)
+    part = "".join(map(chr, rng.integers(97, 123, 900)))
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = [noise(1000) + part + noise(50) + part[:500], noise(333) + part[200:700] + noise(2000), noise(10) + part]
+    pairs = list(enumerate(texts))
     df = spark.createDataFrame(pairs, "doc_id bigint, text string")
     assert rows_of(suffix_dedup.digest(df), *COLS5) == sorted(map(repr, brute_removal(pairs)))
 
 
+def test_passages_of_fifty_words(spark):
+    """Passages of 50 to 60 words, under 400 bytes, in many texts go; the rest stays."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, int(rng.integers(2, 9)))))
+    passages = [" ".join(word() for _ in range(int(rng.integers(50, 61)))) for _ in range(12)]
+    passages = [p for p in passages if len(p) < 400]
+    assert len(passages) > 8
+    rows = []
+    for i in range(120):
+        own = [" ".join(word() for _ in range(60)) for _ in range(2)]
+        rows.append((i, own, passages[i % len(passages)] if i % 2 else ""))
+    df = spark.createDataFrame([(i, f"{a} {p} {b}", 1) for i, (a, b), p in rows], "doc_id bigint, text string, n_chars int")
+    left = {r.doc_id: r.text for r in suffix_dedup.deduplicate(df, length=suffix_dedup.PASSAGE).collect()}
+    for i, (a, b), p in rows:
+        assert left[i].startswith(a[:-4]) and left[i].endswith(b[4:])  # letters next to a passage may agree too
+        assert len(left[i]) <= len(a) + len(b) + 2 and (p or left[i] == f"{a}  {b}")
+    assert suffix_dedup.digest(df).where("(doc_id % 2 = 1) <> (n_passage > 0) or n_removed > 0").count() == 0
+
+
 # ---- 6 fixity --------------------------------------------------------------
 
 def test_fixity(spark):
