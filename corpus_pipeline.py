@@ -51,10 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur more than once;
+    """Documents without the strings of ``suffix_dedup.PASSAGE`` bytes that
+    occur more than once: passages of 50 words are often under 400 bytes.
     ``n_chars`` follows the text."""
     ready(spark)
-    return suffix_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix_dedup.deduplicate(docs, length=suffix_dedup.PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
