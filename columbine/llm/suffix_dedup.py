@@ -19,19 +19,20 @@ distributed difference-cover one, cut off where prefixes pass ``length``:
    after it).  Equal stretches are repeated entirely; names of which all
    stretches are equal are done.  One level of recursion is enough: a stretch is
    longer than the prefix that matters.
-4. *Merge the remaining suffixes.*  Starts within v of a surviving sample whose
-   stretches differ are merged into the groups of their sample: one copy of each
-   stretch is taken, and starts at equal distance of the sample are brought
-   together, in blocks of ``STEP`` first, then singly where a block is open.
-5. *Compare prefixes.*  Members of a group are neighbours in suffix order as far
-   as their names reach; they are compared by their ``length`` bytes.
+4. *Merge the remaining suffixes, compare prefixes.*  Starts within v of a
+   surviving sample whose stretches differ are merged into the group of their
+   sample: one copy of each stretch is taken, and a task sorts the starts of the
+   groups it gets by (name, distance of the sample, ``length`` bytes) and
+   compares neighbours.  A name with more than ``GROUP`` stretches is compared
+   by rows instead, in blocks of ``STEP`` starts first, then singly where a
+   block is open.
 
 Names are 64-bit hashes, a level's always within a group that agrees in the
 name of the level before.
 
 A name found twice within a batch is sent on once, whatever its number, so a
 passage of a third of all texts is as many entries as there are batches;
-whole copies of a text share their places and are one.  Spark shuffles 16 bytes
+whole copies of a text share their places and are one.  Spark shuffles 11 bytes
 for each sampled place, the texts once for the survivors and once for the
 result; aggregations combine map-side, joins may be split by size, and the
 largest value held is one text.
@@ -69,8 +70,14 @@ COVERS = {
 }
 # Bytes hashed together.
 CHUNK = 1 << 20
-# Bits of a place that hold the sample's number within its text; others hold the text's hash.
+# A place on its way to its name's range: bits of the sample's number within
+# its text, bits of the text's hash.  Places that agree in them only add survivors.
 SAMPLE_BITS = 16
+TEXT_BITS = 32
+# Bytes of a name beside its range, and of a place.
+NAME_BYTES, PLACE_BYTES = 5, 6
+# Stretches of a name that one task may compare.
+GROUP = 20_000
 # Ranges of names for each shuffle partition.
 RANGES = 4
 
@@ -87,7 +94,7 @@ class Cover:
     @functools.cached_property
     def powers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Powers of an odd number, of its inverse, and a random number for every byte; never shipped."""
-        n = CHUNK + self.tuple
+        n = CHUNK + self.length + self.v
         odd = 0x9E3779B97F4A7C15
         up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, odd, np.uint64))))
         down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(odd, -1, 1 << 64), np.uint64))))
@@ -133,17 +140,23 @@ def cover_of(length: int) -> Cover:
     return Cover(length)
 
 
-def _packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
-    """Slices [cut[i], cut[i + 1]) of 64-bit values as binary values."""
+def _packed(values: np.ndarray, width: int, cut: np.ndarray) -> pa.Array:
+    """Slices [cut[i], cut[i + 1]) of the values' ``width`` lowest bytes as binary values."""
+    low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
     return pa.Array.from_buffers(pa.binary(), len(cut) - 1,
-                                 [None, pa.py_buffer((8 * cut).astype(np.int32)), pa.py_buffer(values)])
+                                 [None, pa.py_buffer((width * cut).astype(np.int32)), pa.py_buffer(low)])
+
+
+def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    low = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :width] = low
+    return out.view("<u8").ravel()
 
 
 def _ranges(docs: DataFrame, length: int, bits: int) -> DataFrame:
     """Every batch's sorted names by range: (range, names, places); places
     whose name a batch has found twice come without names, below range 0."""
-    low = np.uint64((1 << SAMPLE_BITS) - 1)
-
     def run(batches):
         cover = cover_of(length)
         for b in batches:
@@ -155,8 +168,9 @@ def _ranges(docs: DataFrame, length: int, bits: int) -> DataFrame:
                 seen.add((int(k1[i]), int(k2[i])))
                 n = cover.names(value.as_py())
                 names.append(n)
-                places.append(k1[i] & ~low | np.arange(len(n), dtype=np.uint64) & low)
-            name = np.concatenate(names)
+                text = k1[i] >> np.uint64(64 - TEXT_BITS) << np.uint64(SAMPLE_BITS)
+                places.append(text | np.arange(len(n), dtype=np.uint64) & np.uint64((1 << SAMPLE_BITS) - 1))
+            name = np.concatenate(names) >> np.uint64(64 - 8 * NAME_BYTES - bits)
             order = np.argsort(name, kind="stable")
             name, place = name[order], np.concatenate(places)[order]
             same = name[1:] == name[:-1]
@@ -164,41 +178,39 @@ def _ranges(docs: DataFrame, length: int, bits: int) -> DataFrame:
             first[1:] = ~same
             twice[1:] = same
             twice[:-1] |= same
-            sure = np.ascontiguousarray(place[twice])
-            name, place = np.ascontiguousarray(name[first]), np.ascontiguousarray(place[first])
-            of = (name >> np.uint64(64 - bits)).astype(np.int64)
+            sure, name, place = place[twice], name[first], place[first]
+            of = (name >> np.uint64(8 * NAME_BYTES)).astype(np.int32)
             begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
             cut = np.append(begin, len(of))
             if len(begin):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(of[begin].astype(np.int32)), _packed(name, cut), _packed(place, cut)], names=columns)
+                    [pa.array(of[begin]), _packed(name, NAME_BYTES, cut), _packed(place, PLACE_BYTES, cut)], names=columns)
             if len(sure):
-                away = -1 - int(sure[0] >> np.uint64(32)) % (1 << bits)
+                away = -1 - int(sure[0] >> np.uint64(SAMPLE_BITS)) % (1 << bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([away], pa.int32()), pa.array([b""], pa.binary()), pa.array([sure.tobytes()], pa.binary())],
-                    names=columns)
+                    [pa.array([away], pa.int32()), pa.array([b""], pa.binary()),
+                     _packed(sure, PLACE_BYTES, np.array([0, len(sure)]))], names=columns)
 
     columns = ["range", "names", "places"]
     return docs.select("k1", "k2", "raw").mapInArrow(run, "range int, names binary, places binary")
 
 
 def _survivors(docs: DataFrame, length: int) -> DataFrame:
-    """(text, sample): sampled places whose name stands at another place too;
-    ``text`` has the highest bits of k1."""
+    """(text, sample): sampled places whose name another batch has too, or
+    the same one twice; ``text`` has the highest bits of k1."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = (RANGES * parts - 1).bit_length()
 
     def meet(t: pa.Table) -> pa.Table:
-        places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint64)
+        places = _unpacked(t.column("places"), PLACE_BYTES)
         if t.column("range")[0].as_py() >= 0:
-            name = np.frombuffer(b"".join(t.column("names").to_pylist()), np.uint64)
+            name = _unpacked(t.column("names"), NAME_BYTES)
             order = np.argsort(name, kind="stable")  # a merge: every row is sorted
-            name, places = name[order], places[order]
-            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(name)), bool), name[1:] != name[:-1])))
-            sizes = np.diff(np.append(begin, len(name)))
-            other = places != np.repeat(places[begin], sizes)
-            if len(begin):
-                places = places[np.repeat(np.logical_or.reduceat(other, begin), sizes)]
+            same = np.diff(name[order]) == 0
+            twice = np.zeros(len(name), bool)
+            twice[1:] = same
+            twice[:-1] |= same
+            places = places[order[twice]]
         return pa.table({"text": (places >> np.uint64(SAMPLE_BITS)).astype(np.int64),
                          "sample": (places & np.uint64((1 << SAMPLE_BITS) - 1)).astype(np.int32)})
 
@@ -303,6 +315,58 @@ def _compare(texts: DataFrame, length: int) -> DataFrame:
     return whole.union(open_ones)
 
 
+def _compare_groups(cuts: DataFrame, least: int, length: int) -> DataFrame:
+    """(k1, k2, first, last): repeated starts of the stretches that occur once,
+    from all stretches of names that have up to ``GROUP`` of them.
+
+    A task takes the names of one hash value, gives every start of every
+    stretch the hash of its ``length`` bytes, sorts by (name, distance of the
+    sample, hash) and compares neighbours.
+    """
+    parts = RANGES * int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        up, down, byte = cover_of(least).powers
+        t = t.combine_chunks()
+        col = {c: t.column(c).to_numpy() for c in ("name", "k1", "k2", "place", "back", "more", "n")}
+        raws = t.column("raw").chunk(0)
+        off = np.frombuffer(raws.buffers()[1], np.int32, len(raws) + 1, 4 * raws.offset).astype(np.int64)
+        data, parts = np.frombuffer(raws.buffers()[2], np.uint8), []
+        i = 0
+        while i < len(raws):
+            to = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+            b = data[off[i]:off[to]]
+            total = np.empty(len(b) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(byte[b] * up[:len(b)], out=total[1:])
+            count = col["more"][i:to].astype(np.int64) + 1
+            of = np.repeat(np.arange(i, to), count)
+            j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            p = off[of] - off[i] + j
+            h = (total[p + length] - total[p]) * down[p]
+            h ^= h >> np.uint64(32)
+            group = (col["name"][of].view(np.uint64) + (col["back"][of] - j).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            parts.append((of, j, (h ^ group ^ (group >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)))
+            i = to
+        of, j, key = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        again = np.zeros(len(key), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        again &= col["n"][of] == 1
+        x = np.flatnonzero(again)
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1] + 1) | (of[x[1:]] != of[x[:-1]])
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(x))[:len(a)] - 1
+        row, start = of[x[a]], (col["place"] - col["back"])
+        return pa.table({"k1": col["k1"][row], "k2": col["k2"][row], "first": start[row] + j[x[a]], "last": start[row] + j[x[z]]})
+
+    return cuts.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts))).groupBy("part").applyInArrow(
+        meet, "k1 bigint, k2 bigint, first bigint, last bigint")
+
+
 def _spans(texts: DataFrame, least: int, length: int) -> DataFrame:
     """(k1, k2, length, first, last): intervals of repeated starts in the
     surviving neighbourhoods of (k1, k2, raw, samples)."""
@@ -319,10 +383,10 @@ def _spans(texts: DataFrame, least: int, length: int) -> DataFrame:
 
     # one copy of every stretch whose tuple has others too, with its bytes
     # (picked by a hash, so that no text is the copy of very many)
-    place = F.struct(F.xxhash64("k1", "k2", "stretch").alias("pick"), "k1", "k2", "place", "back", "more", "n")
+    place = F.struct(F.xxhash64("k1", "k2", "stretch").alias("pick"), "k1", "k2", "place", "back", "more", "n", "k")
     copies = found.where("k > 1").groupBy("name", "stretch").agg(F.min(place).alias("at")) \
         .groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(
-            "name", "stretch", "at.place", "at.back", "at.more", "at.n")).alias("wanted"))  # within one text
+            "name", "stretch", "at.place", "at.back", "at.more", "at.n", "at.k")).alias("wanted"))  # within one text
 
     def cut(batches):
         for b in batches:
@@ -335,16 +399,20 @@ def _spans(texts: DataFrame, least: int, length: int) -> DataFrame:
                     pa.array([w["place"] for w in wanted], pa.int64()),
                     pa.array([w["back"] for w in wanted], pa.int32()),
                     pa.array([w["more"] for w in wanted], pa.int32()), pa.array([w["n"] for w in wanted], pa.int64()),
+                    pa.array([w["k"] for w in wanted], pa.int64()),
                     pa.array([raw[x:x + w["more"] + length] for x, w in zip(lo, wanted)], pa.binary())],
-                    names=["name", "stretch", "k1", "k2", "place", "back", "more", "n", "raw"])
+                    names=["name", "stretch", "k1", "k2", "place", "back", "more", "n", "k", "raw"])
 
     cuts = materialize(texts.join(copies, ["k1", "k2"]).select("k1", "k2", "raw", "wanted").mapInArrow(
-        cut, "name bigint, stretch bigint, k1 bigint, k2 bigint, place bigint, back int, more int, n bigint, raw binary"),
+        cut, "name bigint, stretch bigint, k1 bigint, k2 bigint, place bigint, back int, more int, n bigint, k bigint, raw binary"),
         "suffix-stretches")
-    same = _compare(cuts, length).join(
-        cuts.where("n = 1").select("name", "stretch", "k1", "k2", "place"), ["name", "stretch"])
-    single = same.select("k1", "k2", (F.col("place") - F.col("hi")).alias("first"),
-                         (F.col("place") - F.col("lo")).alias("last"))
+    single = _compare_groups(cuts.where(F.col("k") <= GROUP), least, length)
+    if (cuts.agg(F.max("k")).first()[0] or 0) > GROUP:  # names of more stretches than a task should hold
+        large = cuts.where(F.col("k") > GROUP)
+        same = _compare(large, length).join(
+            large.where("n = 1").select("name", "stretch", "k1", "k2", "place"), ["name", "stretch"])
+        single = single.union(same.select("k1", "k2", (F.col("place") - F.col("hi")).alias("first"),
+                                          (F.col("place") - F.col("lo")).alias("last")))
     out = materialize(whole.union(single).select("k1", "k2", F.lit(length).alias("length"), "first", "last").distinct(),
                       "suffix-spans")
     release(found)
@@ -360,7 +428,7 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> Dat
     keys = materialize(docs.groupBy("k1", "k2").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.octet_length("raw")).cast("bigint").alias("size")), "suffix-keys")
     samples = _survivors(docs, least).groupBy("text").agg(F.collect_set("sample").alias("samples"))  # within one text
-    wanted = keys.withColumn("text", F.shiftrightunsigned("k1", SAMPLE_BITS)).join(samples, "text").select("k1", "k2", "samples")
+    wanted = keys.withColumn("text", F.shiftrightunsigned("k1", 64 - TEXT_BITS)).join(samples, "text").select("k1", "k2", "samples")
     wanted = materialize(wanted, "suffix-samples")
     texts = materialize(docs.groupBy("k1", "k2").agg(F.any_value("raw").alias("raw")).join(wanted, ["k1", "k2"]),
                         "suffix-texts")
