@@ -49,6 +49,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,15 +92,6 @@ class Cover:
         self.residues = np.array(COVERS.get(self.v, (0,)), np.int64)
         self.tuple = length - self.v + 1
 
-    @functools.cached_property
-    def powers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Powers of an odd number, of its inverse, and a random number for every byte; never shipped."""
-        n = CHUNK + self.length + self.v
-        odd = 0x9E3779B97F4A7C15
-        up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, odd, np.uint64))))
-        down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(odd, -1, 1 << 64), np.uint64))))
-        return up, down, np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
-
     def place(self, sample: np.ndarray) -> np.ndarray:
         """Byte offset of the samples of a text, by their number."""
         return sample // len(self.residues) * self.v + self.residues[sample % len(self.residues)]
@@ -113,26 +105,42 @@ class Cover:
 
     def names(self, raw: bytes) -> np.ndarray:
         """Name of every sampled tuple of a text, in order of its place."""
-        n = self.count(len(raw))
-        up, down, byte = self.powers
-        out = np.empty(n, np.uint64)
-        places = self.place(np.arange(n))
-        at = 0
-        for lo in range(0, len(raw), CHUNK):
-            to = int(np.searchsorted(places, lo + CHUNK))
-            if to == at:
-                continue
-            b = np.frombuffer(raw, np.uint8, min(CHUNK + self.tuple, len(raw) - lo), lo)
-            total = np.empty(len(b) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(byte[b] * up[:len(b)], out=total[1:])
-            p = places[at:to] - lo
-            h = (total[p + self.tuple] - total[p]) * down[p]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            out[at:to] = h ^ (h >> np.uint64(32))
+        return tuple_names(raw, self.place(np.arange(self.count(len(raw)))), self.tuple)
+
+
+@functools.lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd number, of its inverse, and a random number for every byte."""
+    odd = 0x9E3779B97F4A7C15
+    up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, odd, np.uint64))))
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(odd, -1, 1 << 64), np.uint64))))
+    return up, down, np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashes(b: np.ndarray, p: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place ``p`` of up to ``most`` bytes."""
+    up, down, byte = _powers(most)
+    total = np.empty(len(b) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(byte[b] * up[:len(b)], out=total[1:])
+    return (total[p + size] - total[p]) * down[p]
+
+
+def tuple_names(raw: bytes, places: np.ndarray, size: int) -> np.ndarray:
+    """Names of the tuples of ``size`` bytes at ascending places of a text."""
+    out, at = np.empty(len(places), np.uint64), 0
+    for lo in range(0, len(raw), CHUNK):
+        to = int(np.searchsorted(places, lo + CHUNK))
+        if to > at:
+            b = np.frombuffer(raw, np.uint8, min(CHUNK + size, len(raw) - lo), lo)
+            out[at:to] = _stirred(_hashes(b, places[at:to] - lo, size, CHUNK + size))
             at = to
-        return out
+    return out
 
 
 @functools.lru_cache(4)
@@ -226,6 +234,7 @@ def _named(texts: DataFrame, least: int, length: int) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         for b in batches:
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            parts = []
             for i, value in enumerate(b.column(2)):
                 raw = value.as_py()
                 s, n = np.asarray(b.column(3)[i].values, np.int64), cover.count(len(raw))
@@ -233,22 +242,26 @@ def _named(texts: DataFrame, least: int, length: int) -> DataFrame:
                 q = cover.place(np.sort(s[s < n]))
                 q = q[q + tuple_ <= len(raw)]
                 lo, hi = np.maximum(q - cover.v + 1, 0), np.minimum(q, len(raw) - length)
-                if not len(q) or len(raw) < length:
-                    continue
-                name = [digest(raw[p:p + tuple_]) for p in q.tolist()]
-                stretch = [digest(raw[x:y + length], (p - x) << 20 | (y - x))
-                           for p, x, y in zip(q.tolist(), lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(q), k1[i])), pa.array(np.full(len(q), k2[i])), pa.array(q),
-                    pa.array((q - lo).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
-                    pa.array(np.array(name, np.uint64).view(np.int64)),
-                    pa.array(np.array(stretch, np.uint64).view(np.int64))], names=names)
+                if len(q) and len(raw) >= length:
+                    stretch = [digest(raw[x:y], z) for x, y, z in zip(
+                        lo.tolist(), (hi + length).tolist(), ((q - lo) << 20 | (hi - lo)).tolist())]
+                    parts.append((np.full(len(q), k1[i]), np.full(len(q), k2[i]), q, (q - lo).astype(np.int32),
+                                  (hi - lo).astype(np.int32), tuple_names(raw, q, tuple_).view(np.int64),
+                                  np.array(stretch, np.uint64).view(np.int64)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
     names = ["k1", "k2", "place", "back", "more", "name", "stretch"]
     return texts.select("k1", "k2", "raw", "samples").mapInArrow(
         run, "k1 bigint, k2 bigint, place bigint, back int, more int, name bigint, stretch bigint")
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(length of every list, values of all lists field by field) of lists of structs without nulls."""
+    return (pc.fill_null(pc.list_value_length(lists), 0).to_numpy(),
+            [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()])
+
+
 def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` whose ``keys`` occur with more than one stretch."""
     groups = rows.groupBy(*keys).agg(F.min("stretch").alias("_a"), F.max("stretch").alias("_b")) \
@@ -315,7 +328,7 @@ def _compare(texts: DataFrame, length: int) -> DataFrame:
     return whole.union(open_ones)
 
 
-def _compare_groups(cuts: DataFrame, least: int, length: int) -> DataFrame:
+def _compare_groups(cuts: DataFrame, length: int) -> DataFrame:
     """(k1, k2, first, last): repeated starts of the stretches that occur once,
     from all stretches of names that have up to ``GROUP`` of them.
 
@@ -326,7 +339,6 @@ def _compare_groups(cuts: DataFrame, least: int, length: int) -> DataFrame:
     parts = RANGES * int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(t: pa.Table) -> pa.Table:
-        up, down, byte = cover_of(least).powers
         t = t.combine_chunks()
         col = {c: t.column(c).to_numpy() for c in ("name", "k1", "k2", "place", "back", "more", "n")}
         raws = t.column("raw").chunk(0)
@@ -335,16 +347,10 @@ def _compare_groups(cuts: DataFrame, least: int, length: int) -> DataFrame:
         i = 0
         while i < len(raws):
             to = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
-            b = data[off[i]:off[to]]
-            total = np.empty(len(b) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(byte[b] * up[:len(b)], out=total[1:])
             count = col["more"][i:to].astype(np.int64) + 1
             of = np.repeat(np.arange(i, to), count)
             j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            p = off[of] - off[i] + j
-            h = (total[p + length] - total[p]) * down[p]
-            h ^= h >> np.uint64(32)
+            h = _stirred(_hashes(data[off[i]:off[to]], off[of] - off[i] + j, length, CHUNK + 2 * length))
             group = (col["name"][of].view(np.uint64) + (col["back"][of] - j).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             parts.append((of, j, (h ^ group ^ (group >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)))
             i = to
@@ -390,23 +396,22 @@ def _spans(texts: DataFrame, least: int, length: int) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            for k1, k2, raw, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                lo = [w["place"] - w["back"] for w in wanted]
+            count, (name, stretch, at, back, more, *rest) = _flat(b.column(3))
+            of = np.repeat(np.arange(len(count)), count)
+            raws, lo = b.column(2).to_pylist(), at - back
+            for x in range(0, len(of), 8192):
+                y = slice(x, x + 8192)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([w["name"] for w in wanted], pa.int64()),
-                    pa.array([w["stretch"] for w in wanted], pa.int64()),
-                    pa.array([k1] * len(wanted), pa.int64()), pa.array([k2] * len(wanted), pa.int64()),
-                    pa.array([w["place"] for w in wanted], pa.int64()),
-                    pa.array([w["back"] for w in wanted], pa.int32()),
-                    pa.array([w["more"] for w in wanted], pa.int32()), pa.array([w["n"] for w in wanted], pa.int64()),
-                    pa.array([w["k"] for w in wanted], pa.int64()),
-                    pa.array([raw[x:x + w["more"] + length] for x, w in zip(lo, wanted)], pa.binary())],
+                    *map(pa.array, (name[y], stretch[y], b.column(0).to_numpy()[of[y]], b.column(1).to_numpy()[of[y]],
+                                    at[y], back[y], more[y])), *(pa.array(r[y]) for r in rest),
+                    pa.array([raws[i][p:z] for i, p, z in zip(of[y].tolist(), lo[y].tolist(), (lo + more + length)[y].tolist())],
+                             pa.binary())],
                     names=["name", "stretch", "k1", "k2", "place", "back", "more", "n", "k", "raw"])
 
     cuts = materialize(texts.join(copies, ["k1", "k2"]).select("k1", "k2", "raw", "wanted").mapInArrow(
         cut, "name bigint, stretch bigint, k1 bigint, k2 bigint, place bigint, back int, more int, n bigint, k bigint, raw binary"),
         "suffix-stretches")
-    single = _compare_groups(cuts.where(F.col("k") <= GROUP), least, length)
+    single = _compare_groups(cuts.where(F.col("k") <= GROUP), length)
     if (cuts.agg(F.max("k")).first()[0] or 0) > GROUP:  # names of more stretches than a task should hold
         large = cuts.where(F.col("k") > GROUP)
         same = _compare(large, length).join(
@@ -443,15 +448,23 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> Dat
         F.collect_set(F.struct("length", "first", "last")).alias("spans"))  # within one text
 
 
-def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
-    """Byte intervals [a, b) covered by the strings of ``length`` bytes that start in ``spans``."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["first"], s["last"] + length) for s in spans if s["length"] == length):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(spans: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
+    """Byte intervals [a, b) that the repeated strings of ``length`` bytes cover, for every row."""
+    count, (of_length, first, last) = _flat(spans)
+    row = np.repeat(np.arange(len(count)), count)[of_length == length]
+    first, end = first[of_length == length], last[of_length == length] + length
+    apart = int(end.max(initial=0)) + 2  # rows lie end to end, with a gap
+    first, end = first + row * apart, end + row * apart
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    a, z = first[at], end[np.append(at[1:], len(end))[:len(at)] - 1]
+    out: list[list] = [[] for _ in count]
+    for r, x, y in zip((a // apart).tolist(), (a % apart).tolist(), (z % apart).tolist()):
+        out[r].append((x, y))
+    return out
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -467,14 +480,13 @@ def removals(docs: DataFrame, text_col: str = "text", lengths: tuple[int, ...] =
     return keyed.join(spans, ["__columbine_k1", "__columbine_k2"], "left").select(*docs.columns, "__columbine_raw", "__columbine_spans")
 
 
-def _kept(raw: bytes, spans, length: int) -> tuple[bytes, int]:
-    cuts = merged(spans or [], length)
+def _kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
     keep, pos = [], 0
     for a, b in cuts:
         keep.append(raw[pos:a])
         pos = b
     keep.append(raw[pos:])
-    return b"".join(keep), len(cuts)
+    return b"".join(keep)
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -487,10 +499,10 @@ def deduplicate(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
     def run(batches):
         for b in batches:
             at = b.schema.names
-            texts = [None if old is None else _kept(raw, s, length)[0].decode("utf-8", "ignore") if s else old
+            texts = [None if old is None else _kept(raw, s).decode("utf-8", "ignore") if s else old
                      for old, raw, s in zip(b.column(at.index(text_col)).to_pylist(),
                                             b.column(at.index("__columbine_raw")).to_pylist(),
-                                            b.column(at.index("__columbine_spans")).to_pylist())]
+                                            merged(b.column(at.index("__columbine_spans")), length))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if f.name == text_col else b.column(at.index(f.name)) for f in kept],
                 names=[f.name for f in kept])
@@ -508,14 +520,14 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     def run(batches):
         for b in batches:
             raw = b.column(1).to_pylist()
-            spans = b.column(2).to_pylist()
-            kept = [_kept(r, s, length) for r, s in zip(raw, spans)]
+            cuts = merged(b.column(2), length)
+            kept = [_kept(r, c) for r, c in zip(raw, cuts)]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(r) for r in raw], pa.int64()),
-                pa.array([len(r) - len(k) for r, (k, _) in zip(raw, kept)], pa.int64()),
-                pa.array([n for _, n in kept], pa.int64()),
-                pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept]),
-                pa.array([sum(z - a for a, z in merged(s or [], passage)) for s in spans], pa.int64())],
+                pa.array([len(r) - len(k) for r, k in zip(raw, kept)], pa.int64()),
+                pa.array([len(c) for c in cuts], pa.int64()),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+                pa.array([sum(z - a for a, z in c) for c in merged(b.column(2), passage)], pa.int64())],
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
 
     return rows.mapInArrow(
