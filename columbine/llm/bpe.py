@@ -37,6 +37,8 @@ from columbine.llm.common import read_driver_file, text_bytes
 
 # Entries a worker's memo holds before its older half goes.
 MEMO_ENTRIES = 800_000
+# Longest stretch in the memo: it stays under 0.5 GB.
+MEMO_BYTES = 64
 
 # The pre-tokenizer pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,7 +179,7 @@ class ByteBpe:
         if ids is None:
             packed = self.packed
             ids = b"".join([packed[r] for r in self.encode_piece(piece)])
-            if len(piece) <= 64:
+            if len(piece) <= MEMO_BYTES:
                 self.memo[piece] = ids
         return ids
 
@@ -224,10 +226,11 @@ class ByteBpe:
             return b"".join([memo[c] for c in chunks])
         except KeyError:
             pass
+        long = {}
         for c in chunks:
             if c not in memo:
-                memo[c] = self._chunk(c)
-        ids = b"".join([memo[c] for c in chunks])
+                (memo if len(c) <= MEMO_BYTES else long)[c] = self._chunk(c)
+        ids = b"".join([memo[c] if c in memo else long[c] for c in chunks])
         self._trim()
         return ids
 

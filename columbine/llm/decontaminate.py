@@ -4,9 +4,11 @@ Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and
 non-ASCII characters.  Every run of ``window`` consecutive words of a
 benchmark item is a test n-gram (an item with fewer words is one n-gram).
 The n-grams go to the tasks as a broadcast hash set in blocks of at most
-``BLOCK_BYTES`` of benchmark text; a larger benchmark is worked through
-block by block over the same map-only pass, so no broadcast outgrows its
-bound and no n-gram is left out.  A task maps words to the block's word ids,
+``BLOCK_BYTES`` of benchmark text.  A benchmark of one block is one map-only
+pass.  A larger one is worked through block by block: each block's hits are
+written, by the hash of the text, and its broadcast is dropped before the next
+block, so one broadcast and one Python stage live at a time; the hits join the
+documents at the end.  No n-gram is left out.  A task maps words to the block's word ids,
 takes rolling hashes of the windows made of known words only, looks them up
 in the sorted hash array and verifies every hit by comparing the ids.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from columbine.llm.common import text_bytes
+from columbine.llm.common import materialize, text_bytes
 
 WINDOW = 10
 # Benchmark text per broadcast block.
@@ -98,14 +100,37 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """Benchmark items block by block; the driver holds ``BLOCK_BYTES`` of text at a time, more or less."""
-    items = benchmark.select(F.col(id_col).alias("i"), text_bytes(text_col).alias("t"))
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
+    """(number of blocks, benchmark items block by block); the driver holds ``BLOCK_BYTES`` of text at a time, more or less."""
+    items = benchmark.select(F.col(id_col).alias("i"), text_bytes(text_col).alias("t")).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, bytes(r.t)) for r in part.collect()]
+    return n, ([(r.i, bytes(r.t)) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+               for k in range(n))
+
+
+def _step(held):
+    """Counts words, adds the hits of a broadcast ``WindowSet`` (if any) and merges spans."""
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            col = {k: batch.column(names.index(k)) for k in ("__columbine_raw", "__columbine_spans", "__columbine_items")}
+            n_words, spans, items = [], [], []
+            for raw, s, i in zip(col["__columbine_raw"], col["__columbine_spans"].to_pylist(), col["__columbine_items"].to_pylist()):
+                words = words_of(raw.as_py())
+                n_words.append(len(words))
+                new, owners = held.value.scan(words) if held is not None else ([], set())
+                if new or s:
+                    s = merge_spans([(x["first"], x["last"]) for x in s] + new)
+                    s = [{"first": a, "last": b} for a, b in s]
+                    i = list(set(i) | owners - {None})
+                spans.append(s)
+                items.append(i)
+            new = {"__columbine_n_words": n_words, "__columbine_spans": spans, "__columbine_items": items}
+            yield pa.record_batch([
+                pa.array(new[f.name], f.type) if f.name in new else batch.column(k)
+                for k, f in enumerate(batch.schema)], schema=batch.schema)
+    return run
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -113,43 +138,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """``docs`` with ``__columbine_n_words``, ``__columbine_spans`` (hit words, merged) and ``__columbine_items``."""
     spark = docs.sparkSession
     item_type = benchmark.schema[item_col].dataType
-    out = docs.withColumn("__columbine_raw", text_bytes(text_col)).withColumns({
-        "__columbine_n_words": F.lit(None).cast("bigint"),
-        "__columbine_spans": F.array().cast(SPANS),
-        "__columbine_items": F.array().cast(T.ArrayType(item_type)),
-    })
-    schema = out.schema
-
-    def step(held):
-        def run(batches):
-            for batch in batches:
-                names = batch.schema.names
-                col = {k: batch.column(names.index(k)) for k in ("__columbine_raw", "__columbine_spans", "__columbine_items")}
-                n_words, spans, items = [], [], []
-                for raw, s, i in zip(col["__columbine_raw"], col["__columbine_spans"].to_pylist(), col["__columbine_items"].to_pylist()):
-                    words = words_of(raw.as_py())
-                    n_words.append(len(words))
-                    if held is not None:
-                        new, owners = held.value.scan(words)
-                        s = merge_spans([(x["first"], x["last"]) for x in s] + new)
-                        s = [{"first": a, "last": b} for a, b in s]
-                        i = list(set(i) | owners - {None})
-                    spans.append(s)
-                    items.append(i)
-                new = {"__columbine_n_words": n_words, "__columbine_spans": spans, "__columbine_items": items}
-                yield pa.record_batch([
-                    pa.array(new[f.name], f.type) if f.name in new else batch.column(k)
-                    for k, f in enumerate(batch.schema)], schema=batch.schema)
-        return run
-
-    some = False
-    for block in _blocks(benchmark, item_col, item_text):
-        held = spark.sparkContext.broadcast(WindowSet(block, window))
-        out = out.mapInArrow(step(held), schema)
-        some = True
-    if not some:
-        out = out.mapInArrow(step(None), schema)
-    return out.drop("__columbine_raw")
+    out = docs.withColumn("__columbine_raw", text_bytes(text_col))
+    n, blocks = _blocks(benchmark, item_col, item_text)
+    none = {"__columbine_n_words": F.lit(None).cast("bigint"), "__columbine_spans": F.array().cast(SPANS),
+            "__columbine_items": F.array().cast(T.ArrayType(item_type))}
+    if n > 1:
+        key = {"__columbine_k1": F.xxhash64("__columbine_raw"), "__columbine_k2": F.xxhash64(F.lit(1), "__columbine_raw")}
+        texts = out.select("__columbine_raw").withColumns(none)
+        hits = []
+        for block in blocks:
+            held = spark.sparkContext.broadcast(WindowSet(block, window))
+            hit = texts.mapInArrow(_step(held), texts.schema).where(F.size("__columbine_spans") > 0)
+            hits.append(materialize(hit.withColumns(key).select(*key, "__columbine_spans", "__columbine_items").distinct(),
+                                    "decontaminate-hits"))
+            held.unpersist()
+        found = hits[0]
+        for h in hits[1:]:
+            found = found.union(h)
+        # of one text, at most a list a block
+        found = found.groupBy(*key).agg(
+            F.flatten(F.collect_list("__columbine_spans")).alias("__columbine_spans"),
+            F.array_distinct(F.flatten(F.collect_list("__columbine_items"))).alias("__columbine_items"))
+        out = out.withColumns(key).join(found, [*key], "left").select(
+            *docs.columns, "__columbine_raw", none["__columbine_n_words"].alias("__columbine_n_words"),
+            *[F.coalesce(c, none[c]).alias(c) for c in ("__columbine_spans", "__columbine_items")])
+        return out.mapInArrow(_step(None), out.schema).drop("__columbine_raw")
+    out = out.withColumns(none)
+    held = next((spark.sparkContext.broadcast(WindowSet(block, window)) for block in blocks), None)
+    return out.mapInArrow(_step(held), out.schema).drop("__columbine_raw")
 
 
 def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     use = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)) \
         .groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) > 0.5).alias("_y"))
     share = min(1.0, max_train / max(1, use.count()))
-    drawn = use.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = use.where(F.shiftrightunsigned(F.xxhash64("_id"), 2) < int(share * (1 << 62)))
     rows = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("raw")) \
         .join(F.broadcast(drawn), "_id") \
         .groupBy("_id").agg(F.min("raw").alias("raw"), F.min("_y").alias("_y"))  # about max_train ids

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from columbine.llm import (bpe, decontaminate, hard_negatives, host_rules, license_scan, nbsvm, oracles, periodic_runs,
                            simhash, source_mix, suffix_dedup, token_attribution, token_store, warc_fixity)
-from columbine.llm.common import bound_batches, scratch_path, ship_package, table
+from columbine.llm.common import bound_batches, materialize, scratch_path, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -23,12 +23,13 @@ ORACLES: dict[str, str] = {
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
 
-# Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("COLUMBINE_TOKENIZERS", "/opt/tokenizers")
-
-
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Path of a public tokenizer file; ``COLUMBINE_TOKENIZERS`` may name another folder."""
+    folder = os.environ.get("COLUMBINE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def query(fn):
@@ -78,43 +79,59 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES_PER_FILE = 2000
 
 
+# Files of pages without an id: they lie below every file that an id can name.
+NO_ID_FILE = -(1 << 62)
+
+
 def page_replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two stand-in replicas of an archive of ``pages``: (file_id, at, record,
-    label).  The second has lost some records and has others altered."""
-    pages = table(spark, sf_dir, "pages").where("page_id is not null")
-    rows = pages.select(
-        F.floor(F.col("page_id") / PAGES_PER_FILE).alias("file_id"), F.col("page_id").alias("label"),
-        warc_fixity.warc_record(F.col("url"), F.coalesce("html", F.lit("")).cast("binary")).alias("record"))
-    whole = warc_fixity.lay_out(rows, "file_id", "label")
-    spoiled = F.when(F.col("label") % 97 == 5, F.concat(F.expr("substr(record, 1, octet_length(record) - 1)"),
-                                                        F.lit("?").cast("binary"))).otherwise(F.col("record"))
-    return whole, whole.where("label % 211 <> 7").withColumn("record", spoiled)
+    """Two stand-in replicas of an archive of ``pages``, hashed: (file_id, at,
+    size, digest, label).  The second has lost some records and has others
+    altered.  Pages without an id lie in files of their own, by their content.
+
+    Records are measured and hashed where they are read; only sizes and hashes
+    are shuffled to lay files out.
+    """
+    record = warc_fixity.warc_record(F.col("url"), F.coalesce("html", F.lit("")).cast("binary"))
+    spoiled = F.concat(F.expr("substr(record, 1, octet_length(record) - 1)"), F.lit("?").cast("binary"))
+    altered = F.coalesce(F.col("label") % 97 == 5, F.lit(False))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("label"), record.alias("record")).select(
+        "label", F.octet_length("record").cast("bigint").alias("size"), F.md5("record").alias("_md5"),
+        F.sha2("record", 256).alias("digest"),
+        F.when(altered, F.sha2(spoiled, 256)).otherwise(F.sha2("record", 256)).alias("_second"))
+    file = F.coalesce(F.floor(F.col("label") / PAGES_PER_FILE), F.lit(NO_ID_FILE) + F.conv(F.substring("_md5", 1, 5), 16, 10).cast("bigint"))
+    whole = materialize(warc_fixity.lay_out(rows.withColumn("file_id", file), "file_id", "label", "_md5"), "archive")
+    cols = ["file_id", "at", "size", "digest", "label"]
+    second = whole.where(~F.coalesce(F.col("label") % 211 == 7, F.lit(False))).withColumn("digest", F.col("_second"))
+    return whole.select(*cols), second.select(*cols)
 
 
 @query
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged and missing records between two replicas of the ``pages`` archive."""
     first, second = page_replicas(spark, sf_dir)
-    found = warc_fixity.audit(warc_fixity.hash_records(first), warc_fixity.hash_records(second))
+    found = warc_fixity.audit(first, second)
     return found.select("file_id", F.col("label").alias("page_id"), F.col("at").alias("record_offset"), "status")
 
 
 ORACLES["op6_warc_fixity"] = f"""
-with r as (
-  select floor(page_id / {PAGES_PER_FILE})::bigint file_id, page_id,
-         octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+with w as (
+  select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
            || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
            || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: '
            || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
-           || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10))) size
-  from pages where page_id is not null),
-a as (select *, coalesce(sum(size) over (partition by file_id order by page_id
+           || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
+  from pages),
+r as (select coalesce(floor(page_id / {PAGES_PER_FILE})::bigint,
+               {NO_ID_FILE} + ('0x' || substr(md5(record), 1, 5))::bigint) file_id,
+             page_id, md5(record) m, octet_length(encode(record)) size from w),
+a as (select *, coalesce(sum(size) over (partition by file_id order by page_id nulls first, m
         rows between unbounded preceding and 1 preceding), 0)::bigint pos from r),
-b as (select file_id, page_id, pos, size, page_id % 97 = 5 altered from a where page_id % 211 <> 7)
+b as (select file_id, page_id, pos, page_id % 97 is not distinct from 5 altered from a
+      where page_id % 211 is distinct from 7)
 select a.file_id, a.page_id, a.pos as record_offset,
-       case when b.page_id is null then 'only_first' else 'differs' end as status
+       case when b.pos is null then 'only_first' else 'differs' end as status
 from a left join b on a.file_id = b.file_id and a.pos = b.pos
-where b.page_id is null or b.altered
+where b.pos is null or b.altered
 """
 
 

@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from columbine.llm.common import read_driver_file, text_bytes
 
 BLOCK_IDS = 1 << 16
-# Entries a worker's memo of encoded words holds before its older half goes.
+# Entries a worker's memo of encoded words holds before its older half goes, and
+# the longest word in it: under 0.5 GB for words of that length, 0.15 GB for usual ones.
 MEMO_ENTRIES = 1_000_000
+MEMO_WORD = 64
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
@@ -104,7 +106,11 @@ class WordEncoder:
                 memo[w] = memo[core] + memo[tail]
         else:
             self._library(missing)
-        return b"".join([memo[w] for w in words])
+        ids = b"".join([memo[w] for w in words])
+        for w in [w for w in missing if len(w) > MEMO_WORD]:
+            memo.pop(w, None)
+            memo.pop(w.rstrip(_PUNCT), None)
+        return ids
 
 
 _LOADED: dict[int, WordEncoder] = {}

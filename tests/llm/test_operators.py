@@ -12,7 +12,7 @@ import xxhash
 from columbine.llm import (bpe, decontaminate, host_rules, license_scan, nbsvm, simhash, suffix_dedup,
                            token_attribution, token_store, warc_fixity)
 from columbine.llm.common import scratch_path
-from columbine.llm.queries import QUERIES, vocabulary
+from columbine.llm.queries import ORACLES, QUERIES, vocabulary
 
 from .conftest import PASSAGE, by_id, texts_of
 
@@ -313,8 +313,11 @@ def test_passages_of_fifty_words(spark):
 
 def test_fixity(spark):
     rows = [(f, k, f"record {f}/{k}".encode() * (k % 7)) for f in range(5) for k in range(300)]
-    a = warc_fixity.lay_out(spark.createDataFrame(rows, "file_id bigint, label bigint, record binary"), "file_id", "label")
-    a = warc_fixity.hash_records(a.withColumn("at", a["at"] * 3000)).cache()
+    a = spark.createDataFrame(rows, "file_id bigint, label bigint, record binary").selectExpr(
+        "*", "cast(octet_length(record) as bigint) as size")
+    laid = warc_fixity.lay_out(a, "file_id", "label").where("file_id = 1").orderBy("label").collect()
+    assert [r.at for r in laid] == [sum(x.size for x in laid[:k]) for k in range(300)]
+    a = warc_fixity.hash_records(a.selectExpr("*", "label * 3000 as at")).cache()
     alter = a.withColumn("digest", __import__("pyspark").sql.functions.expr(
         "case when file_id = 3 and label = 77 then 'x' else digest end")).where("not (file_id = 1 and label = 5)")
     found = {(r.file_id, r.label, r.status) for r in warc_fixity.audit(a, alter).collect()}
@@ -325,6 +328,37 @@ def test_fixity(spark):
     assert warc_fixity.audit(none, a).where("status = 'only_second'").count() == a.select("file_id", "at").distinct().count()
 
 
+def test_fixity_odd_addresses(spark):
+    """Negative and very large files and offsets, two records at one address, records over a leaf, nulls, other columns."""
+    files = [-1, 0, 1 << 23, 1 << 40, -(1 << 62), (1 << 62) + 5, 77]
+    rows = [(f, at, bytes([k % 251]) * (1 + 97 * k % 300), k, "x", 1)
+            for k, (f, at) in enumerate((f, at) for f in files for at in (0, 1, 5000, (1 << 18) * 3, 1 << 45, -8))]
+    rows += [(0, 5000, b"second at one address", 100, "x", 1), (77, 1 << 30, b"big" * 200_000, 101, "x", 1),
+             (None, 3, b"no file", 102, "x", 1), (3, None, b"no offset", 103, "x", 1), (5, 9, None, 104, "x", 1)]
+    schema = "file_id bigint, at bigint, record binary, label bigint, node string, hash int"
+    first = warc_fixity.hash_records(spark.createDataFrame(rows, schema))
+    lost, changed = {3, 40, 100}, {0, 17, 101}
+    other = [(f, at, r + b"!" if k in changed else r, k, x, y) for f, at, r, k, x, y in rows if k not in lost]
+    second = warc_fixity.hash_records(spark.createDataFrame(other, schema))
+    at = {k: (f, a) for f, a, _, k, *_ in rows}
+    want = {(*at[k], "only_first") for k in (3, 40)} | {(*at[k], "differs") for k in changed | {100}}
+    assert {(r.file_id, r.at, r.status) for r in warc_fixity.audit(first, second).collect()} == want
+    assert warc_fixity.audit(first, first).count() == 0
+
+
+def test_fixity_pages_without_id(spark, tmp_path):
+    import duckdb
+
+    rows = [(i if i % 3 else None, f"http://h/{i}" if i % 5 else None, f"<p>{i}</p>" * (i % 9) if i % 7 else None) for i in range(900)]
+    rows += [(-5, "u", "x"), (-5, "u", "x"), (1 << 40, "v", "y" * 1000), (5, None, None), (None, None, None), (None, None, None)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(path)
+    got = sorted(map(repr, map(tuple, QUERIES["op6_warc_fixity"](spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{path}/*.parquet')")
+    assert got == sorted(map(repr, con.execute(ORACLES["op6_warc_fixity"]).fetchall())) and len(got) > 5
+
+
 # ---- 7 licenses ------------------------------------------------------------
 
 def test_license_base(docs, no_docs):
@@ -454,6 +488,8 @@ def test_decontaminate(spark, docs, no_docs, monkeypatch):
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows_of(decontaminate.digest(decontaminate.scan(few, bench)), *cols) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)  # several blocks give the same rows
+    many = decontaminate.scan(few, bench)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # however many blocks
     assert rows_of(decontaminate.digest(decontaminate.scan(few, bench)), *cols) == want
     monkeypatch.undo()
     assert decontaminate.digest(decontaminate.scan(no_docs, bench)).count() == 0
