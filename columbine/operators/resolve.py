@@ -42,6 +42,8 @@ placeholder was copied with a star -> ``S`` in the scope it came from.
 ``I`` identity descent into a scope, at most ``DESCENT`` levels: the references
 (``J``) of its projection C; without one, the first child projecting C with a
 result.  An unqualified reference prefers child scopes over physical tables.
+``B`` as ``R`` in a branch that its union asks: the way up would lead back to the
+union, so it ends in CYCLE_DETECTED (and the union goes on with rule 3).
 ``E`` an own projection.  An expression with scalar subqueries (``scalars``)
 reads the subquery's select list inside and its other aliases outside (J10).
 
@@ -323,7 +325,7 @@ def _expression(scope, expr, is_const, parts, add=None, **how):
 def _looked_up(tasks: DataFrame, cat: Catalog) -> DataFrame:
     """Nodes with what the catalog has about their scope S, their name there
     (SN), the scope T their alias means, and the name there (TN)."""
-    dotted = F.col("mode").substr(1, 1).isin("R", "J", "M", "S", "P")
+    dotted = F.col("mode").substr(1, 1).isin("R", "B", "J", "M", "S", "P")
     part = F.split("ref", r"\.", 2)
     has = dotted & (F.size(part) > 1)
     f = tasks.withColumns({"_alias": F.when(has, F.trim(part[0])),
@@ -398,7 +400,7 @@ def _edges(tasks: DataFrame, cat: Catalog, state: RoundState, max_depth: int, se
     union_out = F.when(F.coalesce("S_is_union", F.lit(False)), F.concat(
         in_branches(own_picks, crit="any"),
         F.transform(F.filter(F.coalesce(F.col("S_branches"), F.array()), lambda b: ~F.array_contains(picked, b["branch_id"])),
-                    lambda b: _edge(crit="any", scope=b["branch_id"], mode="R", ref=col, add=F.array(b["branch_name"]),
+                    lambda b: _edge(crit="any", scope=b["branch_id"], mode="B", ref=col, add=F.array(b["branch_name"]),
                                     drop=True)))).otherwise(empty)
     origin = F.upper(F.coalesce("SN_origin", F.lit("")))
     ordered = F.concat(F.filter(kids, lambda c: c["child_alias"] == origin), F.filter(kids, lambda c: c["child_alias"] != origin))
@@ -479,7 +481,7 @@ def _edges(tasks: DataFrame, cat: Catalog, state: RoundState, max_depth: int, se
     else:
         nested = itself = empty
     kind = F.col("mode").substr(1, 1)
-    outs = (F.when(kind == "R", reference).when(kind == "E", F.when(named, own()).otherwise(empty))
+    outs = (F.when(kind.isin("R", "B"), reference).when(kind == "E", F.when(named, own()).otherwise(empty))
             .when(kind == "I", descent).when(kind == "J", one).when(kind == "S", stars)
             .when(kind == "M", nested).otherwise(itself))
     x = f.select(*KEY, F.col("S_parent_id").cast("long").alias("_parent"), F.posexplode(outs).alias("pos", "o")) \
@@ -497,6 +499,7 @@ def _edges(tasks: DataFrame, cat: Catalog, state: RoundState, max_depth: int, se
     name = F.col("to_ref")
     up = (F.when(F.size(F.coalesce("_tables", F.array())) > 0,
                  F.transform("_tables", lambda t: _physical(t["rel_table"], name, grp=1)))
+          .when(F.col("mode") == "B", F.array(_unresolved("CYCLE_DETECTED", name, grp=1)))
           .when(F.col("_parent").isNotNull(), F.array(_edge(grp=1, scope=F.col("_parent"), mode="R", ref=name)))
           .otherwise(F.array(_unresolved("COLUMN_NOT_FOUND", name, grp=1))))
     more = d.select(*KEY, "_parent", "pos", F.posexplode(up).alias("_p", "o")).select(
@@ -515,9 +518,11 @@ def discover(first: DataFrame, cat: Catalog, state: RoundState, max_depth: int =
     """Edges of all nodes reached from ``first`` (KEY): (KEY, round, pos, edge...)."""
     tasks = state.keep(first.select(*KEY).distinct())
     known, found, n = tasks, [], 0
-    while not tasks.isEmpty():
-        searches = not tasks.where(F.col("mode").isin("M", "P")).isEmpty()
-        edges = state.keep(_edges(tasks, cat, state, max_depth, searches).withColumn("round", F.lit(n)))
+    while True:
+        modes = {r[0] for r in tasks.select(F.col("mode").substr(1, 1)).distinct().collect()}  # seven at most
+        if not modes:
+            break
+        edges = state.keep(_edges(tasks, cat, state, max_depth, bool(modes & {"M", "P"})).withColumn("round", F.lit(n)))
         found.append(edges)
         to = edges.where(F.col("to_mode").isNotNull()).select(
             "stmt_id", F.col("to_scope").alias("scope_id"), F.col("to_mode").alias("mode"), F.col("to_ref").alias("ref"))
@@ -574,11 +579,6 @@ _RESULT = ["source_type", "table_name", "column_name", "constant_value", "reason
            "dm_needed"]
 
 
-def _result_edge(like: DataFrame, **values) -> list:
-    types = dict(like.dtypes)
-    return [F.lit(values.get(c)).cast(types[c]).alias(c) for c in _RESULT]
-
-
 def expand(start: DataFrame, edges: DataFrame, state: RoundState, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Results along all paths from ``start`` (stmt_id, root_ord, scope_id, mode,
     ref, trace, n): (stmt_id, root_ord, trace, result..., n)."""
@@ -594,27 +594,26 @@ def expand(start: DataFrame, edges: DataFrame, state: RoundState, max_depth: int
     walk = start.withColumns({"seen": F.array().cast("array<string>"), "only": F.lit(False)}).groupBy(*path).agg(F.sum("n").alias("n"))
     out = []
     while True:
-        walk = state.keep(walk)
-        if walk.isEmpty():
-            break
-        circle = (F.col("mode") == "R") & F.array_contains("seen", key)
-        deep = (F.col("mode") == "R") & (F.size("trace") > max_depth)
-        for stop, reason in ((circle, "CYCLE_DETECTED"), (deep & ~circle, "DEPTH_GUARD")):
-            out.append(walk.where(stop & ~F.col("only")).select(
-                "stmt_id", "root_ord", "trace",
-                *_result_edge(edges, source_type="UNRESOLVED", reason=reason, dm_needed=False), "n"))
-        step = walk.where(~circle & ~deep).join(edges, KEY).withColumns({
-            "trace": F.concat("trace", "add"),
+        stop = F.when(F.col("mode").isin("R", "B"), F.when(F.array_contains("seen", key), "CYCLE_DETECTED")
+                      .when(F.size("trace") > max_depth, "DEPTH_GUARD"))
+        # a path that stops joins no edge and is a result itself
+        halted = walk.withColumn("_stop", stop).withColumn("mode", F.when(F.col("_stop").isNull(), F.col("mode")))
+        step = halted.join(edges, KEY, "left").withColumns({
+            "trace": F.concat("trace", F.coalesce("add", F.array().cast("array<string>"))),
             "seen": F.when(F.col("reset"), F.array().cast("array<string>"))
-                     .when(F.col("track") & (F.col("mode") == "R"), F.concat("seen", F.array(key))).otherwise(F.col("seen")),
-            "only": F.col("only") | F.col("drop")})
+                     .when(F.col("track") & F.col("mode").isin("R", "B"), F.concat("seen", F.array(key))).otherwise(F.col("seen")),
+            "only": F.col("only") | F.coalesce("drop", F.lit(False)),
+            "source_type": F.when(F.col("_stop").isNotNull(), "UNRESOLVED").otherwise(F.col("source_type")),
+            "reason": F.coalesce("_stop", "reason"), "dm_needed": F.coalesce("dm_needed", F.lit(False))})
         step = state.keep(step.select("stmt_id", "root_ord", "to_scope", "to_mode", "to_ref", "trace", "seen", "only", *_RESULT, "n"))
-        out.append(step.where(F.col("to_mode").isNull() & ~(F.col("only") & (F.col("source_type") == "UNRESOLVED")))
+        out.append(step.where(F.col("source_type").isNotNull() & ~(F.col("only") & (F.col("source_type") == "UNRESOLVED")))
                    .select("stmt_id", "root_ord", "trace", *_RESULT, "n"))
-        walk = step.where(F.col("to_mode").isNotNull()).select(
+        on = step.where(F.col("to_mode").isNotNull())
+        if on.isEmpty():
+            return _union(out)
+        walk = on.select(
             "stmt_id", "root_ord", F.col("to_scope").alias("scope_id"), F.col("to_mode").alias("mode"),
             F.col("to_ref").alias("ref"), "trace", "seen", "only", "n").groupBy(*path).agg(F.sum("n").alias("n"))
-    return _union(out) if out else walk.select("stmt_id", "root_ord", "trace", *_result_edge(edges), "n")
 
 
 def resolve_refs(spark: SparkSession, seeds: DataFrame, scopes: DataFrame, relations: DataFrame,

@@ -324,6 +324,72 @@ FIXTURES["scalar_projections"] = """
 select s_suppkey as stmt_id, 7 as scope_id, 0 as ord, 'M' as output_name, 'MAX(T.X) + COUNT(K)' as expression from {supplier}
 """
 
+# Nested scopes that read a column twice at every level: 2^(s_suppkey % 12) paths.
+FIXTURES["chain_scopes"] = """
+select s_suppkey as stmt_id, k as scope_id, case when k = 0 then null else k - 1 end as parent_id,
+       concat('L', k) as scope_name, case k when 0 then 'ROOT' else 'SUBQUERY' end as kind, cast(null as int) as branch_ord
+from {supplier} cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) as v(k)
+where k <= s_suppkey % 12
+"""
+
+FIXTURES["chain_relations"] = """
+select stmt_id, scope_id, 0 as ord, 'P' as alias, case when scope_id < stmt_id % 12 then 'SCOPE' else 'PHYSICAL' end as rel_kind,
+       case when scope_id = stmt_id % 12 then concat('SRC_S', stmt_id % 10) end as table_name,
+       case when scope_id < stmt_id % 12 then scope_id + 1 end as child_scope_id
+from {chain_scopes}
+"""
+
+FIXTURES["chain_projections"] = """
+select stmt_id, scope_id, 0 as ord, 'X' as output_name,
+       case when scope_id < stmt_id % 12 then 'P.X + P.X' else concat('P.K', stmt_id) end as expression
+from {chain_scopes}
+"""
+
+FIXTURES["chain_seeds"] = """
+select stmt_id, scope_id as root_ord, scope_id, expression from {chain_projections} where scope_id = 0
+"""
+
+# One catalog for the rules behind the plain look-ups: A: columns found below a
+# scope only; I: identities whose first child may lead nowhere; V: stars over
+# stars over a table outside the data model.
+FIXTURES["rule_scopes"] = """
+select s_suppkey as stmt_id, k as scope_id, nullif(p, -1) as parent_id, n as scope_name, t as kind,
+       case k when 5 then 0 when 6 then 1 end as branch_ord
+from {supplier} cross join (values
+  (0, -1, 'ROOT', 'ROOT'), (1, 0, 'ROOT/A', 'SUBQUERY'), (2, 1, 'ROOT/A/B', 'SUBQUERY'), (3, 2, 'ROOT/A/B/C', 'SUBQUERY'),
+  (4, 1, 'ROOT/A/U', 'UNION'), (5, 4, 'ROOT/A/U/B1', 'UNION_BRANCH'), (6, 4, 'ROOT/A/U/B2', 'UNION_BRANCH'),
+  (10, 0, 'ROOT/I', 'SUBQUERY'), (11, 10, 'ROOT/I/K1', 'SUBQUERY'), (12, 10, 'ROOT/I/K2', 'SUBQUERY'),
+  (20, 0, 'ROOT/V', 'SUBQUERY'), (21, 20, 'ROOT/V/W', 'SUBQUERY')) as v(k, p, n, t)
+"""
+
+FIXTURES["rule_relations"] = """
+select s_suppkey as stmt_id, k as scope_id, o as ord, a as alias, case when c >= 0 then 'SCOPE' else 'PHYSICAL' end as rel_kind,
+       case t when 'S' then concat('SRC_S', s_suppkey % 10) when 'D' then concat('DIM_N', s_nationkey)
+              when 'X' then concat('EXT_T', s_suppkey % 7) end as table_name,
+       nullif(c, -1) as child_scope_id
+from {supplier} cross join (values
+  (0, 0, 'A', '', 1), (0, 1, 'I', '', 10), (0, 2, 'V', '', 20), (1, 0, 'B', '', 2), (1, 1, 'U', '', 4), (2, 0, 'C', '', 3),
+  (3, 0, 'P', 'S', -1), (5, 0, 'Q', 'S', -1), (6, 0, 'R', 'D', -1), (10, 0, 'K1', '', 11), (10, 1, 'K2', '', 12),
+  (11, 0, 'T1', 'S', -1), (12, 0, 'T2', 'D', -1), (20, 0, 'W', '', 21), (21, 0, 'EXT', 'X', -1)) as v(k, o, a, t, c)
+"""
+
+FIXTURES["rule_projections"] = """
+select s_suppkey as stmt_id, k as scope_id, o as ord, n as output_name,
+       case e when 'P.K' then concat('P.K', s_suppkey) when 'T1.C1' then case when s_suppkey % 2 = 0 then 'Z.C1' else 'T1.C1' end
+              else e end as expression,
+       case e when '*' then 'ALL' end as star_kind, cast(null as varchar(10)) as star_alias
+from {supplier} cross join (values
+  (1, 0, 'OWN', 'B.BCOL'), (2, 0, 'BCOL', 'C.DEEP'), (3, 0, 'DEEP', 'P.K'), (5, 0, 'E1', 'Q.C1'), (5, 1, 'LATE0', 'Q.C2'),
+  (6, 0, 'F1', 'R.C1'), (6, 1, 'LATE', 'R.K7 + 1'), (10, 0, 'C1', 'C1'), (10, 1, 'C2', 'C2'), (11, 0, 'C1', 'T1.C1'),
+  (12, 0, 'C1', 'T2.K7'), (12, 1, 'C2', 'T2.C2'), (20, 0, '*', '*'), (21, 0, '*', '*')) as v(k, o, n, e)
+"""
+
+FIXTURES["rule_seeds"] = """
+select s_suppkey as stmt_id, o as root_ord, 0 as scope_id, e as expression
+from {supplier} cross join (values (0, 'A.DEEP'), (1, 'A.LATE || A.LATE0'), (2, 'A.GONE'), (3, 'I.C1'), (4, 'I.C2'),
+                                   (5, 'V.COLX + V.COLY')) as v(o, e)
+"""
+
 # Root-level expressions to resolve: every projection of scope 0.
 FIXTURES["resolve_seeds"] = """
 select stmt_id, ord as root_ord, scope_id, output_name as target_column, expression
