@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from columbine.llm.common import read_driver_file, text_bytes
 
 # Entries a worker's memo holds before its older half goes.
-MEMO_ENTRIES = 800_000
-# Longest stretch in the memo: it stays under 0.5 GB.
+MEMO_ENTRIES = 400_000
+# Longest stretch in the memo: it stays under 0.25 GB.
 MEMO_BYTES = 64
 
 # The pre-tokenizer pattern of byte-level BPE files.
@@ -230,7 +230,7 @@ class ByteBpe:
         for c in chunks:
             if c not in memo:
                 (memo if len(c) <= MEMO_BYTES else long)[c] = self._chunk(c)
-        ids = b"".join([memo[c] if c in memo else long[c] for c in chunks])
+        ids = b"".join([memo[c] for c in chunks] if not long else [memo[c] if c in memo else long[c] for c in chunks])
         self._trim()
         return ids
 

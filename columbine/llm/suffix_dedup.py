@@ -70,7 +70,7 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
 # Bytes hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 # A place on its way to its name's range: bits of the sample's number within
 # its text, bits of the text's hash.  Places that agree in them only add survivors.
 SAMPLE_BITS = 16
@@ -124,7 +124,7 @@ def _stirred(h: np.ndarray) -> np.ndarray:
 
 def _hashes(b: np.ndarray, p: np.ndarray, size: int, most: int) -> np.ndarray:
     """Hash of the ``size`` bytes from each place ``p`` of up to ``most`` bytes."""
-    up, down, byte = _powers(most)
+    up, down, byte = _powers(-(-most // (1 << 12)) << 12)  # few sizes
     total = np.empty(len(b) + 1, np.uint64)
     total[0] = 0
     np.cumsum(byte[b] * up[:len(b)], out=total[1:])
