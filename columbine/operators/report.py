@@ -160,6 +160,15 @@ def qa_compare(edges: DataFrame, stmts: DataFrame, text_col: str = "sql_text") -
         F.when(F.col("_deep") == F.col("_simple"), "Y").otherwise("N").alias("match"), F.lit("").alias("notes"))
 
 
+def join_table(joins: DataFrame, stmts: DataFrame) -> DataFrame:
+    """The join-key table (``JOIN_COLUMNS``), a row per key of every join.
+
+    ``joins``: output of ``join_conditions`` and ``merge_on_keys``; ``stmts``
+    has ``stmt_id``, ``sql_file`` and ``object_name``.
+    """
+    return joins.join(stmts.select("stmt_id", "sql_file", "object_name"), "stmt_id").select(*JOIN_COLUMNS)
+
+
 def write_outputs(outputs: dict[str, DataFrame], path: str, per_object: bool = False, mode: str = "overwrite") -> None:
     """Write the outputs (edges, joins, join_keys_exploded, summary, qa)
     as parquet, one folder each; ``per_object`` partitions by object name."""

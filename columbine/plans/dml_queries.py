@@ -148,6 +148,24 @@ def q_merge_on_keys(spark, sf_dir):
     return M.merge_on_keys(fx_(spark, sf_dir, "merge_on"))
 
 
+JOIN_TABLE_COLUMNS = ("join_seq, join_type, left_table, left_field, right_table, right_field, join_condition, join_filters, "
+                      "context_path")
+
+
+@register("join_table", needs=["join_conjuncts", "scopes", "merge_on", "root_scopes", "stmts"], oracle=f"""
+with {JOINS_SQL}, {MERGE_ON_SQL},
+j as (select stmt_id, {JOIN_TABLE_COLUMNS} from jc
+      union all select mk.stmt_id, {JOIN_TABLE_COLUMNS} from mk join root_scopes on root_scopes.stmt_id = mk.stmt_id)
+select sql_file, object_name, {JOIN_TABLE_COLUMNS} from j join stmts on stmts.stmt_id = j.stmt_id
+""")
+def q_join_table(spark, sf_dir):
+    """The join keys of every statement as the output table has them."""
+    joins = M.join_conditions(fx_(spark, sf_dir, "join_conjuncts"), fx_(spark, sf_dir, "scopes"))
+    merge = M.merge_on_keys(fx_(spark, sf_dir, "merge_on")).join(fx_(spark, sf_dir, "root_scopes").select("stmt_id"), "stmt_id")
+    columns = ["stmt_id", *RP.JOIN_COLUMNS[2:]]
+    return RP.join_table(joins.select(*columns).unionByName(merge.select(*columns)), fx_(spark, sf_dir, "stmts"))
+
+
 @register("non_column_refs", needs=["join_conjuncts", "relations", "dm_pairs"], oracle=r"""
 with refs as (select stmt_id, scope_id, join_pos, conj_pos, unnest(regexp_extract_all(condition,
                  '(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*(?:[.][A-Za-z_][A-Za-z0-9_]*)?)', 1)) as ref

@@ -37,6 +37,13 @@ def test_write_outputs_round_trip(spark, sf, tmp_path):
     back = spark.read.parquet(str(tmp_path / "edges"))
     assert back.count() == m.count()
     assert set(back.columns) == set(m.columns)
+    from columbine.operators.report import JOIN_COLUMNS
+    from columbine.plans import QUERIES
+
+    joins = QUERIES["join_table"].build(spark, sf)
+    write_outputs({"joins": joins}, str(tmp_path))
+    back = spark.read.parquet(str(tmp_path / "joins"))
+    assert back.columns == JOIN_COLUMNS and back.count() == joins.count() > 0
 
 
 def test_read_sql_corpus(spark, tmp_path):
