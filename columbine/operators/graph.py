@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from columbine.functions.text import layer_order, mapping_class, table_layer
 from columbine.operators.closure import ordered_index, reach
+from columbine.operators.reach_index import ReachIndex, build
 from columbine.session import RoundState
 
 DIRECT_TYPES = ["MAP", "MAPPING", ""]
@@ -337,6 +338,50 @@ def trace_objects(spark: SparkSession, mappings: DataFrame, objects: DataFrame |
     return out.groupBy("traced_object", *cols).agg(F.max("is_object_mapping").alias("is_object_mapping"))
 
 
+def field_index(spark: SparkSession, mappings: DataFrame, upstream: bool = True) -> ReachIndex:
+    """Reach index of the fields of a mapping table in one direction, for any
+    number of selections (``trace_selection``, ``object_selection``)."""
+    return build(spark, _field_graph(mappings, upstream), ["t", "f"])
+
+
+def _mappings_at(nodes: DataFrame, mappings: DataFrame, seed_cols: list[str], upstream: bool) -> DataFrame:
+    """The mappings that enter (upstream) or leave the reached fields."""
+    m = mappings.select("source_table", "source_field", "dest_table", "dest_field", "rules", "mapping_type",
+                        "object_name")
+    kt, kf = ("dest_table", "dest_field") if upstream else ("source_table", "source_field")
+    return nodes.join(m, (nodes["t"] == m[kt]) & (nodes["f"] == m[kf])).select(*seed_cols, *m.columns)
+
+
+def trace_selection(index: ReachIndex, mappings: DataFrame, seeds: DataFrame, upstream: bool = True) -> DataFrame:
+    """G1 for selected fields: the rows of ``trace_fields`` without the hop.
+
+    ``seeds`` has ``seed_table``, ``seed_field``; ``index`` is the
+    ``field_index`` of ``mappings`` in the same direction.  No rounds: label
+    rows of the seeds, the members behind them, and their mappings.  A seed
+    that no mapping knows gives no row.
+    """
+    s = seeds.select("seed_table", "seed_field", F.col("seed_table").alias("t"), F.col("seed_field").alias("f"))
+    cols = ["seed_table", "seed_field"]
+    return _mappings_at(index.reached(s, cols), mappings, cols, upstream)
+
+
+def object_selection(up: ReachIndex, down: ReachIndex, mappings: DataFrame, objects: DataFrame) -> DataFrame:
+    """G2 for selected objects (``object_name``): the rows of ``trace_objects``
+    by the indexes of both directions."""
+    cols = ["source_table", "source_field", "dest_table", "dest_field", "rules", "mapping_type", "object_name"]
+    own = mappings.where(~F.col("object_name").isin("", "nan")).join(
+        objects.select("object_name").distinct(), "object_name", "left_semi")
+    name = F.col("object_name").alias("traced_object")
+    above = up.reached(own.select(name, F.col("source_table").alias("t"), F.col("source_field").alias("f")),
+                       ["traced_object"])
+    below = down.reached(own.select(name, F.col("dest_table").alias("t"), F.col("dest_field").alias("f")),
+                         ["traced_object"])
+    far = _mappings_at(above, mappings, ["traced_object"], True).unionByName(
+        _mappings_at(below, mappings, ["traced_object"], False)).withColumn("is_object_mapping", F.lit(False))
+    return own.select(name, *cols, F.lit(True).alias("is_object_mapping")).unionByName(far) \
+        .groupBy("traced_object", *cols).agg(F.max("is_object_mapping").alias("is_object_mapping"))
+
+
 def regroup_trace(traced: DataFrame, key_cols=("seed_table", "seed_field")) -> DataFrame:
     """Traced field mappings -> table edges with their mapping count and,
     where the mappings have a ``change_type``, that of the edge's first mapping

@@ -15,6 +15,11 @@ from columbine.sources.io import read_column_catalog
 # Search terms a user typed (a parameter of the search operators).
 SEARCH_TERMS = ["k1", "dim_n1", "t2t_r", "stg_c3.k7", "zzz"]
 
+# What a user clicked: tables whose fields are traced, and objects.  The last of
+# each is unknown.
+SELECTED_TABLES = ["RPT_R1", "DIM_N1", "NO_SUCH_TABLE"]
+SELECTED_OBJECTS = ["T2T_BACK", "T2T_R1", "NO_SUCH_OBJECT"]
+
 V1 = f"v1 as ({canon_sql('map_v1')})"
 V2 = f"v2 as ({canon_sql('map_v2')})"
 CYC = f"cyc as ({canon_sql('map_cyclic')})"
@@ -425,6 +430,102 @@ def q_neighbourhood(spark, sf_dir):
     return G.neighbourhood(m, seeds)
 
 
+# the selected tables' fields; walks from them only
+SELECTED_SQL = "(" + ", ".join(f"'{t}'" for t in SELECTED_TABLES) + ")"
+SELECTED_SEEDS_SQL = f"""
+eu as (select distinct dest_table as st, dest_field as sf, source_table as dt, source_field as df from cyc),
+ed as (select distinct source_table as st, source_field as sf, dest_table as dt, dest_field as df from cyc),
+seeds as (select source_table as seed_table, source_field as seed_field from cyc where source_table in {SELECTED_SQL}
+          union select dest_table, dest_field from cyc where dest_table in {SELECTED_SQL}),
+ru(seed_table, seed_field, t, f) as (select seed_table, seed_field, seed_table, seed_field from seeds
+  union select ru.seed_table, ru.seed_field, eu.dt, eu.df from ru join eu on ru.t = eu.st and ru.f = eu.sf),
+rd(seed_table, seed_field, t, f) as (select seed_table, seed_field, seed_table, seed_field from seeds
+  union select rd.seed_table, rd.seed_field, ed.dt, ed.df from rd join ed on rd.t = ed.st and rd.f = ed.sf)
+"""
+
+
+def _selected_seeds(m):
+    ends = m.select(F.col("source_table").alias("seed_table"), F.col("source_field").alias("seed_field")).union(
+        m.select("dest_table", "dest_field"))
+    return ends.where(F.col("seed_table").isin(SELECTED_TABLES)).distinct()
+
+
+@register("trace_selection", needs=["map_cyclic"], oracle=f"""
+with recursive {CYC}, {SELECTED_SEEDS_SQL}
+select 'up' as direction, r.seed_table, r.seed_field, {', '.join('m.' + c for c in MAP_COLS.split(', '))}
+from ru r join cyc m on m.dest_table = r.t and m.dest_field = r.f
+union all
+select 'down', r.seed_table, r.seed_field, {', '.join('m.' + c for c in MAP_COLS.split(', '))}
+from rd r join cyc m on m.source_table = r.t and m.source_field = r.f
+""")
+def q_trace_selection(spark, sf_dir):
+    """G1: every mapping above and below the fields of the selected tables, by the reach index."""
+    m = mappings(spark, sf_dir, "map_cyclic")
+    seeds = _selected_seeds(m)
+    up = G.trace_selection(G.field_index(spark, m, True), m, seeds, True)
+    down = G.trace_selection(G.field_index(spark, m, False), m, seeds, False)
+    return up.withColumn("direction", F.lit("up")).unionByName(down.withColumn("direction", F.lit("down")))
+
+
+@register("selection_edges", needs=["map_cyclic"], oracle=f"""
+with recursive {CYC}, {SELECTED_SEEDS_SQL}
+select r.seed_table, r.seed_field, m.source_table, m.dest_table, count(*) as mapping_count
+from ru r join cyc m on m.dest_table = r.t and m.dest_field = r.f group by all
+""")
+def q_selection_edges(spark, sf_dir):
+    """Upstream traces of the selected fields regrouped into table edges, by the reach index."""
+    m = mappings(spark, sf_dir, "map_cyclic")
+    return G.regroup_trace(G.trace_selection(G.field_index(spark, m, True), m, _selected_seeds(m), True))
+
+
+@register("object_selection", needs=["map_cyclic"], oracle=f"""
+with recursive {CYC},
+own as (select * from cyc where object_name in ({', '.join(f"'{o}'" for o in SELECTED_OBJECTS)})),
+eu as (select distinct dest_table as st, dest_field as sf, source_table as dt, source_field as df from cyc),
+ed as (select distinct source_table as st, source_field as sf, dest_table as dt, dest_field as df from cyc),
+ru(o, t, f) as (select object_name, source_table, source_field from own
+  union select ru.o, eu.dt, eu.df from ru join eu on ru.t = eu.st and ru.f = eu.sf),
+rd(o, t, f) as (select object_name, dest_table, dest_field from own
+  union select rd.o, ed.dt, ed.df from rd join ed on rd.t = ed.st and rd.f = ed.sf),
+x as (
+  select object_name as traced_object, {MAP_COLS}, true as flag from own
+  union all
+  select ru.o, {', '.join('m.' + c for c in MAP_COLS.split(', '))}, false
+  from ru join cyc m on m.dest_table = ru.t and m.dest_field = ru.f
+  union all
+  select rd.o, {', '.join('m.' + c for c in MAP_COLS.split(', '))}, false
+  from rd join cyc m on m.source_table = rd.t and m.source_field = rd.f)
+select traced_object, {MAP_COLS}, bool_or(flag) as is_object_mapping from x group by all
+""")
+def q_object_selection(spark, sf_dir):
+    """Selected objects' mappings plus everything above and below them, by the reach index."""
+    m = mappings(spark, sf_dir, "map_cyclic")
+    objects = m.select("object_name").where(F.col("object_name").isin(SELECTED_OBJECTS))
+    return G.object_selection(G.field_index(spark, m, True), G.field_index(spark, m, False), m, objects)
+
+
+@register("neighbourhood_selection", needs=["map_v1"], oracle=f"""
+with {V1},
+e as (select distinct source_table, dest_table from v1),
+s as (select distinct table_name as seed_table from
+      (select source_table as table_name from v1 union select dest_table from v1) t where table_name in {SELECTED_SQL}),
+d1 as (select seed_table, source_table, dest_table from s join e on e.source_table = s.seed_table),
+u1 as (select seed_table, source_table, dest_table from s join e on e.dest_table = s.seed_table),
+f as (select distinct seed_table, table_name from (
+        select seed_table, dest_table as table_name from d1 union all select seed_table, source_table from u1) z
+      where table_name <> seed_table)
+select distinct * from (
+  select * from d1 union all select * from u1
+  union all select f.seed_table, e.source_table, e.dest_table from f join e on e.source_table = f.table_name
+  union all select f.seed_table, e.source_table, e.dest_table from f join e on e.dest_table = f.table_name) z
+""")
+def q_neighbourhood_selection(spark, sf_dir):
+    """Two-hop neighbourhood of the selected tables."""
+    m = mappings(spark, sf_dir)
+    seeds = G.all_tables(m).where(F.col("table_name").isin(SELECTED_TABLES))
+    return G.neighbourhood(m, seeds.select(F.col("table_name").alias("seed_table")))
+
+
 DEPTH_SQL = f"""
 {TABLES_SQL},
 e as (select distinct source_table, dest_table from v1),
