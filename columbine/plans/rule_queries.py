@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from columbine.operators import catalog as C
 from columbine.operators import resolve as R
+from columbine.operators.similar import closest_match
 from columbine.plans.registry import register
 from columbine.plans.resolve_queries import CAT, RESOLVE_SQL, catalog_frames
 from columbine.plans.text_queries import d_column_refs
@@ -139,3 +140,21 @@ def q_resolve_scalars(spark, sf_dir):
     seeds = scalars.select("stmt_id", F.col("expr_id").alias("root_ord"), "scope_id", "expression")
     return R.resolve_refs(spark, seeds, scopes.unionByName(inner.select(*scopes.columns)),
                           rel.unionByName(g("scalar_relations")), proj.unionByName(g("scalar_projections")), dm, scalars=scalars)
+
+
+@register("closest_column", needs=["named_columns", "near_names"], oracle="""
+with scored as (
+  select t.name_id, c.column_name, c.ordinal,
+         len(list_filter(string_split(upper(t.target), ''), lambda ch: contains(upper(c.column_name), ch)))
+           / greatest(length(t.target), length(c.column_name)) as score
+  from near_names t join named_columns c on t.table_name = c.table_name),
+best as (select name_id, arg_min(column_name, (-score, ordinal)) as column_name, max(score) as score
+         from scored where score > 0.5 group by name_id),
+lead as (select table_name, arg_min(column_name, ordinal) as column_name from named_columns group by table_name)
+select t.name_id, t.table_name, t.target, coalesce(b.column_name, l.column_name) as closest, b.score
+from near_names t left join best b on b.name_id = t.name_id left join lead l on l.table_name = t.table_name
+""")
+def q_closest_column(spark, sf_dir):
+    """The closest column name of its table for every name, else the table's first column."""
+    names, columns = (fx.spark_fixture(spark, sf_dir, n) for n in ("near_names", "named_columns"))
+    return closest_match(names, columns, ["table_name"], name_col="column_name")

@@ -111,6 +111,22 @@ select table_name, column_name, 'VARCHAR2' as data_type,
 from {dm_pairs}
 """
 
+# Column names of a table per brand, and names near to them: cut words, digits
+# behind, and tables without columns.
+FIXTURES["named_columns"] = """
+select concat('PRODUCT_', p_brand) as table_name,
+       upper(concat(p_type, '_', replace(p_name, ' ', '_'), '_', p_size)) as column_name, p_partkey as ordinal
+from {part}
+"""
+
+FIXTURES["near_names"] = """
+select concat('p', p_partkey) as name_id, concat('PRODUCT_', p_brand) as table_name,
+       concat(substr(p_type, 1, 4), '_', replace(p_name, ' ', ''), p_size) as target
+from {part}
+union all
+select concat('s', s_suppkey), concat('PRODUCT_Brand#', s_nationkey), s_name from {supplier}
+"""
+
 # --- SQL statements ---------------------------------------------------------
 FIXTURES["stmts"] = """
 select s_suppkey as stmt_id, concat('T2T_N', s_nationkey, '_', s_suppkey) as sql_file,
