@@ -89,16 +89,15 @@ def nested_scopes(spark: SparkSession, relations: DataFrame) -> DataFrame:
         F.col("hop").alias("sub_dist"))
 
 
-def visible_relations(scopes: DataFrame, relations: DataFrame, closure: DataFrame) -> DataFrame:
-    """Which relation each alias means in each scope.
-
-    Candidates by rank: at the scope itself, then at each ancestor in turn
-    (``level``): own relations (0), CTEs defined there (1), SCOPE relations of
-    the scopes it reads (2), PHYSICAL relations of those (3), and then, for a
-    union, the same four at each of its branches in turn (4); nested
-    candidates by depth, then scope id, then relation order.  The first
-    candidate wins (``row_number() = 1`` per scope and alias).
-    Returns (stmt_id, scope_id, alias, rel_kind, table_name, child_scope_id, level).
+def relations_at(scopes: DataFrame, relations: DataFrame) -> DataFrame:
+    """The relation an alias means at a scope before its ancestors are
+    asked: (stmt_id, anc_id, alias, rel_kind, table_name, child_scope_id).
+
+    Own relations first (0), then CTEs defined there (1), SCOPE relations of the
+    scopes it reads (2), PHYSICAL relations of those (3), and then, for a
+    union, the same four at each of its branches in turn (4); nested candidates
+    by depth, then scope id, then relation order.  One row per scope and alias,
+    reduced before any scope is paired with its ancestors.
     """
     rel = relations.select("stmt_id", F.col("scope_id").alias("at_scope"), "ord", F.upper("alias").alias("alias"),
                            "rel_kind", "table_name", "child_scope_id")
@@ -113,20 +112,56 @@ def visible_relations(scopes: DataFrame, relations: DataFrame, closure: DataFram
     nested = below.join(rel, ["stmt_id", "at_scope"]).select(
         "stmt_id", "at_scope", "ord", "alias", "rel_kind", "table_name", "child_scope_id", "anc_id",
         F.when(F.col("rel_kind") == "SCOPE", 2).otherwise(3).alias("cat"), "sub_dist")
-    at = own.unionByName(ctes).unionByName(nested).withColumns({"branch": F.lit(-1), "branch_cat": F.lit(0)})
+    means = F.struct("rel_kind", "table_name", "child_scope_id")
+    keys = ["stmt_id", "anc_id", "alias"]
+
+    def first(df, *rank):
+        return df.groupBy(*keys).agg(F.min(F.struct(*rank)).alias("rank"),
+                                     F.min_by(means, F.struct(*rank)).alias("means"))
+
+    plain = first(own.unionByName(ctes).unionByName(nested).withColumn("branch", F.lit(-1)),
+                  "cat", "branch", F.lit(0).alias("branch_cat"), "sub_dist", "at_scope", "ord", "child_scope_id")
     branches = scopes.where(F.col("kind") == "UNION_BRANCH").select(
         "stmt_id", F.col("scope_id").alias("anc_id"), F.col("parent_id").alias("union_id"),
-        F.coalesce("branch_ord", F.lit(0)).alias("_b"))
-    in_branch = at.join(branches, ["stmt_id", "anc_id"]).select(
-        *[F.col(c) for c in at.columns if c not in ("anc_id", "cat", "branch", "branch_cat")],
-        F.col("union_id").alias("anc_id"), F.lit(4).alias("cat"), F.col("_b").alias("branch"),
-        F.col("cat").alias("branch_cat"))
+        F.coalesce("branch_ord", F.lit(0)).alias("branch"))
+    r = F.col("rank")
+    in_branch = plain.join(branches, ["stmt_id", "anc_id"]).select(
+        "stmt_id", F.col("union_id").alias("anc_id"), "alias", F.struct(
+            F.lit(4).alias("cat"), "branch", r["cat"].alias("branch_cat"), r["sub_dist"].alias("sub_dist"),
+            r["at_scope"].alias("at_scope"), r["ord"].alias("ord"),
+            r["child_scope_id"].alias("child_scope_id")).alias("rank"), "means")
+    return plain.unionByName(in_branch).groupBy(*keys).agg(F.min_by("means", "rank").alias("m")).select(*keys, "m.*")
+
+
+def visible_asked(asked: DataFrame, at: DataFrame, closure: DataFrame) -> DataFrame:
+    """J4 for the (stmt_id, scope_id, alias) rows of ``asked`` only.
+
+    Each is matched to ``relations_at`` of its scope and of its ancestors in
+    turn; the nearest wins.  Rows grow with what is asked and how deep it
+    stands, not with the relations that could be seen.  Columns as in
+    ``visible_relations``; what nothing answers is absent.
+    """
+    up = closure.select("stmt_id", "scope_id", F.col("ancestor_id").alias("anc_id"), F.col("distance").alias("level"))
+    cand = asked.select("stmt_id", "scope_id", "alias").distinct().join(up, ["stmt_id", "scope_id"]) \
+        .join(at, ["stmt_id", "anc_id", "alias"])
+    return _nearest(cand)
+
+
+def _nearest(cand: DataFrame) -> DataFrame:
+    return cand.groupBy("stmt_id", "scope_id", "alias").agg(F.min_by(
+        F.struct("rel_kind", "table_name", "child_scope_id", "level"), "level").alias("m")) \
+        .select("stmt_id", "scope_id", "alias", "m.*")
+
+
+def visible_relations(scopes: DataFrame, relations: DataFrame, closure: DataFrame) -> DataFrame:
+    """Which relation each alias means in each scope: the one of
+    ``relations_at`` at the scope itself, else at the nearest ancestor that has
+    the alias (``level`` edges up).  All aliases of all scopes; for those
+    that references name see ``visible_asked``.
+    Returns (stmt_id, scope_id, alias, rel_kind, table_name, child_scope_id, level).
+    """
     up = closure.select("stmt_id", "scope_id", F.col("ancestor_id").alias("anc_id"), F.col("distance").alias("level"))
-    cand = up.join(at.unionByName(in_branch), ["stmt_id", "anc_id"])
-    w = Window.partitionBy("stmt_id", "scope_id", "alias").orderBy(
-        "level", "cat", "branch", "branch_cat", "sub_dist", "at_scope", "ord")
-    return (cand.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .select("stmt_id", "scope_id", "alias", "rel_kind", "table_name", "child_scope_id", "level"))
+    return _nearest(up.join(relations_at(scopes, relations), ["stmt_id", "anc_id"]))
 
 
 def exists_relations(relations: DataFrame, exists_tables: DataFrame) -> DataFrame:

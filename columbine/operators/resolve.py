@@ -63,7 +63,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from columbine.functions.text import column_refs, is_constant, normalize_identifier, normalize_ws, py_strip
-from columbine.operators.catalog import scope_closure, visible_relations, with_defaults
+from columbine.operators.catalog import relations_at, scope_closure, visible_asked, with_defaults
 from columbine.session import RoundState
 
 MAX_DEPTH = 50
@@ -154,8 +154,9 @@ class Catalog:
                            (F.row_number().over(w) - 1).alias("pos"))
         self.scalars = scalars
         self.proj = hold(with_parts(plain, scalars, projections, rel, scopes))
-        self.closure = hold(scope_closure(spark, scopes))
-        self.vis = keep(visible_relations(scopes, rel, self.closure))
+        # aliases are looked up when references name them, from these two
+        self.closure = keep(scope_closure(spark, scopes))
+        self.rel_at = keep(relations_at(scopes, rel))
         self.names = scopes.select("stmt_id", "scope_id", "scope_name", "parent_id")
         br = scopes.where(F.col("kind") == "UNION_BRANCH").select(
             "stmt_id", F.col("parent_id").alias("union_id"), F.col("scope_id").alias("branch_id"),
@@ -330,8 +331,10 @@ def _looked_up(tasks: DataFrame, cat: Catalog) -> DataFrame:
     has = dotted & (F.size(part) > 1)
     f = tasks.withColumns({"_alias": F.when(has, F.trim(part[0])),
                            "_col": F.when(has, F.trim(part[1])).otherwise(F.trim("ref"))})
-    v = cat.vis.select("stmt_id", "scope_id", F.col("alias").alias("_alias"), F.col("rel_kind").alias("_rk"),
-                       F.col("table_name").alias("_rt"), F.col("child_scope_id").cast("long").alias("_target"))
+    asked = f.where(F.col("_alias").isNotNull()).select("stmt_id", "scope_id", F.col("_alias").alias("alias"))
+    v = visible_asked(asked, cat.rel_at, cat.closure).select(
+        "stmt_id", "scope_id", F.col("alias").alias("_alias"), F.col("rel_kind").alias("_rk"),
+        F.col("table_name").alias("_rt"), F.col("child_scope_id").cast("long").alias("_target"))
     f = f.join(v, ["stmt_id", "scope_id", "_alias"], "left")
     si, ni = cat.scope_info, cat.name_info
     f = f.join(si.select("stmt_id", "scope_id", *[F.col(c).alias("S_" + c) for c in si.columns[2:]]),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from columbine.functions.text import column_refs
 from columbine.operators import catalog as C
 from columbine.operators import resolve as R
 from columbine.plans.registry import register
@@ -64,6 +65,25 @@ def q_visible_relations(spark, sf_dir):
     return C.visible_relations(C.with_defaults(scopes), rel, cl)
 
 
+ASKED_SQL = f"""asked as (
+  select distinct stmt_id, scope_id, split_part(ref, '.', 1) as alias
+  from (select stmt_id, scope_id, unnest({d_column_refs('expression')}) as ref from projections) z
+  where contains(ref, '.'))"""
+
+
+@register("visible_asked", needs=CAT, oracle=f"""
+with recursive {VIS_SQL}, {ASKED_SQL}
+select v.* from vis v join asked a on a.stmt_id = v.stmt_id and a.scope_id = v.scope_id and a.alias = v.alias
+""")
+def q_visible_asked(spark, sf_dir):
+    """J4 on demand: the relations that the aliases of the projections' references mean."""
+    scopes, rel, proj, _ = catalog_frames(spark, sf_dir)
+    s = C.with_defaults(scopes)
+    asked = proj.select("stmt_id", "scope_id", F.explode(column_refs("expression")).alias("ref")) \
+        .where(F.col("ref").contains(".")).select("stmt_id", "scope_id", F.split_part("ref", F.lit("."), F.lit(1)).alias("alias"))
+    return C.visible_asked(asked, C.relations_at(s, rel), C.scope_closure(spark, s))
+
+
 @register("exists_relations", needs=CAT + ["exists_tables"], oracle="""
 with add as (select distinct on (stmt_id, scope_id, upper(coalesce(alias, table_name)))
                stmt_id, scope_id, upper(coalesce(alias, table_name)) as alias, upper(table_name) as table_name

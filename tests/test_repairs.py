@@ -117,3 +117,26 @@ def test_union_branch_aliases(spark):
                    (1, 2, 0, "P", "PHYSICAL", "T1", None), (1, 3, 0, "P", "PHYSICAL", "T2", None),
                    (1, 3, 1, "Q", "PHYSICAL", "T3", None)])
     assert got[1, "P"] == "T1" and got[1, "Q"] == "T3" and got[3, "P"] == "T2" and got[0, "P"] == "OUTER_P"
+
+
+def test_asked_aliases_only(spark):
+    """Only what is asked is matched, with the answers of the whole table."""
+    from columbine.operators import catalog as C
+
+    s = C.with_defaults(spark.createDataFrame(
+        [(1, k, k - 1 if k else None, f"L{k}", "SUBQUERY" if k else "ROOT", None) for k in range(5)],
+        "stmt_id int, scope_id int, parent_id int, scope_name string, kind string, branch_ord int"))
+    r = spark.createDataFrame([(1, k, o, f"a{o}" if o else "X", "PHYSICAL", f"T{k}_{o}", None)
+                               for k in range(5) for o in range(4)] +
+                              [(1, k, 9, "SUB", "SCOPE", None, k + 1) for k in range(4)],
+                              "stmt_id int, scope_id int, ord int, alias string, rel_kind string, table_name string, "
+                              "child_scope_id int")
+    closure, at = C.scope_closure(spark, s), C.relations_at(s, r)
+    asked = spark.createDataFrame([(1, 4, "X"), (1, 4, "SUB"), (1, 0, "A3"), (1, 0, "A3"), (1, 2, "NONE"), (2, 0, "X")],
+                                  "stmt_id int, scope_id int, alias string")
+    got = {(x.scope_id, x.alias): (x.table_name, x.child_scope_id, x.level)
+           for x in C.visible_asked(asked, at, closure).collect()}
+    assert got == {(4, "X"): ("T4_0", None, 0), (4, "SUB"): (None, 4, 1), (0, "A3"): ("T0_3", None, 0)}
+    every = C.visible_relations(s, r, closure)
+    assert set(got) <= {(x.scope_id, x.alias) for x in every.collect()}
+    assert C.visible_asked(asked, at, closure).exceptAll(every).isEmpty()
