@@ -275,11 +275,6 @@ def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_ta
     return join_key_rows(items, res)
 
 
-def drop_merge_targets(exploded: DataFrame) -> DataFrame:
-    """MERGE ON rows that stay UNRESOLVED (the target side) leave the edge table."""
-    return exploded.where(~((F.col("join_type") == "MERGE") & (F.col("source_type") == "UNRESOLVED")))
-
-
 # ---- v1: mapping spec ----------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from columbine.functions.text import layer_order, mapping_class, table_layer
 from columbine.operators.closure import ordered_index, reach
 from columbine.operators.reach_index import ReachIndex, build
+from columbine.operators.substring_index import SubstringIndex
 from columbine.session import RoundState
 
 DIRECT_TYPES = ["MAP", "MAPPING", ""]
@@ -252,7 +253,17 @@ def search(index: DataFrame, terms: list[str], limit: int = SEARCH_LIMIT) -> Dat
     index row (map-only, no join); the per-term top-``limit`` is a window
     group limit, applied partially before the shuffle.
     """
-    hits = index.withColumn("term", F.explode(_terms_hit(F.col("search_text"), terms)))
+    return _top(index.withColumn("term", F.explode(_terms_hit(F.col("search_text"), terms))), limit)
+
+
+def search_terms(index: DataFrame, terms: DataFrame, by: SubstringIndex, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """T4 for a table of terms (``term``) through a substring index of the
+    entries' ``search_text``: a term reads the list of one of its runs, not every
+    entry."""
+    return _top(index.join(by.lookup(terms).withColumnRenamed("text", "search_text"), "search_text"), limit)
+
+
+def _top(hits: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("term").orderBy(
         F.when(F.col("kind") == "object", 1).otherwise(0), F.coalesce("table_name", "object_name"),
         "ord_kind", F.coalesce("field_name", F.lit("")))

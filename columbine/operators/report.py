@@ -62,10 +62,14 @@ def mapping_edges(assignments: DataFrame, resolved: DataFrame, stmts: DataFrame)
         "stmt_id")
 
 
+def drop_merge_targets(exploded: DataFrame) -> DataFrame:
+    """MERGE ON rows that stay UNRESOLVED (the target side) leave the edge table."""
+    return exploded.where(~((F.col("join_type") == "MERGE") & (F.col("source_type") == "UNRESOLVED")))
+
+
 def join_edges(exploded: DataFrame, stmts: DataFrame) -> DataFrame:
     """JOIN rows from exploded join keys (C8: unresolved MERGE target sides dropped)."""
-    e = exploded.where(~((F.col("join_type") == "MERGE") & (F.col("source_type") == "UNRESOLVED")))
-    e = e.join(stmts.select("stmt_id", "sql_file", "object_name"), "stmt_id")
+    e = drop_merge_targets(exploded).join(stmts.select("stmt_id", "sql_file", "object_name"), "stmt_id")
     oref = F.when(F.col("original_alias") != "", F.concat("original_alias", F.lit("."), "original_field")) \
         .otherwise(F.col("original_field"))
     return e.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from columbine.functions.text import mapping_class, table_layer, layer_order
 from columbine.operators import delta as D
 from columbine.operators import graph as G
+from columbine.operators import substring_index
 from columbine.plans.delta_queries import DELTA_SQL, mappings
 from columbine.plans.registry import canon_sql, register
 from columbine.sources import fixtures as fx
@@ -291,6 +292,25 @@ def q_search_top15(spark, sf_dir):
     return G.search(idx, SEARCH_TERMS)
 
 
+@register("search_terms", needs=MAPS, oracle=f"""
+with {V1}, {V2}, {SEARCH_INDEX_SQL},
+terms as (select distinct lower(trim(object_name)) as term from v1 where trim(object_name) <> ''
+          union select lower(dest_field) from v1 where dest_field <> ''
+          union select term from (values {', '.join(f"('{t}')" for t in SEARCH_TERMS)}) as s(term)),
+hits as (select i.*, term from idx i join terms on contains(lower(display), term)),
+r as (select *, row_number() over (partition by term order by case when kind = 'object' then 1 else 0 end,
+        coalesce(table_name, object_name), ord_kind, coalesce(field_name, '')) as rank from hits)
+select term, rank, kind, display, table_name, field_name, object_name, mapping_count from r where rank <= 15
+""")
+def q_search_terms(spark, sf_dir):
+    """T4: first 15 index entries for every object and field name as a term, through the substring index."""
+    v1, v2 = mappings(spark, sf_dir, "map_v1"), mappings(spark, sf_dir, "map_v2")
+    idx = G.search_index(v1, v2)
+    typed = spark.createDataFrame([(t,) for t in SEARCH_TERMS], "term string")
+    terms = v1.select(F.col("object_name").alias("term")).union(v1.select("dest_field")).union(typed)
+    return G.search_terms(idx, terms, substring_index.build(idx, "search_text"))
+
+
 @register("filter_tables", needs=MAPS, oracle=f"""
 with {V1}, {V2}, {TABLES_SQL}, {FIELDS_SQL},
 nh as (select table_name, term from tabs join {_terms_sql('table_name')}),
