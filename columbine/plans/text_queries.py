@@ -287,7 +287,7 @@ def q_edge_keys(spark, sf_dir):
                     .alias("mapping_key"), "rules")
 
 
-@register("bulk_split", needs=["documents"], oracle=f"""
+BULK_SQL = f"""
 with c as (select doc_id, list_filter(string_split_regex({d_py_strip('coalesce(text, ' + chr(39) + chr(39) + ')')},
               {q(chr(10) + WS + '*' + chr(10))}), lambda x: {d_py_strip('x')} <> '') as chunks from documents),
 u as (select doc_id, unnest(chunks) as chunk, unnest(range(1, len(chunks) + 1)) as position from c),
@@ -297,10 +297,22 @@ select doc_id, position, sql_text,
        then {d_upper(d_py_strip("regexp_extract(sql_text, " + q(T.BULK_NAME) + ", 1)"))}
        else 'UNKNOWN_' || position end as object_name
 from s
-""")
+"""
+
+
+@register("bulk_split", needs=["documents"], oracle=BULK_SQL)
 def q_bulk_split(spark, sf_dir):
     """S8 + W6: every document as a bulk file, split into statements."""
     from columbine.sources.corpus import split_bulk_sql
 
     d = fx.base_table(spark, sf_dir, "documents").select("doc_id", "text")
     return split_bulk_sql(d, "text", ["doc_id"]).select("doc_id", "position", "sql_text", "object_name")
+
+
+@register("bulk_lines", needs=["documents"], oracle=BULK_SQL)
+def q_bulk_lines(spark, sf_dir):
+    """S8 + W6: every document as a bulk file that is read by lines, which any task may hold."""
+    from columbine.sources.corpus import split_bulk_lines
+
+    d = fx.base_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return split_bulk_lines(d, ["doc_id"], ["at"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from columbine.functions import text as T
+from columbine.operators.closure import ordered_index
 
 
 def read_sql_corpus(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
@@ -43,16 +44,50 @@ def split_bulk_sql(df: DataFrame, text_col: str = "text", key_cols: list[str] |
     chunks = F.split(T.py_strip(F.coalesce(F.col(text_col), F.lit(""))), T.BULK_SEPARATOR, -1)
     chunks = F.filter(chunks, lambda c: T.py_strip(c) != "")
     out = df.select(*keys, F.posexplode(chunks).alias("_pos", "_chunk"))
+    return _statements(out, keys)
+
+
+def _statements(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Position, text and object name of numbered chunks (``_pos`` from 0, ``_chunk``)."""
     sql = T.py_strip(F.col("_chunk"))
     named = F.upper(T.py_strip(F.regexp_extract(sql, T.BULK_NAME, 1)))
     position = (F.col("_pos") + 1).cast("long")
-    return out.select(
+    return chunks.select(
         *keys, position.alias("position"), sql.alias("sql_text"),
         F.when(sql.rlike(T.BULK_NAME), named).otherwise(F.concat(F.lit("UNKNOWN_"), position.cast("string")))
         .alias("object_name"),
     )
 
 
+def split_bulk_lines(lines: DataFrame, key_cols: list[str], order_cols: list[str], line_col: str = "line") -> DataFrame:
+    """S8 + W6 for texts too long for one task: the rows of ``split_bulk_sql``
+    from their lines.
+
+    Lines are numbered over the whole text (``ordered_index``: a text spreads
+    over many tasks).  A statement is a run of lines that are not blank, so its
+    line numbers less their rank among such lines are one value, which grows
+    from run to run; a run that lies in two ranges of a file has the same value in
+    both.  A null line is blank.  A task holds one statement's lines.
+    """
+    rows = lines.select(*key_cols, *order_cols, F.coalesce(line_col, F.lit("")).alias("_line"))
+    at = ordered_index(rows, key_cols, order_cols, index_col="_at", size_col=None)
+    full = at.where(T.py_strip(F.col("_line")) != "").select(*key_cols, "_at", "_line")
+    run = ordered_index(full, key_cols, ["_at"], index_col="_rank", size_col=None)
+    parts = F.array_sort(F.collect_list(F.struct("_at", "_line")))
+    chunks = run.groupBy(*key_cols, (F.col("_at") - F.col("_rank")).alias("_run")).agg(
+        F.array_join(F.transform(parts, lambda x: x["_line"]), "\n").alias("_chunk"))
+    return _statements(ordered_index(chunks, key_cols, ["_run"], index_col="_pos", size_col=None), key_cols)
+
+
+def read_bulk_files(spark: SparkSession, path: str) -> DataFrame:
+    """Bulk SQL files read in ranges by many tasks: (sql_path, position,
+    sql_text, object_name).  Statements that span ranges are put together."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("sql_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    return split_bulk_lines(lines, ["sql_path"], ["_block", "_row"])
+
+
 def latest_manifest(manifest: DataFrame, order_col: str = "run_ord") -> DataFrame:
     """Latest status per object (append-only manifest, newest run wins)."""
     return manifest.groupBy("object_name").agg(F.max_by("status", order_col).alias("status"))
