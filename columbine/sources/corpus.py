@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from columbine.functions import text as T
 from columbine.operators.closure import ordered_index
+from columbine.session import RoundState
 
 
 def read_sql_corpus(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
@@ -67,25 +68,37 @@ def split_bulk_lines(lines: DataFrame, key_cols: list[str], order_cols: list[str
     over many tasks).  A statement is a run of lines that are not blank, so its
     line numbers less their rank among such lines are one value, which grows
     from run to run; a run that lies in two ranges of a file has the same value in
-    both.  A null line is blank.  A task holds one statement's lines.
+    both.  Numbering moves keys and order only; the texts are shuffled to their
+    numbers and to their statements.  A null line is blank, lines with a null key
+    are left out.  A task holds one statement's lines.  ``order_cols`` name a line
+    of a key and must be the same whenever ``lines`` is read.
     """
-    rows = lines.select(*key_cols, *order_cols, F.coalesce(line_col, F.lit("")).alias("_line"))
-    at = ordered_index(rows, key_cols, order_cols, index_col="_at", size_col=None)
-    full = at.where(T.py_strip(F.col("_line")) != "").select(*key_cols, "_at", "_line")
-    run = ordered_index(full, key_cols, ["_at"], index_col="_rank", size_col=None)
-    parts = F.array_sort(F.collect_list(F.struct("_at", "_line")))
-    chunks = run.groupBy(*key_cols, (F.col("_at") - F.col("_rank")).alias("_run")).agg(
+    place = [*key_cols, *order_cols]
+    rows = lines.select(*place, F.coalesce(line_col, F.lit("")).alias("_line"))
+    rows = rows.withColumn("_full", T.py_strip(F.col("_line")) != "")
+    at = ordered_index(rows.select(*place, "_full"), key_cols, order_cols, index_col="_at", size_col=None)
+    full = at.where("_full").select(*place, "_at")
+    run = ordered_index(full, key_cols, ["_at"], index_col="_rank", size_col=None).select(
+        *place, (F.col("_at") - F.col("_rank")).alias("_run"))
+    runs = ordered_index(run.select(*key_cols, "_run").distinct(), key_cols, ["_run"], index_col="_pos", size_col=None)
+    numbered = run.join(runs, [*key_cols, "_run"]).select(*place, "_pos")
+    parts = F.array_sort(F.collect_list(F.struct(*order_cols, "_line")))
+    chunks = rows.where("_full").select(*place, "_line").join(numbered, place).groupBy(*key_cols, "_pos").agg(
         F.array_join(F.transform(parts, lambda x: x["_line"]), "\n").alias("_chunk"))
-    return _statements(ordered_index(chunks, key_cols, ["_run"], index_col="_pos", size_col=None), key_cols)
+    return _statements(chunks, key_cols)
 
 
 def read_bulk_files(spark: SparkSession, path: str) -> DataFrame:
     """Bulk SQL files read in ranges by many tasks: (sql_path, position,
-    sql_text, object_name).  Statements that span ranges are put together."""
+    sql_text, object_name).  Statements that span ranges are put together.
+
+    The lines are written once before they are numbered: how a file is cut into
+    ranges may change from one reading to the next.
+    """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("sql_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    return split_bulk_lines(lines, ["sql_path"], ["_block", "_row"])
+    return split_bulk_lines(RoundState(spark).keep(lines), ["sql_path"], ["_block", "_row"])
 
 
 def latest_manifest(manifest: DataFrame, order_col: str = "run_ord") -> DataFrame:
