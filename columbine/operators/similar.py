@@ -11,31 +11,62 @@ Method
 The score needs the target's character counts, the candidate's set of
 characters and both lengths.  So targets with equal counts are one class, as
 are candidates with an equal set and length, of which the first in order
-answers for all.  Classes meet by a prefix filter: a target's characters are
-taken rarest first (by the candidate classes of the block that have them); when
-those left over weigh too little to pass ``above`` they are no keys any more.
-A pair is built at its first shared character only, and only where the
-characters from there on can pass the threshold for the candidate's length too.
-Pairs without a rare character in common never meet; none that passes is lost.
-
-Every list is bounded by the characters of one name.  Joins are on (block,
-character), aggregations combine before their shuffles.
+answers for all.  Names of one block share most letters, so nearly every pair of
+classes has to be looked at: a block's classes are dealt into tiles of about
+``TILE`` by a hash, and each pair of tiles is a task's cell, where a matrix of
+counts times a matrix of sets gives the common characters of all its pairs, and
+only a target's best candidate leaves it.  No pair becomes a row.
+
+A cell holds two tiles, whatever the size of the block, and the matrices are cut
+to ``CHUNK`` targets and candidates.  The pairs of a block spread over as many
+tasks as it has cells; their number grows with the product of its classes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+TILE = 4096
+CHUNK = 512
 
 
 def _chars(c: Column) -> Column:
     return F.filter(F.split(c, "", -1), lambda ch: ch != "")
 
 
-def _from(c: Column, i: Column) -> Column:
-    """Weight of the characters of ``c`` from the 0-based place ``i`` on."""
-    return F.aggregate(F.slice(c, i + 1, F.greatest(F.size(c) - i, F.lit(0))), F.lit(0).cast("bigint"),
-                       lambda acc, x: acc + x["n"])
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts and the number of the text each stands in."""
+    return (np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"),
+            np.repeat(np.arange(len(texts)), [len(x) for x in texts]))
+
+
+def _best(keys: list[str], sets: list[str], lengths: np.ndarray, above: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per key the best score above ``above`` (else ``above``) and the first candidate that has it."""
+    score, who = np.full(len(keys), above), np.full(len(keys), -1)
+    for i in range(0, len(keys), CHUNK):
+        part = keys[i:i + CHUNK]
+        own, row = _codes(part)
+        long = np.array([len(x) for x in part])
+        alphabet, col = np.unique(own, return_inverse=True)
+        exact = np.float32 if long.max() < 1 << 24 else np.float64
+        counts = np.zeros((len(part), len(alphabet)), exact)
+        np.add.at(counts, (row, col), 1)
+        for j in range(0, len(sets), CHUNK):
+            theirs, at = _codes(sets[j:j + CHUNK])
+            known = np.isin(theirs, alphabet)
+            has = np.zeros((len(alphabet), len(sets[j:j + CHUNK])), exact)
+            has[np.searchsorted(alphabet, theirs[known]), at[known]] = 1
+            scores = (counts @ has).astype(np.float64) / np.maximum.outer(long, lengths[j:j + CHUNK])
+            first = scores.argmax(1)
+            top = scores[np.arange(len(part)), first]
+            better = top > score[i:i + CHUNK]
+            score[i:i + CHUNK][better] = top[better]
+            who[i:i + CHUNK][better] = first[better] + j
+    return score, who
 
 
 def closest_match(targets: DataFrame, candidates: DataFrame, block_cols: list[str], target_col: str = "target",
@@ -53,31 +84,35 @@ def closest_match(targets: DataFrame, candidates: DataFrame, block_cols: list[st
         *block_cols, F.col(order_col).alias("_o"), F.col(name_col).alias("_name"), F.upper(name_col).alias("_u"))
 
     lead = c.groupBy(*block_cols).agg(F.min(F.struct("_o", "_name")).alias("_first"))
-    classes = c.select(*block_cols, F.array_sort(F.array_distinct(_chars(F.col("_u")))).alias("_set"),
+    classes = c.select(*block_cols, F.array_join(F.array_sort(F.array_distinct(_chars(F.col("_u")))), "").alias("_set"),
                        F.length("_u").alias("_len"), F.struct("_o", "_name").alias("_who")) \
         .groupBy(*block_cols, "_set", "_len").agg(F.min("_who").alias("_who"))
-    postings = classes.withColumn("_ch", F.explode("_set"))
-    rarity = postings.groupBy(*block_cols, "_ch").agg(F.count(F.lit(1)).alias("_df"))
-
-    counts = t.where("_key <> ''").select(*block_cols, "_key").distinct() \
-        .withColumn("_ch", F.explode(_chars(F.col("_key")))) \
-        .groupBy(*block_cols, "_key", "_ch").agg(F.count(F.lit(1)).alias("n"))
-    # characters that no candidate of the block has drop out here
-    order = counts.join(rarity, [*block_cols, "_ch"]).groupBy(*block_cols, "_key").agg(
-        F.array_sort(F.collect_list(F.struct("_df", F.col("_ch").alias("ch"), "n"))).alias("_w"))
-    keys = order.select("*", F.length("_key").alias("_tlen"), F.posexplode("_w").alias("_i", "_x")) \
-        .withColumn("_rest", _from(F.col("_w"), F.col("_i"))).where(F.col("_rest") > F.lit(above) * F.col("_tlen")) \
-        .select(*block_cols, "_key", "_tlen", "_w", "_i", "_rest", F.col("_x.ch").alias("_ch"))
-
-    longer = F.greatest("_tlen", "_len")
-    earlier = F.transform(F.slice("_w", F.lit(1), F.col("_i")), lambda x: x["ch"])
-    common = F.aggregate("_w", F.lit(0).cast("bigint"),
-                         lambda acc, x: acc + F.when(F.array_contains("_set", x["ch"]), x["n"]).otherwise(0))
-    pairs = keys.join(postings, [*block_cols, "_ch"]) \
-        .where((F.col("_rest") > F.lit(above) * longer) & ~F.arrays_overlap(earlier, "_set")) \
-        .withColumn("_score", common / longer).where(F.col("_score") > above)
-    best = pairs.groupBy(*block_cols, "_key").agg(
-        F.min(F.struct((-F.col("_score")).alias("s"), F.col("_who").alias("who"))).alias("_best"))
+    keys = t.where("_key <> ''").select(*block_cols, "_key").distinct()
+
+    tiles = lambda df, n: df.groupBy(*block_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias(n))
+    sizes = tiles(keys, "_tiles").join(tiles(classes, "_ctiles"), block_cols)
+    dealt = classes.join(sizes, block_cols).withColumn("_ctile", F.pmod(F.xxhash64("_set", "_len"), F.col("_ctiles")).cast("int"))
+    dealt = dealt.withColumn("_pos", F.row_number().over(Window.partitionBy(*block_cols, "_ctile").orderBy("_who")))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # named anew: targets and candidates may come from one table
+    left = keys.join(sizes, block_cols).select(
+        *[F.col(b).alias(b) for b in block_cols], F.pmod(F.xxhash64("_key"), F.col("_tiles")).cast("int").alias("_tile"), all_of("_ctiles").alias("_ctile"), "_key")
+    right = dealt.select(*block_cols, all_of("_tiles").alias("_tile"), "_ctile", "_pos", "_set", "_len")
+    out = StructType([*(left.schema[b] for b in block_cols), StructField("_key", StringType()), StructField("_ctile", IntegerType()),
+                      StructField("_pos", IntegerType()), StructField("_score", DoubleType())])
+
+    def cell(t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        c = c.sort_values("_pos")
+        if t.empty or c.empty:
+            return pd.DataFrame({f.name: [] for f in out})
+        score, who = _best(t["_key"].tolist(), c["_set"].tolist(), c["_len"].to_numpy(), above)
+        found = who >= 0
+        return t[found].assign(_pos=c["_pos"].to_numpy()[who[found]], _score=score[found])[[f.name for f in out]]
+
+    at = [*block_cols, "_tile", "_ctile"]
+    best = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(cell, out) \
+        .join(dealt.select(*block_cols, "_ctile", "_pos", "_who"), [*block_cols, "_ctile", "_pos"]) \
+        .groupBy(*block_cols, "_key").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_who").alias("who"))).alias("_best"))
     return t.join(best, [*block_cols, "_key"], "left").join(lead, block_cols, "left").select(
         *targets.columns, F.coalesce("_best.who._name", "_first._name").alias("closest"),
         (-F.col("_best.s")).alias("score"))

@@ -2,6 +2,7 @@
 
 import random
 
+from columbine.operators import similar
 from columbine.operators.similar import closest_match
 
 
@@ -58,3 +59,23 @@ def test_no_all_pairs(spark):
     assert got.where("closest = target and score = 1").count() == 100
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tiles_and_chunks(spark, monkeypatch):
+    """Blocks of many tiles give what one tile gives, ties by order included."""
+    monkeypatch.setattr(similar, "TILE", 7)
+    monkeypatch.setattr(similar, "CHUNK", 3)
+    rnd = random.Random(11)
+    word = lambda k: "".join(rnd.choice("ABCD_\U0001F600é") for _ in range(rnd.randint(1, k)))
+    blocks = {"T": [word(8) for _ in range(150)], "U": [word(5) for _ in range(20)]}
+    check(spark, blocks, [(rnd.choice("TU"), word(10)) for _ in range(200)])
+
+
+def test_pairs_are_no_rows(spark):
+    """Names of the same letters: every pair is compared, none becomes a row of a join."""
+    rnd = random.Random(2)
+    names = sorted({"".join(rnd.sample("ABCDEFGHIJKLMNOP", 10)) + "X" * rnd.randrange(9) for _ in range(1500)})
+    c = spark.createDataFrame([("T", k, n) for k, n in enumerate(names)], "tab string, ordinal int, candidate string")
+    got = closest_match(c.selectExpr("tab", "candidate as target"), c, ["tab"])
+    assert got.where("score = 1").count() == len(names)
+    assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().toString()
