@@ -208,6 +208,10 @@ def unpivot_columns(projections: DataFrame, unpivots: DataFrame) -> DataFrame:
     return keep.unionByName(new.withColumn("ord", F.col("ord").cast(keep.schema["ord"].dataType)))
 
 
+# Scopes that share a copy of a filled-in select list.
+LIST_BLOCK = 64
+
+
 def _levels(closure: DataFrame) -> DataFrame:
     """Nesting level of every scope (distance to its root)."""
     return closure.groupBy("stmt_id", "scope_id").agg(F.max("distance").alias("level"))
@@ -226,6 +230,12 @@ def expand_stars(spark: SparkSession, scopes: DataFrame, relations: DataFrame, p
     item of the same name replaces the value and keeps the first position.
     Rounds = nesting depth, each checkpointed.
 
+    The rounds move select items only: a table of the data model stays one item
+    until the end, so their rows are bounded by the SQL texts.  Select lists that
+    agree in every item are then filled in once, and the scopes that have a list
+    are joined to its columns, ``LIST_BLOCK`` scopes at a time; the rows returned
+    (scopes times columns) are neither shuffled nor kept.
+
     Returns (stmt_id, scope_id, ord, output_name, expression, origin_alias).
     """
     from columbine.session import RoundState
@@ -239,51 +249,62 @@ def expand_stars(spark: SparkSession, scopes: DataFrame, relations: DataFrame, p
         projections = projections.withColumn("origin_alias", F.lit(None).cast("string"))
     p = projections.select(
         "stmt_id", "scope_id", F.col("ord").cast("long").alias("ord"), F.array().cast("array<bigint>").alias("sub"),
-        F.upper("output_name").alias("output_name"), "expression", "origin_alias",
+        F.upper("output_name").alias("output_name"), "expression", "origin_alias", F.lit(None).cast("string").alias("dm_table"),
         F.upper("star_kind").alias("star_kind"), F.upper("star_alias").alias("star_alias"))
     p = keep(p.join(lv, ["stmt_id", "scope_id"]))
-    dmc = (dm.select(F.upper("table_name").alias("table_name"), F.upper("column_name").alias("column_name"),
+    dmc = (dm.select(F.upper("table_name").alias("dm_table"), F.upper("column_name").alias("column_name"),
                      F.col("ordinal").cast("long").alias("ordinal")) if dm is not None else None)
+    in_dm = (keep(rel.select("table_name").distinct().join(dmc.select(F.col("dm_table").alias("table_name")), "table_name", "left_semi")
+                  .withColumn("_in", F.lit(True))) if dm is not None else None)
     max_level = lv.agg(F.max("level")).first()[0] or 0
     for level in range(max_level, -1, -1):
-        stars = p.where((F.col("level") == level) & F.col("star_kind").isNotNull())
+        stars = p.where((F.col("level") == level) & F.col("star_kind").isNotNull()).drop("dm_table")
         targets = stars.join(rel, ["stmt_id", "scope_id"]).where(
             (F.col("star_kind") == "ALL") | (F.col("alias") == F.col("star_alias")))
         done = p.where(F.col("star_kind").isNull()).select(
             "stmt_id", F.col("scope_id").alias("child_scope_id"), F.col("output_name").alias("c_name"),
-            F.col("expression").alias("c_expr"), F.col("ord").alias("c_ord"), F.col("sub").alias("c_sub"))
+            F.col("expression").alias("c_expr"), F.col("ord").alias("c_ord"), F.col("sub").alias("c_sub"), "dm_table")
         from_scope = targets.where(F.col("rel_kind") == "SCOPE").join(done, ["stmt_id", "child_scope_id"]).select(
             "stmt_id", "scope_id", "ord",
             F.concat(F.array(F.col("rel_ord").cast("long"), F.col("c_ord")), "c_sub").alias("sub"), F.col("c_name").alias("output_name"), F.col("c_expr").alias("expression"),
-            F.col("alias").alias("origin_alias"))
+            F.col("alias").alias("origin_alias"), "dm_table")
         phys = targets.where(F.col("rel_kind") == "PHYSICAL")
-        parts = [from_scope]
-        if dmc is not None:
-            in_dm = phys.join(dmc, "table_name")
-            parts.append(in_dm.select(
-                "stmt_id", "scope_id", "ord", F.array(F.col("rel_ord").cast("long"), F.col("ordinal")).alias("sub"),
-                F.col("column_name").alias("output_name"),
-                F.concat("alias", F.lit("."), "column_name").alias("expression"),
-                F.lit(None).cast("string").alias("origin_alias")))
-            phys = phys.join(dmc.select("table_name").distinct(), "table_name", "left_anti")
-        parts.append(phys.select(
+        phys = phys.join(in_dm, "table_name", "left") if in_dm is not None else phys.withColumn("_in", F.lit(None).cast("boolean"))
+        # of a table in the data model: the alias's prefix, the columns follow at the end
+        known = F.col("_in").isNotNull()
+        expanded = from_scope.unionByName(phys.select(
             "stmt_id", "scope_id", "ord", F.array(F.col("rel_ord").cast("long")).alias("sub"),
-            F.concat(F.lit("*_"), "alias").alias("output_name"), F.concat("alias", F.lit(".*")).alias("expression"),
-            F.lit(None).cast("string").alias("origin_alias")))
-        expanded = parts[0]
-        for x in parts[1:]:
-            expanded = expanded.unionByName(x)
+            F.when(~known, F.concat(F.lit("*_"), "alias")).alias("output_name"),
+            F.when(known, F.concat("alias", F.lit("."))).otherwise(F.concat("alias", F.lit(".*"))).alias("expression"),
+            F.lit(None).cast("string").alias("origin_alias"), F.when(known, F.col("table_name")).alias("dm_table")))
         expanded = expanded.withColumns({"star_kind": F.lit(None).cast("string"),
                                          "star_alias": F.lit(None).cast("string"), "level": F.lit(level)})
         rest = p.where(~((F.col("level") == level) & F.col("star_kind").isNotNull()))
         p = keep(rest.unionByName(expanded.select(*rest.columns)))
-    final = p.where(F.col("star_kind").isNull())
-    per_name = final.groupBy("stmt_id", "scope_id", "output_name").agg(
+    item = F.struct("ord", "sub", "output_name", "expression", "origin_alias", "dm_table")
+    scope_lists = p.where(F.col("star_kind").isNull()).groupBy("stmt_id", "scope_id").agg(
+        F.array_sort(F.collect_set(item)).alias("items"))
+    scope_lists = keep(scope_lists.withColumn("list", F.sha2(F.to_json("items"), 256)))
+    copies = scope_lists.groupBy("list").agg(
+        F.any_value("items").alias("items"), F.ceil(F.count(F.lit(1)) / F.lit(LIST_BLOCK)).cast("int").alias("blocks"))
+    x = copies.select("list", F.inline("items"))
+    filled = x.where(F.col("dm_table").isNull())
+    if dmc is not None:
+        columns = x.where(F.col("dm_table").isNotNull()).join(dmc, "dm_table")
+        filled = filled.unionByName(columns.withColumns({
+            "sub": F.concat("sub", F.array("ordinal")), "output_name": F.col("column_name"),
+            "expression": F.concat("expression", "column_name")}).drop("column_name", "ordinal"))
+    per_name = filled.groupBy("list", "output_name").agg(
         F.min(F.struct("ord", "sub")).alias("_first"),
         F.max_by(F.struct("expression", "origin_alias"), F.struct("ord", "sub")).alias("_v"))
-    w = Window.partitionBy("stmt_id", "scope_id").orderBy("_first")
-    return per_name.select("stmt_id", "scope_id", (F.row_number().over(w) - 1).cast("long").alias("ord"),
-                           "output_name", "_v.expression", "_v.origin_alias")
+    w = Window.partitionBy("list").orderBy("_first")
+    once = keep(per_name.select("list", (F.row_number().over(w) - 1).cast("long").alias("ord"), "output_name",
+                                "_v.expression", "_v.origin_alias"))
+    blocks = copies.select("list", "blocks")
+    rows = once.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    scopes_of = scope_lists.select("stmt_id", "scope_id", "list").join(blocks, "list").withColumn(
+        "block", F.pmod(F.xxhash64("stmt_id", "scope_id"), F.col("blocks")).cast("int")).drop("blocks")
+    return rows.join(scopes_of, ["list", "block"]).select("stmt_id", "scope_id", "ord", "output_name", "expression", "origin_alias")
 
 
 def merge_union(scopes: DataFrame, relations: DataFrame, projections: DataFrame) -> DataFrame:

@@ -98,3 +98,28 @@ def test_union_without_the_column_goes_on(spark):
     got = resolve(spark, scopes, rels, [(1, 2, 0, "A", "P.A")], [(1, 0, 1, "OUTER_COL"), (1, 1, 1, "IN_P")],
                   dm=[("T", "OUTER_COL"), ("P", "IN_P")])
     assert [g[:4] for g in got] == [(0, "PHYSICAL", "T", "OUTER_COL"), (1, "PHYSICAL", "P", "IN_P")]
+
+
+def test_stars_keep_items_not_columns(spark, monkeypatch):
+    """Statements with stars over a table: the rounds keep items, equal lists are filled in once, scopes over blocks."""
+    from columbine.session import RoundState
+
+    kept, keep = [], RoundState.keep
+    monkeypatch.setattr(RoundState, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    monkeypatch.setattr(C, "LIST_BLOCK", 4)
+    n, wide = 30, 120
+    scopes = [(i, k, 0 if k else None, f"S{k}", "SUBQUERY" if k else "ROOT", None) for i in range(n) for k in (0, 1)]
+    rels = [x for i in range(n) for x in ((i, 0, 0, "S", "SCOPE", None, 1), (i, 0, 1, "D", "PHYSICAL", "SMALL", None),
+                                          (i, 1, 0, "P", "PHYSICAL", "WIDE" if i else "SMALL", None))]
+    projs = [x for i in range(n) for x in ((i, 1, 0, "*", "*", "ALL", None), (i, 0, 0, "*", "*", "ALL", None),
+                                           (i, 0, 1, "C2", "'x'", None, None), (i, 0, 2, "S.*", "S.*", "QUALIFIED", "S"))]
+    dm = spark.createDataFrame([("WIDE", f"C{k}", k) for k in range(wide)] + [("SMALL", "C1", 2), ("SMALL", "OWN", 1)],
+                               "table_name string, column_name string, ordinal int")
+    got = C.expand_stars(spark, spark.createDataFrame(scopes, SCOPES), spark.createDataFrame(rels, RELS), spark.createDataFrame(
+        projs, PROJS + ", star_kind string, star_alias string"), dm).collect()
+    own = {(r.stmt_id, r.scope_id, r.output_name): (r.ord, r.expression, r.origin_alias) for r in got}
+    assert len(own) == len(got) == (n - 1) * (2 * wide + 1) + 2 + 3
+    assert own[7, 1, "C5"] == (5, "P.C5", None) and own[7, 0, "C5"] == (5, "P.C5", "S")
+    assert own[7, 0, "C1"] == (1, "P.C1", "S") and own[7, 0, "OWN"] == (wide, "D.OWN", None)
+    assert own[7, 0, "C2"] == (2, "P.C2", "S") and own[0, 0, "OWN"] == (0, "P.OWN", "S") and own[0, 0, "C2"] == (2, "'x'", None)
+    assert max(df.count() for df in kept) <= 4 * wide
