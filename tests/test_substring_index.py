@@ -26,6 +26,20 @@ def test_empty(spark):
     assert S.build(spark.createDataFrame([("ab",)], "term string"), "term").lookup(none).count() == 0
 
 
+def test_candidates_grow_with_texts(spark, monkeypatch):
+    """Numbers in numbers: what is compared is bounded by the texts, not by terms times texts; small and large head tables."""
+    names = [f"t.k{k}" for k in range(1000, 4000)]
+    terms = [f"k{k}" for k in range(1, 4000, 3)]
+    t = spark.createDataFrame([(x,) for x in terms], "term string")
+    index = S.build(spark.createDataFrame([(x,) for x in names], "name string"), "name")
+    want = {(k, x) for x in names for k in set(terms) if k in x}
+    for heads in (S.HEADS, 0):
+        monkeypatch.setattr(S, "HEADS", heads)
+        found = index.lookup(t)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "Contains(text" not in (plan := found._jdf.queryExecution().toString()) and "contains(text" not in plan.lower()
+
+
 def test_rows_are_sorted(spark):
     """Sequence as a number, nulls last, side and role."""
     from columbine.operators import report as P
