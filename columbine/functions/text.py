@@ -292,20 +292,34 @@ def strip_comments(c) -> Column:
     return F.regexp_replace(_c(c), COMMENTS, "$1")
 
 
+def _where(s: Column, literal: str, step) -> Column:
+    """``step`` for the texts that hold ``literal``, without which it changes nothing; ``s`` is evaluated once."""
+    return F.transform(F.array(s), lambda x: F.when(x.contains(literal), step(x)).otherwise(x))[0]
+
+
 def normalize_sql(c) -> Column:
-    """The reference's cleaning chain, in its order."""
+    """The reference's cleaning chain, in its order; a rule that needs a
+    certain character is tried on the texts that have it."""
+    def macros(s):
+        for macro in PLACEHOLDER_MACROS:
+            s = F.regexp_replace(s, rf"(?i)\[{macro}\]", f"'PLACEHOLDER_{macro}'")
+        return s
+
+    def variables(s):
+        s = F.regexp_replace(s, r"(?i)'\$([A-Z_][A-Z0-9_]*)'", "'PLACEHOLDER_$1'")
+        s = F.regexp_replace(s, r"(?i)\$([A-Z_]*DATE[A-Z0-9_]*)\b", PLACEHOLDER_DATE)
+        return F.regexp_replace(s, r"(?i)\$([A-Z_][A-Z0-9_]*)\b", "'PLACEHOLDER_$1'")
+
     s = F.coalesce(_c(c), F.lit(""))
-    s = F.regexp_replace(s, r"\x{1B}\[[0-9;]*m", "")
-    s = F.regexp_replace(s, r"(?i)esc\[[0-9;]*m", "")
+    s = _where(s, "\x1b", lambda x: F.regexp_replace(x, r"\x{1B}\[[0-9;]*m", ""))
+    s = _where(s, "[", lambda x: F.regexp_replace(x, r"(?i)esc\[[0-9;]*m", ""))
     s = F.regexp_replace(s, r"[\x{2003}\x{2002}\x{2001}\x{2000}\x{A0}]+", " ")
-    for macro in PLACEHOLDER_MACROS:
-        s = F.regexp_replace(s, rf"(?i)\[{macro}\]", f"'PLACEHOLDER_{macro}'")
-    s = F.regexp_replace(s, r"(?i)'\$([A-Z_][A-Z0-9_]*)'", "'PLACEHOLDER_$1'")
-    s = F.regexp_replace(s, r"(?i)\$([A-Z_]*DATE[A-Z0-9_]*)\b", PLACEHOLDER_DATE)
-    s = F.regexp_replace(s, r"(?i)\$([A-Z_][A-Z0-9_]*)\b", "'PLACEHOLDER_$1'")
-    s = F.regexp_replace(s, _ws_pattern(r"\|\|\s*~\s*\|\|"), "|| '~' ||")
-    s = F.regexp_replace(s, _ws_pattern(r"(?i)\b([A-Z_][A-Z0-9_]*)\s+AS\s+\1\b"), "$1")
-    s = F.regexp_replace(s, r"\\'", "''")
+    s = _where(s, "[", macros)
+    s = _where(s, "$", variables)
+    s = _where(s, "~", lambda x: F.regexp_replace(x, _ws_pattern(r"\|\|\s*~\s*\|\|"), "|| '~' ||"))
+    # a name and the blanks behind it are never given back: no shorter match could go on
+    s = F.regexp_replace(s, _ws_pattern(r"(?i)\b([A-Z_][A-Z0-9_]*+)\s++AS\s++\1\b"), "$1")
+    s = _where(s, "\\'", lambda x: F.regexp_replace(x, r"\\'", "''"))
     s = strip_comments(s)
     return normalize_ws(s)
 
@@ -367,11 +381,10 @@ def simple_refs(c) -> Column:
     not masked (as in the reference's QA check).
     """
     col = F.coalesce(_c(c), F.lit(""))
-    tables = F.regexp_extract_all(col, F.lit(DOTTED_PAIR), 1)
-    columns = F.regexp_extract_all(col, F.lit(DOTTED_PAIR), 2)
-    pairs = F.arrays_zip(tables.alias("table"), columns.alias("column"))
-    return F.array_distinct(F.transform(
-        pairs, lambda p: F.struct(F.upper(p["table"]).alias("table"), F.upper(p["column"]).alias("column"))))
+    # one pass over the text; a first name is never given back, as no dot could follow inside it
+    pair = rf"(?:^|[^A-Za-z0-9_])({IDENT}+)\.({IDENT})"
+    return F.array_distinct(F.transform(F.regexp_extract_all(col, F.lit(pair), 0), lambda p: F.struct(
+        F.upper(F.regexp_extract(p, pair, 1)).alias("table"), F.upper(F.regexp_extract(p, pair, 2)).alias("column"))))
 
 
 def has_scalar_subquery(c) -> Column:
