@@ -181,8 +181,10 @@ class Catalog:
                                                    F.col("scope_name").alias("child_name")),
                                  ["stmt_id", "child_scope_id"]))
         self.aliases = rel.groupBy("stmt_id", "scope_id").agg(F.collect_set("alias").alias("aliases"))
-        self.dm = (keep(dm.select(F.upper("table_name").alias("table_name"),
-                                  F.upper("column_name").alias("column_name")).distinct())
+        # only tables that a relation names are ever looked up
+        named = rel.select("table_name").distinct()
+        self.dm = (keep(dm.select(F.upper("table_name").alias("table_name"), F.upper("column_name").alias("column_name"))
+                        .join(named, "table_name", "left_semi").distinct())
                    if dm is not None else None)
         # what depth-first searches walk: scope relations in order, then union branches
         self.reads = keep(child.select("stmt_id", "scope_id", F.col("child_scope_id").cast("long").alias("child"),

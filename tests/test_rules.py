@@ -123,3 +123,13 @@ def test_stars_keep_items_not_columns(spark, monkeypatch):
     assert own[7, 0, "C1"] == (1, "P.C1", "S") and own[7, 0, "OWN"] == (wide, "D.OWN", None)
     assert own[7, 0, "C2"] == (2, "P.C2", "S") and own[0, 0, "OWN"] == (0, "P.OWN", "S") and own[0, 0, "C2"] == (2, "'x'", None)
     assert max(df.count() for df in kept) <= 4 * wide
+
+
+def test_data_model_of_named_tables(spark):
+    """Only the data model's tables that a relation names go through the rounds."""
+    s = spark.createDataFrame([(1, 0, None, "ROOT", "ROOT", None)], SCOPES)
+    r = spark.createDataFrame([(1, 0, 0, "P", "PHYSICAL", "t", None)], RELS)
+    dm = spark.createDataFrame([("T", "a"), ("t", "A"), (None, "A")] + [(f"OTHER{k}", "A") for k in range(50)],
+                               "table_name string, column_name string")
+    cat = R.Catalog(spark, s, r, spark.createDataFrame([(1, 0, 0, "A", "P.A")], PROJS), dm)
+    assert [tuple(x) for x in cat.dm.collect()] == [("T", "A")]
