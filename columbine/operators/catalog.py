@@ -234,7 +234,8 @@ def expand_stars(spark: SparkSession, scopes: DataFrame, relations: DataFrame, p
     until the end, so their rows are bounded by the SQL texts.  Select lists that
     agree in every item are then filled in once, and the scopes that have a list
     are joined to its columns, ``LIST_BLOCK`` scopes at a time; the rows returned
-    (scopes times columns) are neither shuffled nor kept.
+    (scopes times columns) are neither shuffled nor kept, but a filled-in list is:
+    where every scope has a list of its own, that is as much as the result.
 
     Returns (stmt_id, scope_id, ord, output_name, expression, origin_alias).
     """
