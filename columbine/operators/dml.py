@@ -14,6 +14,7 @@ from columbine.functions.text import (
     WS, char_count, column_refs, is_constant, join_type_label, normalize_ws, original_ref, strip_target_prefix,
 )
 from columbine.operators.resolve import Catalog, resolve_refs
+from columbine.session import RoundState
 
 # Schema names that are never table aliases (join filter clean-up).
 KNOWN_SCHEMAS = ["ATOMIC", "DBO", "PUBLIC", "SYS", "SCHEMA", "ADMIN", "APP"]
@@ -127,14 +128,16 @@ def join_conditions(conjuncts: DataFrame, scopes: DataFrame) -> DataFrame:
     aliases kept), and so is every such equality inside an OR; every conjunct
     that is not one such equality is a filter, and a join's filters, joined by
     ``; ``, go onto each of its key rows.  A join without a key gives no row
-    here (see ``theta_joins``).
+    here (see ``theta_joins``).  Conjuncts are dealt over the tasks by statement
+    before their texts are read, as a table of them may be one small file.
     """
+    conjuncts = conjuncts.repartition("stmt_id")
     wseq = Window.partitionBy("stmt_id", "scope_id").orderBy("join_pos")
     joins = conjuncts.select("stmt_id", "scope_id", "join_pos", "side", "kind").distinct().withColumn(
         "join_seq", F.dense_rank().over(wseq).cast("long"))
     c = conjuncts.where(F.col("condition").isNotNull()).withColumn("_cond", normalize_ws("condition"))
     c = c.withColumn("_key", _is_key(F.col("_cond")))
-    each = c.select("stmt_id", "scope_id", "join_pos", "conj_pos", F.explode(_branches(F.col("_cond"))).alias("_b")) \
+    each = c.select("stmt_id", "scope_id", "join_pos", "conj_pos", F.explode_outer(_branches(F.col("_cond"))).alias("_b")) \
         .where(_is_key(F.col("_b")))
     l_ref, r_ref = F.regexp_extract("_b", COL_EQ_COL, 1), F.regexp_extract("_b", COL_EQ_COL, 2)
     (lt, lf), (rt, rf) = _parts(l_ref), _parts(r_ref)
@@ -172,7 +175,7 @@ def merge_on_keys(merge_on: DataFrame) -> DataFrame:
     Sides keep their last two name parts; a blank alias becomes the target
     alias (left) or the USING alias (right).
     """
-    m = merge_on.select("*", F.posexplode(_branches(normalize_ws("condition"))).alias("_branch", "_cond")) \
+    m = merge_on.repartition("stmt_id").select("*", F.posexplode_outer(_branches(normalize_ws("condition"))).alias("_branch", "_cond")) \
         .where(F.col("_cond").rlike(ANY_EQ))
     w = Window.partitionBy("stmt_id").orderBy("conj_pos", "_branch")
     l, r = F.trim(F.regexp_extract("_cond", ANY_EQ, 1)), F.trim(F.regexp_extract("_cond", ANY_EQ, 2))
@@ -234,7 +237,7 @@ def join_key_items(joins: DataFrame, cat: Catalog, dm_tables: DataFrame | None)
     flt = (joins.where(F.col("join_filters") != "")
            .select("stmt_id", "scope_id", "join_seq", "join_type", "join_filters", "context_path")
            .dropDuplicates(["stmt_id", "scope_id", "join_seq", "join_type"])
-           .select("*", F.posexplode(column_refs("join_filters")).alias("ref_pos", "ref")))
+           .select("*", F.posexplode_outer(column_refs("join_filters")).alias("ref_pos", "ref")).where("ref_pos is not null"))
     if dm_tables is not None:
         flt = drop_non_columns(flt, dm_tables, cat.relations)
     flt = flt.select("stmt_id", "scope_id", "join_seq", "join_type", F.col("join_filters").alias("join_condition"),
@@ -269,7 +272,8 @@ def explode_join_keys(spark: SparkSession, joins: DataFrame, cat: Catalog, dm_ta
     ``joins``: output of ``join_conditions`` / ``merge_on_keys`` with the
     scope they belong to (stmt_id, scope_id, join_seq, ...).
     """
-    items = join_key_items(joins, cat, dm_tables)
+    # read twice, as seeds and with their results: the conditions are taken apart once
+    items = RoundState(spark).keep(join_key_items(joins, cat, dm_tables))
     seeds = items.select("stmt_id", "root_ord", "scope_id", F.col("ref").alias("expression"))
     res = resolve_refs(spark, seeds, None, None, None, None, max_depth=max_depth, catalog=cat)
     return join_key_rows(items, res)

@@ -489,8 +489,9 @@ def _edges(tasks: DataFrame, cat: Catalog, state: RoundState, max_depth: int, se
     outs = (F.when(kind.isin("R", "B"), reference).when(kind == "E", F.when(named, own()).otherwise(empty))
             .when(kind == "I", descent).when(kind == "J", one).when(kind == "S", stars)
             .when(kind == "M", nested).otherwise(itself))
-    x = f.select(*KEY, F.col("S_parent_id").cast("long").alias("_parent"), F.posexplode(outs).alias("pos", "o")) \
-        .select(*KEY, "_parent", "pos", "o.*")
+    # outer, as Spark filters an inner one by a second evaluation of all the rules
+    x = f.select(*KEY, F.col("S_parent_id").cast("long").alias("_parent"), F.posexplode_outer(outs).alias("pos", "o")) \
+        .where("pos is not null").select(*KEY, "_parent", "pos", "o.*")
     # --- D: the DM, then the parent scope
     d = x.where(F.col("to_mode") == "D")
     if cat.dm is not None:
@@ -507,7 +508,7 @@ def _edges(tasks: DataFrame, cat: Catalog, state: RoundState, max_depth: int, se
           .when(F.col("mode") == "B", F.array(_unresolved("CYCLE_DETECTED", name, grp=1)))
           .when(F.col("_parent").isNotNull(), F.array(_edge(grp=1, scope=F.col("_parent"), mode="R", ref=name)))
           .otherwise(F.array(_unresolved("COLUMN_NOT_FOUND", name, grp=1))))
-    more = d.select(*KEY, "_parent", "pos", F.posexplode(up).alias("_p", "o")).select(
+    more = d.select(*KEY, "_parent", "pos", F.posexplode_outer(up).alias("_p", "o")).where("_p is not null").select(
         *KEY, "_parent", (F.col("pos") * 1000 + F.col("_p")).alias("pos"), "o.*")
     return x.where(F.col("to_mode").isNull() | (F.col("to_mode") != "D")).unionByName(more).drop("_parent")
 
