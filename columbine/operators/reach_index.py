@@ -125,7 +125,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     ``edges`` has long columns ``a`` and ``b``.  Other nodes are components of
     their own and not listed."""
     state = RoundState(spark)
-    e = _inner(state, state.keep(edges.where("a <> b").select("a", "b").distinct()))
+    return _components(spark, state, state.keep(edges.where("a <> b").select("a", "b").distinct()))
+
+
+def _components(spark: SparkSession, state: RoundState, edges: DataFrame) -> DataFrame:
+    """``components`` of distinct edges between different nodes."""
+    e = _inner(state, edges)
     parts = []
     while not e.isEmpty():
         mark = state.keep(e.select(F.col("a").alias("id")).distinct()
@@ -155,22 +160,25 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def _levels(state: RoundState, comps: DataFrame, e: DataFrame) -> tuple[DataFrame, int]:
-    """(comp, level): edges on the longest path to a sink; and the highest level."""
-    out_edges = e.groupBy(F.col("a").alias("comp")).agg(F.count(F.lit(1)).alias("open"))
-    rest = state.keep(comps.join(out_edges, "comp", "left").select("comp", F.coalesce("open", F.lit(0)).alias("open")))
-    parts, level = [], 0
-    while not rest.isEmpty():
-        front = rest.where("open = 0").select("comp")
-        parts.append(front.withColumn("level", F.lit(level)))
+    """(comp, level): edges on the longest path to a sink; and the highest level.
+
+    A round moves only components that an edge leads from to one of the last
+    level, with the number of such edges met so far.
+    """
+    open_ = state.keep(e.groupBy(F.col("a").alias("comp")).agg(F.count(F.lit(1)).alias("open")))
+    front = state.keep(comps.join(open_, "comp", "left_anti"))
+    out, met, level = front.withColumn("level", F.lit(0)), None, 0
+    while True:
         shut = front.select(F.col("comp").alias("b")).join(e, "b").groupBy(F.col("a").alias("comp")) \
             .agg(F.count(F.lit(1)).alias("n"))
-        rest = state.keep(rest.where("open > 0").join(shut, "comp", "left").select(
-            "comp", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")))
+        if met is not None:
+            shut = met.unionByName(shut).groupBy("comp").agg(F.sum("n").alias("n"))
+        moved = state.keep(shut.join(open_, "comp"))
+        front, met = moved.where("n = open").select("comp"), moved.where("n < open").select("comp", "n")
+        if front.isEmpty():
+            return state.keep(out), level
         level += 1
-    out = comps.limit(0).withColumn("level", F.lit(0))
-    for p in parts:
-        out = out.unionByName(p)
-    return state.keep(out), level - 1
+        out = out.unionByName(front.withColumn("level", F.lit(level)))
 
 
 def _chains(state: RoundState, levels: DataFrame, e: DataFrame) -> DataFrame:
@@ -199,28 +207,34 @@ def _chains(state: RoundState, levels: DataFrame, e: DataFrame) -> DataFrame:
     return p.select("comp", F.col("ptr").alias("chain"), "pos")
 
 
-def build(spark: SparkSession, edges: DataFrame, node_cols: list[str]) -> ReachIndex:
-    """Index of the graph of ``edges`` (``src_<k>`` and ``dst_<k>`` per node
-    column) in the direction of its edges."""
-    state = RoundState(spark)
+def _number(state: RoundState, edges: DataFrame, node_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node_cols, id) of every node, and the edges as distinct (a, b) of ids, ``a <> b``.
+
+    An id is the hash of the node's columns, so edges are numbered where they are
+    read.  Should two nodes have one hash, all get numbers instead, by joins.
+    """
     src, dst = [f"src_{k}" for k in node_cols], [f"dst_{k}" for k in node_cols]
-    pairs = state.keep(edges.select(*src, *dst).distinct())
-    nodes = pairs.select(*src).toDF(*node_cols).union(pairs.select(*dst).toDF(*node_cols)).distinct()
+    # the hash passes nulls over, so whether there is one is hashed too
+    hashed = lambda cols: F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+    nodes = edges.select(*src).toDF(*node_cols).union(edges.select(*dst).toDF(*node_cols)).distinct()
+    named = state.keep(nodes.withColumn("id", hashed(node_cols)))
+    if named.groupBy("id").count().where("count > 1").isEmpty():
+        return named, state.keep(edges.select(hashed(src).alias("a"), hashed(dst).alias("b")).where("a <> b").distinct())
     # ids are fixed by the written table, not by the plan that numbers it
-    nodes = state.keep(nodes.withColumn("id", F.monotonically_increasing_id()))
+    nodes = state.keep(named.select(*node_cols).withColumn("id", F.monotonically_increasing_id()))
     a = nodes.select(*[F.col(k).alias(f"_a_{k}") for k in node_cols], F.col("id").alias("a"))
     b = nodes.select(*[F.col(k).alias(f"_b_{k}") for k in node_cols], F.col("id").alias("b"))
+    pairs = edges.select(*src, *dst).distinct()
     ids = pairs.join(a, _same(pairs, a, src, [f"_a_{k}" for k in node_cols]))
-    ids = state.keep(ids.join(b, _same(ids, b, dst, [f"_b_{k}" for k in node_cols])).select("a", "b").where("a <> b"))
+    return nodes, state.keep(ids.join(b, _same(ids, b, dst, [f"_b_{k}" for k in node_cols])).select("a", "b").where("a <> b"))
 
-    comp = state.keep(nodes.select("id").join(components(spark, ids), "id", "left")
-                      .select("id", F.coalesce("comp", "id").alias("comp")))
-    e = ids.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb")
-    e = state.keep(e.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    levels, top = _levels(state, comp.select("comp").distinct(), e)
-    e = state.keep(e.join(levels.toDF("a", "la"), "a").join(levels.toDF("b", "lb"), "b").select("a", "la", "b", "lb"))
-    place = state.keep(_chains(state, levels, e).join(levels, "comp"))
 
+def _labels(spark: SparkSession, state: RoundState, place: DataFrame, e: DataFrame, top: int) -> DataFrame:
+    """(comp, chain, first): the first place on each chain that a component leads to.
+
+    ``place(comp, chain, pos, level)``, ``e(a, la, b, lb)``; an edge leads to a
+    lower level, and every level up to ``top`` but the first has one.
+    """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reach-{uuid.uuid4().hex}"
     labels = None
     for level in range(top + 1):
@@ -234,8 +248,43 @@ def build(spark: SparkSession, edges: DataFrame, node_cols: list[str]) -> ReachI
         if level < top:
             up.groupBy(F.col("a").alias("comp"), "la", "chain").agg(F.min("first").alias("first")) \
                 .write.partitionBy("la").mode("append").parquet(folder)
-    if labels is None:
-        labels = place.select("comp", "chain", F.col("pos").alias("first"))
-    members = nodes.join(comp, "id").join(place.select("comp", "chain", "pos"), "comp").select(
-        *node_cols, "comp", "chain", "pos")
-    return ReachIndex(node_cols, state.keep(members), labels)
+    return labels
+
+
+def _build(spark: SparkSession, edges: DataFrame, node_cols: list[str], both: bool) -> tuple[ReachIndex, ReachIndex | None]:
+    state = RoundState(spark)
+    nodes, ids = _number(state, edges, node_cols)
+    # few nodes lie on a cycle: the others keep their ids, and their edges stay as they are
+    found = state.keep(_components(spark, state, ids))
+    at = ids.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    outside = F.col("ca").isNull() & F.col("cb").isNull()
+    inside = at.where(~outside).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    e = state.keep(at.where(outside).select("a", "b").unionByName(inside.where("a <> b").distinct()))
+    comps = nodes.select(F.col("id").alias("comp")).join(found.select(F.col("id").alias("comp")), "comp", "left_anti") \
+        .unionByName(found.select("comp").distinct())
+    levels, top = _levels(state, comps, e)
+    e = state.keep(e.join(levels.toDF("a", "la"), "a").join(levels.toDF("b", "lb"), "b").select("a", "la", "b", "lb"))
+    place = state.keep(_chains(state, levels, e).join(levels, "comp"))
+    members = state.keep(nodes.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+                         .join(place.select("comp", "chain", "pos"), "comp").select(*node_cols, "comp", "chain", "pos"))
+    forward = ReachIndex(node_cols, members, _labels(spark, state, place, e, top))
+    if not both:
+        return forward, None
+    # against the edges a chain runs the other way, and the levels are met from their top
+    other = place.withColumns({"pos": -F.col("pos"), "level": F.lit(top) - F.col("level")})
+    turned = e.select(F.col("b").alias("a"), (F.lit(top) - F.col("lb")).alias("la"),
+                      F.col("a").alias("b"), (F.lit(top) - F.col("la")).alias("lb"))
+    return forward, ReachIndex(node_cols, members.withColumn("pos", -F.col("pos")), _labels(spark, state, other, turned, top))
+
+
+def build(spark: SparkSession, edges: DataFrame, node_cols: list[str]) -> ReachIndex:
+    """Index of the graph of ``edges`` (``src_<k>`` and ``dst_<k>`` per node
+    column) in the direction of its edges."""
+    return _build(spark, edges, node_cols, False)[0]
+
+
+def build_both(spark: SparkSession, edges: DataFrame, node_cols: list[str]) -> tuple[ReachIndex, ReachIndex]:
+    """The indexes along and against ``edges``: ids, components, levels and
+    chains are found once, only the labels differ."""
+    forward, backward = _build(spark, edges, node_cols, True)
+    return forward, backward
