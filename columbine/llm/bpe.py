@@ -12,7 +12,8 @@ found to be a dead end is never entered again, so the work is linear.
 Decoding looks ids up in a table of byte offsets into one blob of all token
 bytes and gathers whole texts at once.
 
-Repeated chunks of text are encoded once per worker (a bounded memo).  The
+Repeated chunks of text are encoded once per worker (a bounded memo, freed when
+another operator's task comes).  Rows go out in batches of a few MB of text.  The
 vocabulary travels as a broadcast of its file's text, whose size is fixed.
 
 Defined cases: a null text is the empty text (no ids); special tokens written
@@ -28,17 +29,20 @@ from itertools import islice
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from columbine.llm.common import read_driver_file, text_bytes
+from columbine.llm.common import keep_in_worker, read_driver_file, text_bytes
 
 # Entries a worker's memo holds before its older half goes.
 MEMO_ENTRIES = 400_000
 # Longest stretch in the memo: it stays under 0.25 GB.
 MEMO_BYTES = 64
+# Text encoded before its rows go out: ids and decoded text are some 5 times as much at a time.
+OUT_BYTES = 2 << 20
 
 # The pre-tokenizer pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -251,17 +255,26 @@ class ByteBpe:
             return raw.decode("utf-8", "replace").encode()
 
 
-_LOADED: dict[int, ByteBpe] = {}
-
-
 def _load(held) -> ByteBpe:
     """The worker's encoder for a broadcast vocabulary."""
     spec = held.value
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBpe(spec)
-    return _LOADED[key]
+    return keep_in_worker(("bpe", hash(spec)), lambda: ByteBpe(spec))
+
+
+def _parts(batch: pa.RecordBatch, source: str):
+    """``batch`` in slices of up to ``OUT_BYTES`` in column ``source``; a longer value is one by itself."""
+    values = batch.column(batch.schema.names.index(source))
+    lists = pa.types.is_list(values.type)
+    sizes = pc.fill_null(pc.list_value_length(values) if lists else pc.binary_length(values), 0).to_pylist()
+    at = held = 0
+    for k, n in enumerate(sizes):
+        n = 4 * n if lists else n
+        if k > at and held + n > OUT_BYTES:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
 
 
 def _map(docs: DataFrame, path: str, add: list[T.StructField], source: str, fn) -> DataFrame:
@@ -272,7 +285,7 @@ def _map(docs: DataFrame, path: str, add: list[T.StructField], source: str, fn)
 
     def run(batches):
         bpe = _load(held)
-        for b in batches:
+        for b in (part for batch in batches for part in _parts(batch, source)):
             rows = [fn(bpe, x.as_py()) for x in b.column(b.schema.names.index(source))]
             new = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columbine.llm.common import text_bytes
+from columbine.llm.common import let_go, text_bytes
 
 DIMENSION_BITS = 18
 PAIR_SHARES = (0.01, 0.03, 0.1, 0.3, 0.6)
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         .groupBy("_id").agg(F.min("raw").alias("raw"), F.min("_y").alias("_y"))  # about max_train ids
 
     def run(batches):
+        let_go()
         rows, y = [], []
         for b in batches:
             rows += [indicators(x.as_py()) for x in b.column(0)]
@@ -196,6 +197,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = rows.schema
 
     def run(batches):
+        let_go()
         for b in batches:
             raw = b.column(b.schema.names.index("__columbine_raw"))
             s = pa.array([held.value.score(x.as_py()) for x in raw], pa.float64())

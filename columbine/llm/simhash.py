@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columbine.llm.common import materialize, release, text_bytes
+from columbine.llm.common import let_go, materialize, release, text_bytes
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = docs.select(id_col, F.lit(0).cast("bigint").alias("fp")).schema
 
     def run(batches):
+        let_go()
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])

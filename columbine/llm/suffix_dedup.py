@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from columbine.llm.common import materialize, release, text_bytes
+from columbine.llm.common import let_go, materialize, release, text_bytes
 
 LENGTH = 400
 # Passages: some 50 words of short words, 35 of usual ones.
@@ -166,6 +166,7 @@ def _ranges(docs: DataFrame, length: int, bits: int) -> DataFrame:
     """Every batch's sorted names by range: (range, names, places); places
     whose name a batch has found twice come without names, below range 0."""
     def run(batches):
+        let_go()
         cover = cover_of(length)
         for b in batches:
             k1 = b.column(0).to_numpy().view(np.uint64)
@@ -229,6 +230,7 @@ def _named(texts: DataFrame, least: int, length: int) -> DataFrame:
     """Rows (k1, k2, place, back, more, name, stretch) of the surviving places
     of (k1, k2, raw, samples), sampled for strings of ``least`` bytes."""
     def run(batches):
+        let_go()
         cover = cover_of(least)
         tuple_ = length - cover.v + 1
         digest = xxhash.xxh64_intdigest
@@ -468,16 +470,17 @@ def merged(spans: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    raw = docs.withColumn("__columbine_raw", text_bytes(text_col))
-    return raw.withColumns({"__columbine_k1": F.xxhash64("__columbine_raw"), "__columbine_k2": F.xxhash64(F.lit(1), "__columbine_raw")})
+    raw = text_bytes(text_col)
+    return docs.withColumns({"__columbine_k1": F.xxhash64(raw), "__columbine_k2": F.xxhash64(F.lit(1), raw)})
 
 
 def removals(docs: DataFrame, text_col: str = "text", lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
-    """``docs`` with ``__columbine_raw`` (the text's bytes) and ``__columbine_spans`` (starts of repeated strings)."""
+    """``docs`` with ``__columbine_spans`` (starts of repeated strings); the text moves once, not as bytes too."""
     keyed = _keyed(docs, text_col)
-    spans = repeated_spans(keyed.select(*[F.col(f"__columbine_{c}").alias(c) for c in ("k1", "k2", "raw")]), lengths)
+    spans = repeated_spans(keyed.select(
+        F.col("__columbine_k1").alias("k1"), F.col("__columbine_k2").alias("k2"), text_bytes(text_col).alias("raw")), lengths)
     spans = spans.withColumnsRenamed({"k1": "__columbine_k1", "k2": "__columbine_k2", "spans": "__columbine_spans"})
-    return keyed.join(spans, ["__columbine_k1", "__columbine_k2"], "left").select(*docs.columns, "__columbine_raw", "__columbine_spans")
+    return keyed.join(spans, ["__columbine_k1", "__columbine_k2"], "left").select(*docs.columns, "__columbine_spans")
 
 
 def _kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
@@ -499,10 +502,9 @@ def deduplicate(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -
     def run(batches):
         for b in batches:
             at = b.schema.names
-            texts = [None if old is None else _kept(raw, s).decode("utf-8", "ignore") if s else old
-                     for old, raw, s in zip(b.column(at.index(text_col)).to_pylist(),
-                                            b.column(at.index("__columbine_raw")).to_pylist(),
-                                            merged(b.column(at.index("__columbine_spans")), length))]
+            texts = [None if old is None else _kept(old.encode(), s).decode("utf-8", "ignore") if s else old
+                     for old, s in zip(b.column(at.index(text_col)).to_pylist(),
+                                       merged(b.column(at.index("__columbine_spans")), length))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if f.name == text_col else b.column(at.index(f.name)) for f in kept],
                 names=[f.name for f in kept])
@@ -514,7 +516,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
            passage: int = PASSAGE) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, n_passage) per row of
     ``docs``; n_passage: bytes in repeated strings of ``passage`` bytes."""
-    rows = removals(docs.select(id_col, text_col), text_col, (length, passage)).select(id_col, "__columbine_raw", "__columbine_spans")
+    rows = removals(docs.select(id_col, text_col), text_col, (length, passage)) \
+        .select(id_col, text_bytes(text_col).alias("__columbine_raw"), "__columbine_spans")
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
