@@ -40,6 +40,38 @@ def test_candidates_grow_with_texts(spark, monkeypatch):
         assert "Contains(text" not in (plan := found._jdf.queryExecution().toString()) and "contains(text" not in plan.lower()
 
 
+def test_every_name_is_a_term(spark, tmp_path):
+    """search_terms: names met only as a source field, or only in V2, are terms too, and names of V1 that V2 has lost."""
+    from columbine.plans import QUERIES
+    from columbine.plans.delta_queries import mappings
+    from columbine.plans.graph_queries import SEARCH_TERMS
+
+    tables = {
+        "orders": ([(1, 7, "F", "1-URGENT"), (23, 7, "O", "2-HIGH"), (456, 8, "P", "2-HIGH"), (23, 7, "O", "2-HIGH"),
+                    (None, 8, "F", None), (45, None, "F", "5-LOW")],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "customer": ([(7, 0, "AUTO"), (8, 1, "AUTO"), (None, 1, None)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "supplier": ([(61, 0), (62, None)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(0, 2), (1, 3)], "n_nationkey int, n_regionkey int"),
+        "part": ([(91, "Brand#1"), (912, "Brand#1"), (39, None), (233, None)], "p_partkey long, p_brand string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    v1, v2 = (mappings(spark, str(tmp_path), v).collect() for v in ("map_v1", "map_v2"))
+    entries = {("table", t, None, None) for r in v1 + v2 for t in (r.source_table, r.dest_table)} \
+        | {("field", *e, None) for r in v2 for e in ((r.source_table, r.source_field), (r.dest_table, r.dest_field))} \
+        | {("object", None, None, r.object_name) for r in v2 if r.object_name not in ("", "nan")}
+    text = lambda e: (e[3] or e[1] + ("" if e[2] is None else f".{e[2]}")).lower()
+    key = lambda e: (e[0] == "object", e[3] if e[1] is None else e[1], e[0] == "field", e[2] or "")
+    terms = {n.strip().lower() for r in v1 + v2 for n in (r.object_name, r.source_field, r.dest_field)} | set(SEARCH_TERMS)
+    want = {(t, i, *e) for t in terms - {""} for i, e in enumerate(sorted((e for e in entries if t in text(e)), key=key)[:15], 1)}
+    got = [(r.term, r["rank"], r.kind, r.table_name, r.field_name, r.object_name)
+           for r in QUERIES["search_terms"].build(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    found = {r[0] for r in got}
+    assert {"k456", "k45", "k61", "k912", "t2t_c39", "k23"} <= found  # k912 and t2t_c39 only in V2, K23 only in V1 (part of K233)
+
+
 def test_rows_are_sorted(spark):
     """Sequence as a number, nulls last, side and role."""
     from columbine.operators import report as P
